@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from vettra.llm import sharding
+from vettra.llm import line_dedup, sharding, topk_search
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_sharding": sharding.op3_sharding,
+    "op5_topk_search": topk_search.op5_topk_search,
 }
 ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op3_sharding": sharding.ORACLE_SQL,
+    "op5_topk_search": topk_search.ORACLE_SQL,
 }
