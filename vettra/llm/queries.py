@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from vettra.llm import line_dedup, sharding, topk_search
+from vettra.llm import language_id, line_dedup, sharding, token_records, topk_search
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op5_topk_search": topk_search.op5_topk_search,
+    "op8_token_records": token_records.op8_token_records,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
