@@ -16,12 +16,13 @@ other columns of the input (also ones named like the results) are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vettra.llm.common import table
+from vettra.llm.common import table, written
 
 #: Leading hex digits of a row's order key that name its slot bucket (16**4 buckets).
 BUCKET_DIGITS = 4
@@ -61,12 +62,20 @@ def levels(tree: list[Shard]) -> list[list[tuple[str, str, float]]]:
 
 def descend(rows: DataFrame, key: str, tree: list[Shard], out: str) -> DataFrame:
     """rows with the column `out`: the shard of `key`, by the least draw at each level (ties: the first by path)."""
-    rows = rows.withColumn(out, F.lit(""))
+    at = F.lit("")
     for level in levels(tree):
-        nodes = F.array(*(F.struct(F.lit(p).alias("parent"), F.lit(c).alias("path"), F.lit(float(w)).alias("weight")) for p, c, w in level))
-        draws = F.transform(F.filter(nodes, lambda n: n["parent"] == F.col(out)), lambda n: F.struct(draw(F.col(key), n["path"], n["weight"]).alias("score"), n["path"].alias("path")))
-        rows = rows.withColumn(out, F.array_min(draws)["path"])
-    return rows.withColumn(out, F.regexp_extract(out, "/s([0-9]+)$", 1).cast("int"))
+        at = F.transform(F.array(at), chooser(key, level))[0]  # bound once, not drawn again for each child
+    return rows.withColumn(out, F.regexp_extract(at, "/s([0-9]+)$", 1).cast("int"))
+
+
+def chooser(key: str, level: list[tuple[str, str, float]]) -> Callable[[Column], Column]:
+    nodes = F.array(*(F.struct(F.lit(p).alias("parent"), F.lit(c).alias("path"), F.lit(float(w)).alias("weight")) for p, c, w in level))
+
+    def choose(parent: Column) -> Column:
+        below = F.filter(nodes, lambda n: n["parent"] == parent)
+        return F.array_min(F.transform(below, lambda n: F.struct(draw(F.col(key), n["path"], n["weight"]).alias("score"), n["path"].alias("path"))))["path"]
+
+    return choose
 
 
 def draw(key: Column, path: Column, weight: Column) -> Column:
@@ -87,7 +96,7 @@ def assign_shards(rows: DataFrame, key: str, text: str, tree: list[Shard], grown
         k.alias("__k"),
         F.substring(F.md5(F.concat(k, F.lit(":"), t).cast("binary")), 1, BUCKET_DIGITS).alias("__bucket"),
     )
-    base = descend(descend(base, "__k", tree, "shard"), "__k", grown, "grown_shard")
+    base = written(descend(descend(base, "__k", tree, "shard"), "__k", grown, "grown_shard").drop("__k"), "shards")  # texts are read once
     counts = base.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
