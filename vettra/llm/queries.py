@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vettra.llm import language_id, line_dedup, sharding, simhash_dedup, token_records, topk_search
+from vettra.llm import decontamination, language_id, line_dedup, sharding, simhash_dedup, token_records, topk_search
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_sharding": sharding.op3_sharding,
     "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
     "op5_topk_search": topk_search.op5_topk_search,
