@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vettra.llm import decontamination, language_id, line_dedup, sharding, simhash_dedup, token_records, topk_search, toxicity
+from vettra.llm import decontamination, language_id, line_dedup, sentencepiece_codec, sharding, simhash_dedup, token_records, topk_search, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
     "op5_topk_search": topk_search.op5_topk_search,
+    "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_records": token_records.op8_token_records,
     "op10_language_id": language_id.op10_language_id,
