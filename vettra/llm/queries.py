@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vettra.llm import decontamination, language_id, line_dedup, sentencepiece_codec, sharding, simhash_dedup, token_records, topk_search, toxicity
+from vettra.llm import decontamination, language_id, license_scan, line_dedup, sentencepiece_codec, sharding, simhash_dedup, token_records, topk_search, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,10 +13,12 @@ QUERIES = {
     "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_records": token_records.op8_token_records,
+    "op9_license_scan": license_scan.op9_license_scan,
     "op10_language_id": language_id.op10_language_id,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op3_sharding": sharding.ORACLE_SQL,
     "op5_topk_search": topk_search.ORACLE_SQL,
+    "op9_license_scan": license_scan.oracle_sql(),
 }
