@@ -13,7 +13,8 @@ of the text before that piece:
   library's. Answers about pairs of pieces are remembered.
 
 Texts are scanned in units between which no piece can reach (before a word's blank, and
-around characters that are in no longer piece); a bounded cache keeps the units' ids.
+around marks that no piece holds together with other characters); a bounded cache keeps
+the units' ids.
 Blanks become U+2581 and one is put in front, as the model asks; characters without a
 piece become byte pieces. Decoding reverses this exactly, except that U+2581 itself comes
 back as a blank.
@@ -36,11 +37,15 @@ from pyspark.sql import functions as F
 from vettra.llm.common import table
 
 BLANK = "▁"
-CACHE_UNITS = 300_000
+CACHE_UNITS = 500_000
 CACHE_PAIRS = 1_000_000
 UNKNOWN_COST = 10.0
 
 
+def plain_char(c: str) -> bool:
+    return c.isascii() or c.isalpha() or c == BLANK
+
+
 class PieceCodec:
     """pieces: {text: (id, score)}; byte_ids: the id of each of the 256 bytes, or None if there is no fallback."""
 
@@ -59,13 +64,27 @@ class PieceCodec:
         usable = [p for p in pieces if not bpe or len(p) == 1 or self.merge(p) == [p]]
         self.automaton = ahocorasick.Automaton()
         for p in usable:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (p, len(p)))
         self.filled = bool(usable)
         if self.filled:
             self.automaton.make_automaton()
-        crossing = any(BLANK in p.lstrip(BLANK) for p in pieces)
-        alone = "".join(c for c in "\n\t\r" if not any(c in p for p in pieces if len(p) > 1))
-        self.unit = re.compile(".+" if crossing else f"[{alone}]|{BLANK}+[^{BLANK}{alone}]*|[^{BLANK}{alone}]+" if alone else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", re.S)
+        self.plain, self.mixed = self.unit_patterns(pieces)
+
+    @staticmethod
+    def unit_patterns(pieces: dict) -> tuple[re.Pattern, re.Pattern]:
+        """Units of texts of letters and ASCII only, and of others. No piece holds both characters at a cut."""
+        inside = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        whole = re.compile(".+", re.S)
+        if any(y == BLANK != x for x, y in inside):
+            return whole, whole
+        inside_plain = {pair for pair in inside if all(map(plain_char, pair))}
+        marks = {chr(c) for c in range(1, 128) if not chr(c).isalnum() and c != 32} - {x for x, y in inside if y == BLANK}
+        while mixed := {c for x, y in inside_plain if x != BLANK and (x in marks) != (y in marks) for c in (x, y) if c in marks}:
+            marks -= mixed
+        single = {c for c in marks if not any(c in pair for pair in inside)}
+        plain, mixed = (re.escape("".join(sorted(x))) for x in (marks, single))
+        pattern = lambda m: re.compile(f"{BLANK}*[{m}]+|{BLANK}+[^{BLANK}{m}]*|[^{BLANK}{m}]+" if m else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", re.S)
+        return pattern(plain), pattern(mixed)
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text by merging neighbours, the highest score first, the leftmost of ties."""
@@ -89,29 +108,34 @@ class PieceCodec:
 
     def segment(self, text: str) -> list[str]:
         """The pieces of a text; characters without a piece stand alone."""
-        n = len(text)
+        n, score = len(text), self.score
         last: list[str | None] = [None] * (n + 1)  # the piece that ends here in the best segmentation
         total = [0.0] + [-np.inf] * n
-        ends: dict[int, list[str]] = {}
-        if self.filled:
-            for end, piece in self.automaton.iter(text):
-                ends.setdefault(end + 1, []).append(piece)
-        for i in range(1, n + 1):
-            found = ends.get(i, ())
-            if text[i - 1] not in self.score:
-                found = [*found, text[i - 1]]
-            for piece in found:
-                a = i - len(piece)
-                if a and last[a] is None:
-                    continue
-                if self.bpe:
-                    if not a or self.joins(last[a], piece):
-                        last[i] = piece
-                        break
-                else:
-                    s = total[a] + self.score.get(piece, self.low)
-                    if s > total[i] or (s == total[i] and len(piece) > len(last[i] or "")):
-                        total[i], last[i] = s, piece
+        found = self.automaton.iter(text) if self.filled else ()
+        if self.bpe:
+            for i, c in enumerate(text, 1):
+                if c not in score:  # no piece goes over it
+                    last[i] = c
+            pairs = self.pairs
+            for end, (piece, size) in found:
+                end += 1
+                if last[end] is None:
+                    a = end - size
+                    before = last[a]
+                    if not a:
+                        last[end] = piece
+                    elif before is not None:
+                        ok = pairs.get((before, piece))
+                        if self.joins(before, piece) if ok is None else ok:
+                            last[end] = piece
+        else:
+            # a character without a piece may be passed over at a cost
+            alone = [(i, (c, 1)) for i, c in enumerate(text) if c not in score]
+            for end, (piece, size) in sorted([*found, *alone], key=lambda x: x[0]):
+                end += 1
+                s = total[end - size] + score.get(piece, self.low)
+                if s > total[end]:
+                    total[end], last[end] = s, piece
         out = []
         while n:
             out.append(last[n])
@@ -126,7 +150,7 @@ class PieceCodec:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        units = self.unit.findall(BLANK + text.replace(" ", BLANK))
+        units = (self.plain if all(map(plain_char, set(text))) else self.mixed).findall(BLANK + text.replace(" ", BLANK))
         if len(self.units) > CACHE_UNITS:
             self.units.clear()
         for u in set(units).difference(self.units):
