@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from vettra.plans import scoring
+
+QUERIES: dict = {**scoring.QUERIES}
+ORACLE_SQL: dict[str, str] = {**scoring.ORACLE_SQL}
