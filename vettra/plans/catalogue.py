@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vettra.plans import scoring
+from vettra.plans import documents, scoring
 
-QUERIES: dict = {**scoring.QUERIES}
-ORACLE_SQL: dict[str, str] = {**scoring.ORACLE_SQL}
+QUERIES: dict = {**scoring.QUERIES, **documents.QUERIES}
+ORACLE_SQL: dict[str, str] = {**scoring.ORACLE_SQL, **documents.ORACLE_SQL}
