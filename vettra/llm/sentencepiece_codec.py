@@ -27,6 +27,7 @@ are kept.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -34,11 +35,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vettra.llm.common import table
+from vettra.llm.common import small_batches, table
 
 BLANK = "▁"
-CACHE_UNITS = 500_000
-CACHE_PAIRS = 1_000_000
+CACHE_UNITS = 150_000  # in each of two generations
+CACHE_PAIRS = 300_000
 UNKNOWN_COST = 10.0
 
 
@@ -58,7 +59,9 @@ class PieceCodec:
         self.low = min(self.score.values(), default=0.0) - UNKNOWN_COST
         self.surface = {i: p.encode() for p, i in self.ids.items()}
         self.bytes_of = {} if byte_ids is None else {i: bytes([b]) for b, i in enumerate(byte_ids)}
-        self.units: dict[str, bytes] = {}
+        self.chars = frozenset(p for p in pieces if len(p) == 1)
+        self.units: dict[str, bytes] = {}  # this and the last generation of the cache
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         # a piece that merging its own characters doesn't give can't be a result
         usable = [p for p in pieces if not bpe or len(p) == 1 or self.merge(p) == [p]]
@@ -88,13 +91,21 @@ class PieceCodec:
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text by merging neighbours, the highest score first, the leftmost of ties."""
-        parts = list(text)
+        parts, get = list(text), self.score.get
+        scores = [get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
         while True:
-            best = max(((self.score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score), default=None)
-            if best is None:
+            at, best = -1, None
+            for i, x in enumerate(scores):
+                if x is not None and (best is None or x > best):
+                    at, best = i, x
+            if at < 0:
                 return parts
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[at] += parts.pop(at + 1)
+            del scores[at]
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at])
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1])
 
     def joins(self, a: str, b: str) -> bool:
         """Whether piece b may follow piece a in a merge result."""
@@ -113,9 +124,10 @@ class PieceCodec:
         total = [0.0] + [-np.inf] * n
         found = self.automaton.iter(text) if self.filled else ()
         if self.bpe:
-            for i, c in enumerate(text, 1):
-                if c not in score:  # no piece goes over it
-                    last[i] = c
+            if not self.chars.issuperset(text):
+                for i, c in enumerate(text, 1):
+                    if c not in score:  # no piece goes over it
+                        last[i] = c
             pairs = self.pairs
             for end, (piece, size) in found:
                 end += 1
@@ -152,9 +164,9 @@ class PieceCodec:
             return np.zeros(0, np.int32)
         units = (self.plain if all(map(plain_char, set(text))) else self.mixed).findall(BLANK + text.replace(" ", BLANK))
         if len(self.units) > CACHE_UNITS:
-            self.units.clear()
+            self.units, self.older = {}, self.units
         for u in set(units).difference(self.units):
-            self.units[u] = np.array([i for p in self.segment(u) for i in self.piece_ids(p)], "<i4").tobytes()
+            self.units[u] = self.older.get(u) or array("i", [i for p in self.segment(u) for i in self.piece_ids(p)]).tobytes()
         return np.frombuffer(b"".join(map(self.units.__getitem__, units)), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
@@ -198,11 +210,23 @@ def decoder(path: str, bpe: bool = True) -> Callable:
     return decode
 
 
+def coder(path: str, bpe: bool = True) -> Callable:
+    """Both ways in one pass: struct(ids, decoded)."""
+
+    @F.pandas_udf("struct<ids: array<int>, decoded: string>")
+    def code(texts: pd.Series) -> pd.DataFrame:
+        codec = codec_of(path, bpe)
+        ids = [None if t is None else codec.encode(t) for t in texts]
+        return pd.DataFrame({"ids": ids, "decoded": ["" if x is None else codec.decode(x) for x in ids]})
+
+    return code
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(row, ids, decoded): each row as a struct, its ids, and the text that they decode to."""
+    small_batches(docs.sparkSession)
     row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
-    encoded = docs.select(row, encoder(path)(docs[text]).alias("ids"))
-    return encoded.withColumn("decoded", decoder(path)("ids"))
+    return docs.select(row, coder(path)(docs[text]).alias("x")).select("row", "x.ids", "x.decoded")
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

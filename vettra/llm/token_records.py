@@ -14,8 +14,9 @@ has one (offset, number of ids, document id, flags) entry of 8-byte integers for
 reader can fetch records in any order. The manifest, a Parquet table that Spark commits,
 lists the files of the attempts that succeeded; files of lost attempts are not in it.
 
-Encoding splits texts at ASCII white space, which no token of these pre-tokenizers spans,
-and asks the tokenizer once for each distinct piece; the cache is bounded.
+Encoding splits texts at ASCII white space and before a word's closing marks, which the
+tokenizer's own pre-tokens never span, and asks it once for each distinct piece; the cache
+is bounded.
 
 Defined results: a null text is empty and has only the end id; ids that are null come
 first; repeated ids keep one record each, ordered by a hash of the text; an empty table
@@ -24,6 +25,7 @@ gives an empty manifest; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from vettra.llm.common import fresh_path, table, written
 
 MASK = 0xA282EAD8
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000  # in each of two generations
 GROUP_BYTES = 1_000_000
 INDEX = np.dtype([("offset", "<i8"), ("n", "<i8"), ("doc_id", "<i8"), ("flags", "<i8")])
 NULL_ID = 1
@@ -66,29 +68,62 @@ def unframe(data: bytes, at: int) -> bytes:
     return payload
 
 
+#: A word's closing ASCII marks before white space: the pre-tokenizer cuts in front of them too.
+#: Apostrophes stay, for it knows contractions.
+CLOSING = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=\s|\Z)")
+WORD_END = "</w>"
+
+
 class PieceEncoder:
-    """Ids of whole texts as packed integers, through a bounded cache of white-space-separated pieces."""
+    """Ids of whole texts as packed integers, through a bounded cache of pieces of texts.
+
+    For tokenizers that lower-case, drop white space and mark the ends of words.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 65_536 else 4
-        self.cache: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 65_536 else 4
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.cache: dict[bytes, bytes] = {}  # this and the last generation
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [t.split() for t in texts]
+        # "<|" may begin a special token, whose case counts
+        pieces = [t.split() if b"<|" in t else CLOSING.sub(rb" \1", t.lower()).split() for t in texts]
+        if len(self.cache) > CACHE_PIECES:
+            self.cache, self.older = {}, self.cache
         new = set().union(*pieces).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = set().union(*pieces)
+        if known := new.intersection(self.older):
+            self.cache.update((p, self.older[p]) for p in known)
+            new -= known
         if new:
-            new = list(new)
-            kind = f"<u{self.width}"
-            for piece, e in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(e.ids, kind).tobytes()
+            self.learn(new)
         return [b"".join(map(self.cache.__getitem__, p)) for p in pieces]
 
+    def learn(self, new: set[bytes]) -> None:
+        """Asks the tokenizer: words of letters, which are one pre-token each, in one text; the rest one by one."""
+        words, rest, kind = [], [], f"<u{self.width}"
+        for piece in new:
+            text = piece.decode()
+            (words if text.isalpha() else rest).append((piece, text))
+        if words:
+            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in words), add_special_tokens=False).ids, kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(words):
+                rest += words
+            else:
+                a = 0
+                for (piece, _), b in zip(words, ends.tolist(), strict=True):
+                    self.cache[piece] = ids[a:b].tobytes()
+                    a = b
+        found = self.tokenizer.encode_batch([t for _, t in rest], add_special_tokens=False)
+        for (piece, _), e in zip(rest, found, strict=True):
+            self.cache[piece] = np.array(e.ids, kind).tobytes()
+
 
 def open_fs(path: str):
     from pyarrow import fs
@@ -139,8 +174,8 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int | None
     return written(files, "token-manifest")
 
 
-def read_records(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every record, read back and verified; start counts all ids before."""
+def read_records(manifest: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32 and, if asked for, ids) of every record, read back and verified; start counts all ids before."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     starts = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
     n = max(1, manifest.count())
@@ -162,11 +197,11 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
                             if len(ids) != index["n"][k]:
                                 raise ValueError(f"{r.data}: record {k} is not as its index says")
                             doc = None if index["flags"][k] & NULL_ID else int(index["doc_id"][k])
-                            out.append((doc, start[k], len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids.astype(np.int32)))
-                        found = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                            out.append((doc, start[k], len(ids), zlib.crc32(ids.astype("<u4")), *([ids.astype(np.int32)] if with_ids else ())))
+                        found = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
                         yield found.assign(doc_id=found["doc_id"].astype("Int64"))
 
-    return starts.repartition(n, "part").mapInPandas(task, f"{RECORD}, ids array<int>")
+    return starts.repartition(n, "part").mapInPandas(task, RECORD + ", ids array<int>" * with_ids)
 
 
 def read_at(folder: str, data: str, offset: int, width: int) -> np.ndarray:
@@ -184,4 +219,4 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = fresh_path(spark, "token-records")
     manifest = write_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
-    return read_records(manifest, folder).drop("ids")
+    return read_records(manifest, folder, with_ids=False)
