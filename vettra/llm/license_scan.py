@@ -170,7 +170,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """(rk1, rk2, line, family, probability, agreement) of the paragraphs whose licence is confirmed; `line` counts from 0."""
     spark, model = docs.sparkSession, trained()
     known = F.array(*(F.lit(w) for w in sorted({w for f in model.features for w in f.split()} - STOP)))
-    lines = docs.select(*row_key(F.col(id_col), F.col(text)), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("line", "paragraph"))
+    split = docs.select(*row_key(F.col(id_col), F.col(text)), F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("paragraphs"))  # before the explode, which would carry the text along
+    lines = split.select("rk1", "rk2", F.posexplode("paragraphs").alias("line", "paragraph"))
     asked = lines.select("rk1", "rk2", "line", paragraph_words(F.col("paragraph")).alias("words")).where(F.arrays_overlap("words", known)).select("rk1", "rk2", "line", grams(F.col("words")).alias("grams")).distinct()
     weights = spark.createDataFrame([(f, [float(v) for v in row]) for f, row in zip(model.features, model.weights, strict=True)], "gram string, w array<double>")
     n = len(model.families)
