@@ -132,7 +132,8 @@ def shared_lines(docs: DataFrame, id_col: str, text: str, min_docs: int, min_cha
     if not 1 <= min_docs <= COUNT_MAX:
         raise ValueError(f"min_docs must be from 1 to {COUNT_MAX}")
     index, shards, hot = line_index(docs, text, min_chars)
-    lines = docs.select(*row_key(F.col(id_col), F.col(text)), F.posexplode(line_keys(F.col(text))).alias("line", "key")).where(F.char_length("key") >= min_chars)
+    split = docs.select(*row_key(F.col(id_col), F.col(text)), line_keys(F.col(text)).alias("keys"))  # before the explode, which would carry the text along
+    lines = split.select("rk1", "rk2", F.posexplode("keys").alias("line", "key")).where(F.char_length("key") >= min_chars)
     h = lines.select("rk1", "rk2", "line", hashes(F.col("key")).alias("h")).select("rk1", "rk2", "line", "h.h1", "h.h2")
     place = F.when(F.col("h1").isin(hot), -1 - F.pmod("rk1", F.lit(HOT_COPIES))).otherwise(F.pmod("h1", F.lit(shards)))
     probes = h.select(place.cast("long").alias("place"), F.lit(1).alias("kind"), "rk1", "rk2", "line", "h1", "h2", F.lit(None).cast("binary").alias("blob"))
