@@ -78,6 +78,16 @@ def test_edge_cases(spark):
     assert sh.near_components(docs.limit(0)).count() == 0
 
 
+def test_unlinked_components_of_one_id_or_none_all_stay(spark):
+    texts = ["the cat sat on a mat today", "rain fell over seven grey hills", "copper prices rose again in march", "she paints boats in the old harbour"]
+    prints = np.array([brute_fingerprint(t) for t in texts], np.uint64)
+    assert brute_roots(prints) == [0, 1, 2, 3]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3])]
+    docs = spark.createDataFrame([*rows, rows[0], (7, texts[2])], "doc_id long, text string")
+    assert sorted(map(tuple, sh.dedup_near(docs).collect()), key=str) == sorted(rows, key=str)
+    assert {r.component_id for r in sh.near_components(docs).collect()} == {None, 7}
+
+
 def test_long_text_in_chunks(monkeypatch):
     text = " ".join(f"w{i % 37}" for i in range(1000))
     whole = sh.fingerprint(text)

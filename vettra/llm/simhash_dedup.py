@@ -180,21 +180,25 @@ def near_links(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, rk1, rk2, fp, component_id) of each row: fp is the signed fingerprint."""
+    """(id, rk1, rk2, fp, root, component_id) of each row: fp is the signed fingerprint, root the least one of its component.
+
+    Only root tells components apart: component_id is null in every component without an
+    id, and one id on different texts can be the least of several components.
+    """
     udf = F.pandas_udf(fingerprints, "long")
     base = written(docs.select(F.col(id_col).alias("id"), *row_key(F.col(id_col), F.col(text)), udf(F.col(text)).alias("fp")), "fingerprints")
     prints = written(base.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
     roots = connected_components(near_links(prints))
     rooted = written(prints.join(roots, prints.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "roots")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lows, "root").select("fp", "component_id")
-    return base.join(named, "fp").select("id", "rk1", "rk2", "fp", "component_id")
+    named = rooted.join(lows, "root").select("fp", "root", "component_id")
+    return base.join(named, "fp").select("id", "rk1", "rk2", "fp", "root", "component_id")
 
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group: the least id's first row by hash (null ids last), with all columns of docs."""
+    """One row of each component: the least id's first row by hash (null ids last), with all columns of docs."""
     found = near_components(docs, id_col, text)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rk1", "rk2")).alias("k")).select("k.rk1", "k.rk2")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rk1", "rk2")).alias("k")).select("k.rk1", "k.rk2")
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *row_key(docs[id_col], docs[text]))
     kept = rows.join(best, ["rk1", "rk2"], "left_semi")
     copies = Window.partitionBy("rk1", "rk2").orderBy(F.xxhash64("row"))  # repeated rows of one id and text
