@@ -19,8 +19,14 @@ PIECES = os.environ.get("VETTRA_PIECE_MODEL", "")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents without a recognisable language (no letters, or null text) go."""
+    """Operator 10: documents without a recognisable language (no letters, or null text) go.
+
+    Where no learnable row has a language there is no network, and by itself no text is
+    ``und`` for that: null and letterless texts go, all others stay.
+    """
     net = language_id.fit(docs, language_id.learnable(F.col("doc_id")))
+    if net is None:
+        return language_id.lettered(docs)
     return language_id.identify(docs, net).where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
 
 

@@ -199,3 +199,16 @@ def test_pipeline_against_brute_force(spark, library):
             want[d] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest(), True)
     got = {r.doc_id: (r.n_ids, r.ids_sha256, r.decoded_sha256, r.round_trip) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("labelled", [0, 1])
+def test_language_stage_without_a_network_keeps_lettered_texts(spark, labelled):
+    import corpus_pipeline
+
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    rows = [(100 + i, t, None, "s", 0) for i, t in enumerate(["Plain words.", "Ünïcode", "中文", "12 34 !?", "", None, "\n\t"])]
+    rows += [(None, "no id", None, "s", 0), (held, "held out", "en" if labelled else None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert by_text(map(tuple, kept.collect())) == by_text([*rows[:3], *rows[7:]])

@@ -166,6 +166,18 @@ def identify(docs: DataFrame, net: ByteConvNet | None, text: str = "text") -> Da
     return docs.select(row, udf(docs[text]).alias("p")).select("row", "p.lang_pred", "p.score")
 
 
+def lettered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text has a letter: what a network would not call ``und``."""
+
+    def has_letter(texts: pd.Series) -> pd.Series:
+        import regex
+
+        letter = regex.compile(r"\p{L}")
+        return pd.Series([t is not None and letter.search(t) is not None for t in texts], dtype=bool)
+
+    return docs.where(F.pandas_udf(has_letter, "boolean")(docs[text]))
+
+
 def remainder(id_col: Column, by: int) -> Column:
     """crc32 of the id as text, modulo."""
     return F.crc32(id_col.cast("string").cast("binary")) % by
