@@ -132,3 +132,18 @@ def test_registry(spark):
     keys = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "pan string")
     assert {(r.pan, r.found, r.verified_status) for r in tables.verify(keys, reg, "pan").collect()} == {("a", True, "active"), ("b", True, "closed"), ("c", False, "not_found"), (None, False, "not_found")}
     assert [r.pan for r in tables.charges_on(reg, "pan", "charges", F.lit("S1")).collect()] == ["a"]
+
+
+def test_mask_cells_of_every_page(spark):
+    from vettra.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    cells = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").collect():
+        a, b = cells.setdefault(r.l_orderkey, (set(), set()))
+        p, s = r.l_partkey, r.l_suppkey
+        a.update((x, y) for x in range(s % 40, s % 40 + 20) for y in range(p % 40, p % 40 + 10))
+        b.update((x, y) for x in range(p % 50, p % 50 + 12) for y in range(s % 50, s % 50 + 6))
+    got = {r.page: r.iou for r in catalogue.QUERIES["mask_cells_iou_all"](spark, sf).collect()}
+    assert got == {k: pytest.approx(len(a & b) / len(a | b), abs=1e-6) for k, (a, b) in cells.items()}
+    assert max(got) >= 300

@@ -364,16 +364,28 @@ def missing_slots(spark, sf):
     return underwriting.missing_slots(packets, present, "salaried_loan").select("packet_id", "slot")
 
 
+def _cells(spark, sf, kind):
+    """(page, x, y): the cells under the boxes of each page."""
+    span = lambda c: F.explode(F.sequence(F.col(f"{kind}_{c}0").cast("int"), F.col(f"{kind}_{c}1").cast("int") - 1)).alias(c)
+    return _boxes(spark, sf, kind, "n").select("page", span("x"), f"{kind}_y0", f"{kind}_y1").select("page", "x", span("y")).distinct()
+
+
 @query(f"""WITH r AS (SELECT l_orderkey AS page, l_linenumber AS box, {_BOX_SQL['r']} FROM lineitem WHERE l_orderkey < 300), s AS (SELECT l_orderkey AS page, {_BOX_SQL['s']} FROM lineitem WHERE l_orderkey < 300),
 a AS (SELECT DISTINCT page, x, y FROM r, range(0, 70) gx(x), range(0, 70) gy(y) WHERE x >= r_x0 AND x < r_x1 AND y >= r_y0 AND y < r_y1), b AS (SELECT DISTINCT page, x, y FROM s, range(0, 70) gx(x), range(0, 70) gy(y) WHERE x >= s_x0 AND x < s_x1 AND y >= s_y0 AND y < s_y1)
 SELECT page, round(count(a.page)::DOUBLE * 0 + count_if(a.x IS NOT NULL AND b.x IS NOT NULL) / count(*), 6) AS iou FROM a FULL JOIN b USING (page, x, y) GROUP BY page""")
 def mask_cells_iou(spark, sf):
-    def cells(kind):
-        b = _boxes(spark, sf, kind, "n").where("page < 300")
-        span = lambda c: F.explode(F.sequence(F.col(f"{kind}_{c}0").cast("int"), F.col(f"{kind}_{c}1").cast("int") - 1)).alias(c)
-        return b.select("page", span("x"), f"{kind}_y0", f"{kind}_y1").select("page", "x", span("y")).distinct()
+    """Pages under 300 only, as in its SQL; mask_cells_iou_all takes every page."""
+    return evaluation.iou(*(_cells(spark, sf, kind).where("page < 300") for kind in ("r", "s")), ["page"], ["x", "y"])
+
+
+_CELLS_SQL = {k: f"SELECT DISTINCT page, x, unnest(range({k}_y0::BIGINT, {k}_y1::BIGINT)) AS y FROM (SELECT page, unnest(range({k}_x0::BIGINT, {k}_x1::BIGINT)) AS x, {k}_y0, {k}_y1 FROM {k})" for k in _BOX}
+
 
-    return evaluation.iou(cells("r"), cells("s"), ["page"], ["x", "y"])
+@query(f"""WITH r AS (SELECT l_orderkey AS page, {_BOX_SQL['r']} FROM lineitem), s AS (SELECT l_orderkey AS page, {_BOX_SQL['s']} FROM lineitem), a AS ({_CELLS_SQL['r']}), b AS ({_CELLS_SQL['s']})
+SELECT page, round(count_if(a.x IS NOT NULL AND b.x IS NOT NULL) / count(*), 6) AS iou FROM a FULL JOIN b USING (page, x, y) GROUP BY page""")
+def mask_cells_iou_all(spark, sf):
+    """mask_cells_iou for every page."""
+    return evaluation.iou(_cells(spark, sf, "r"), _cells(spark, sf, "s"), ["page"], ["x", "y"])
 
 
 @query(None)
