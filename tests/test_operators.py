@@ -134,6 +134,31 @@ def test_registry(spark):
     assert [r.pan for r in tables.charges_on(reg, "pan", "charges", F.lit("S1")).collect()] == ["a"]
 
 
+def test_spectrum_peaks_takes_all_peaks_within_the_budget(spark):
+    import math
+
+    from vettra.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    vectors = {r.vec_id: [float(x) for x in r.embedding] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").limit(40).collect()}
+    got = {}
+    for r in catalogue.QUERIES["spectrum_peaks"](spark, sf).where(F.col("vec_id").isin(list(vectors))).orderBy("vec_id", "place").collect():
+        got.setdefault(r.vec_id, []).append((r.place, r.bin, r.level))
+    for k, v in vectors.items():
+        n, mean = len(v), sum(v) / len(v)
+        x = [(a - mean) * (0.5 - 0.5 * math.cos(2 * math.pi * i / (n - 1))) for i, a in enumerate(v)]
+        level = {}
+        for b in range(2, n // 2 + 1):
+            re, im = (sum(a * f(2 * math.pi * b * i / n) for i, a in enumerate(x)) for f in (math.cos, math.sin))
+            level[b] = 20 * math.log10(math.hypot(re, im) + 1e-9)
+        want = []
+        while level and len(want) < 28:
+            at = max(level, key=lambda b: (level[b], -b))
+            want.append((len(want), at, pytest.approx(level[at], abs=1e-3)))
+            level = {b: z for b, z in level.items() if abs(b - at) > 2}
+        assert got[k] == want and len(want) > 4
+
+
 def test_mask_cells_of_every_page(spark):
     from vettra.plans import catalogue
 

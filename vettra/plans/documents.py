@@ -390,7 +390,7 @@ def mask_cells_iou_all(spark, sf):
 
 @query(None)
 def spectrum_peaks(spark, sf):
-    out = grids.spectrum_peaks(table(spark, sf, "embeddings"), "vec_id", "embedding", 4)
+    out = grids.spectrum_peaks(table(spark, sf, "embeddings"), "vec_id", "embedding")
     return out.select("vec_id", "place", "bin", F.round("level", 4).alias("level"))
 
 
