@@ -46,6 +46,22 @@ def test_line_dedup(spark, docs):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_probes_spread_over_places(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PROBES_PER_PLACE", 50)
+    monkeypatch.setattr(line_dedup, "HOT_COPIES", 2)
+    rows = [(i, "\n".join(f"line {(i + j) % 1500}" for j in range(6))) for i in range(1500)] + [(i, "the same\n" * 40) for i in range(1500, 1510)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.dedup_lines(docs, min_docs=6).select("row.doc_id", "kept", "n_lines", "n_dropped").collect()
+    assert by_text(map(tuple, found)) == by_text(brute_lines(rows, 6))
+    seen = []
+    deal = type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, *a: seen.append(self.groupBy("place", "kind").count().collect()) or deal(self, *a))
+    line_dedup.shared_lines(docs, "doc_id", "text", 6, 1)
+    probes = {r.place: r["count"] for r in seen[0] if r.kind == 1}
+    assert sum(probes.values()) == 9400 and max(probes.values()) < 200
+    assert set(probes) <= {r.place for r in seen[0] if r.kind == 0}
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     h1, h2 = (rng.integers(0, 2**64, 5000, dtype=np.uint64) for _ in range(2))

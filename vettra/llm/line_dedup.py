@@ -7,8 +7,9 @@ only hashes and line numbers to the shards and probe the arrays there; lines are
 joined. Line numbers of hits come back by document.
 
 Hot lines: keys that hold at least 1/HOT_SHARE of all (document, line) pairs, so HOT_SHARE
-keys at most, form one small shard of their own that is copied to HOT_COPIES places, and
-their probes are spread over these. Shards stream through a task row by row, so that no
+keys at most, form one small shard of their own that is copied to HOT_COPIES places at
+least. Every shard is copied to one place for each PROBES_PER_PLACE of its probes, which
+are spread over its places by row and line. Shards stream through a task row by row, so that no
 group has to fit in memory.
 
 Defined results: null or empty text is one empty line; a key shorter than ``min_chars``
@@ -30,6 +31,8 @@ from vettra.llm.common import ascii_lower, row_key, table, written
 KEYS_PER_SHARD = 100_000
 HOT_SHARE = 1000
 HOT_COPIES = 64
+PROBES_PER_PLACE = 20_000
+MAX_COPIES = 1 << 20
 COUNT_MAX = 65_535
 STRIP = " \t\n\u000b\f\r"
 
@@ -135,11 +138,18 @@ def shared_lines(docs: DataFrame, id_col: str, text: str, min_docs: int, min_cha
     split = docs.select(*row_key(F.col(id_col), F.col(text)), line_keys(F.col(text)).alias("keys"))  # before the explode, which would carry the text along
     lines = split.select("rk1", "rk2", F.posexplode("keys").alias("line", "key")).where(F.char_length("key") >= min_chars)
     h = lines.select("rk1", "rk2", "line", hashes(F.col("key")).alias("h")).select("rk1", "rk2", "line", "h.h1", "h.h2")
-    place = F.when(F.col("h1").isin(hot), -1 - F.pmod("rk1", F.lit(HOT_COPIES))).otherwise(F.pmod("h1", F.lit(shards)))
-    probes = h.select(place.cast("long").alias("place"), F.lit(1).alias("kind"), "rk1", "rk2", "line", "h1", "h2", F.lit(None).cast("binary").alias("blob"))
-    places = F.when(F.col("shard") == -1, F.sequence(F.lit(-HOT_COPIES), F.lit(-1))).otherwise(F.array("shard"))
+    shard = F.when(F.col("h1").isin(hot), F.lit(-1)).otherwise(F.pmod("h1", F.lit(shards))).cast("long")
+    h = h.withColumn("shard", shard)
+    # a row for each shard
+    sized = h.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    copies = F.greatest(F.ceil(F.col("n") / PROBES_PER_PLACE), F.when(F.col("shard") == -1, F.lit(HOT_COPIES)).otherwise(F.lit(1)))
+    sizes = written(sized.select("shard", F.least(copies, F.lit(MAX_COPIES)).cast("long").alias("copies")), "shard-copies")
+    first = F.col("shard") * MAX_COPIES
+    place = first + F.pmod(F.xxhash64("rk1", "line"), F.col("copies"))
+    probes = h.join(F.broadcast(sizes), "shard").select(place.alias("place"), F.lit(1).alias("kind"), "rk1", "rk2", "line", "h1", "h2", F.lit(None).cast("binary").alias("blob"))
     zero = F.lit(0).cast("long")
-    blobs = index.select(F.explode(places).alias("place"), F.lit(0).alias("kind"), zero.alias("rk1"), zero.alias("rk2"), F.lit(0).alias("line"), zero.alias("h1"), zero.alias("h2"), "blob")
+    places = F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("place")
+    blobs = index.join(F.broadcast(sizes), "shard").select(places, F.lit(0).alias("kind"), zero.alias("rk1"), zero.alias("rk2"), F.lit(0).alias("line"), zero.alias("h1"), zero.alias("h2"), "blob")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, arrays = None, None
