@@ -162,11 +162,39 @@ def test_damaged_records_are_found():
         token_records.unframe(bytes(data), 0)
 
 
-def test_licence_scan(spark, docs):
-    assert license_scan.scan(docs).count() == 0 == license_scan.scan(docs.limit(0)).count()
-    texts = ["x\nReleased under the MIT License.", "Licensed under the Apache License, Version 2.0.", "The license plate of the car was new.", None]
+def licences(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted((r.line, r.family) for r in license_scan.scan(rows).collect()) == [(0, "apache"), (1, "mit")]
+    return {r["row"].doc_id: [(x.paragraph, x.family) for x in r.licences] for r in license_scan.scan(rows).collect()}
+
+
+def test_licence_scan(spark, docs):
+    out = license_scan.scan(docs).collect()
+    assert len(out) == len(ROWS) and not any(r.licences for r in out) and license_scan.scan(docs.limit(0)).count() == 0
+    assert {r.n_paragraphs for r in out if not r["row"].text or r["row"].text == "\n"} == {0}
+    texts = ["x\n\nReleased under the MIT License.", "Licensed under the Apache License, Version 2.0.", "The license plate of the car was new.", None, "All rights reserved."]
+    assert licences(spark, texts) == {0: [(1, "mit")], 1: [(0, "apache")], 2: [], 3: [], 4: [(0, "proprietary")]}
+
+
+def test_wrapped_licence_notices(spark):
+    import textwrap
+
+    prose = "A story of seven hills.\n"
+    found, want = [], []
+    for family, texts in license_scan.NOTICES.items():
+        for t in texts:
+            for lead in ("", "# ", " * "):
+                found.append(f"{prose}{lead.rstrip()}\n" + "\n".join(lead + x for x in textwrap.wrap(t, 72)) + "\n\nThe end.")
+                want.append(family)
+    got = licences(spark, found)
+    # a notice that wraps at the end of a sentence is two paragraphs
+    assert np.mean([family in {f for _, f in got[i]} for i, family in enumerate(want)]) >= 0.97
+
+
+def test_held_out_licence_notices_and_sentences(spark):
+    held = [(f, t) for f, texts in license_scan.HELD_NOTICES.items() for t in texts]
+    got = licences(spark, [t for _, t in held])
+    assert np.mean([[f for _, f in got[i]] == [family] for i, (family, _) in enumerate(held)]) >= 0.9
+    assert not any(licences(spark, license_scan.HELD_OTHERS).values())
 
 
 def test_toxicity_on_held_out_documents(spark, docs):
