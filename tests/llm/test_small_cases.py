@@ -154,8 +154,21 @@ def test_token_records(spark, docs, tmp_path):
         start += len(x)
 
 
+def test_token_ids_of_odd_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), token_records.PieceEncoder(path)
+    odd = ["a\u00a0b", "x\u2028y z\u0085w", "e\u0301 cafe\u0301.", "don't i'd they'll' 's 'tis", "a<|b <|endoftext|> <|ENDOFTEXT|>.", "\x00\x01 a\x1cb \x7f", "ΑΣ ΣΑΣ Σ", "İstanbul Straße DŽ ǅ", "word.) (word!?. ...", "ﬁn ℌ Å Å 가", "१२ 12a3 a_b-c's", "中文字。 日本", "a,b.c;d:", "'", "\u200d👩‍👩‍👧 🇩🇪."]
+    rng = np.random.default_rng(4)
+    bits = [c for t in odd for c in t] + list("abcdefgh .,'sS\n\tÀé")
+    odd += ["".join(rng.choice(bits, rng.integers(1, 60))) for _ in range(600)]
+    for t in [*odd, *odd]:
+        assert np.frombuffer(encoder.encode(t.encode()), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_damaged_records_are_found():
-    data = bytearray(token_records.frame(b"abcd"))
+    data = bytearray(b"".join(token_records.frame(b"abcd")))
     assert token_records.unframe(bytes(data), 0) == b"abcd"
     data[13] ^= 1
     with pytest.raises(ValueError):

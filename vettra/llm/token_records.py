@@ -15,8 +15,8 @@ reader can fetch records in any order. The manifest, a Parquet table that Spark
 lists the files of the attempts that succeeded; files of lost attempts are not in it.
 
 Encoding splits texts at ASCII white space and before a word's closing marks, which the
-tokenizer's own pre-tokens never span, and asks it once for each distinct piece; the cache
-is bounded.
+tokenizer's own pre-tokens never span, and asks it once for each piece that the bounded cache
+doesn't hold.
 
 Defined results: a null text is empty and has only the end id; ids that are null come
 first; repeated ids keep one record each, ordered by a hash of the text; an empty table
@@ -27,9 +27,11 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,8 +42,8 @@ from pyspark.sql import functions as F
 from vettra.llm.common import fresh_path, table, written
 
 MASK = 0xA282EAD8
-CACHE_PIECES = 250_000  # in each of two generations
-GROUP_BYTES = 1_000_000
+CACHE_PIECES = 400_000  # in each of two generations
+FRAME_BYTES = 16  # of a record besides its payload
 INDEX = np.dtype([("offset", "<i8"), ("n", "<i8"), ("doc_id", "<i8"), ("flags", "<i8")])
 NULL_ID = 1
 MANIFEST = "part long, data string, index string, width int, n_records long, n_ids long"
@@ -53,9 +55,10 @@ def masked(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + MASK) & 0xFFFFFFFF
 
 
-def frame(payload: bytes) -> bytes:
+def frame(payload: bytes) -> tuple[bytes, bytes, bytes]:
+    """The parts of a record, so that the payload is not copied once more."""
     head = struct.pack("<Q", len(payload))
-    return b"".join((head, struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload))))
+    return head + struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload))
 
 
 def unframe(data: bytes, at: int) -> bytes:
@@ -71,58 +74,64 @@ def unframe(data: bytes, at: int) -> bytes:
 #: A word's closing ASCII marks before white space: the pre-tokenizer cuts in front of them too.
 #: Apostrophes stay, for it knows contractions.
 CLOSING = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=\s|\Z)")
-WORD_END = "</w>"
+
+
+class Known(dict):
+    """Packed ids of pieces; asks `learn` for those that are missing."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: bytes) -> bytes:
+        found = self[piece] = self.learn(piece)
+        return found
 
 
 class PieceEncoder:
     """Ids of whole texts as packed integers, through a bounded cache of pieces of texts.
 
-    For tokenizers that lower-case, drop white space and mark the ends of words.
+    For byte-level BPE tokenizers that lower-case, drop white space and mark the ends of
+    words. Words of letters are one pre-token each, so that only the model is asked for them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.width = 2 if max(vocabulary.values()) < 65_536 else 4
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.cache: dict[bytes, bytes] = {}  # this and the last generation
+        self.merge = self.tokenizer.model.tokenize
+        self.width = 2 if max(self.tokenizer.get_vocab().values()) < 65_536 else 4
+        self.kind = "H" if self.width == 2 else "I"
+        # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.known = Known(self.learn)  # this and the last generation
         self.older: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, text: bytes) -> bytes:
+        if len(self.known) > CACHE_PIECES:
+            self.older, self.known = self.known, Known(self.learn)
         # "<|" may begin a special token, whose case counts
-        pieces = [t.split() if b"<|" in t else CLOSING.sub(rb" \1", t.lower()).split() for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache, self.older = {}, self.cache
-        new = set().union(*pieces).difference(self.cache)
-        if known := new.intersection(self.older):
-            self.cache.update((p, self.older[p]) for p in known)
-            new -= known
-        if new:
-            self.learn(new)
-        return [b"".join(map(self.cache.__getitem__, p)) for p in pieces]
-
-    def learn(self, new: set[bytes]) -> None:
-        """Asks the tokenizer: words of letters, which are one pre-token each, in one text; the rest one by one."""
-        words, rest, kind = [], [], f"<u{self.width}"
-        for piece in new:
+        pieces = text.split() if b"<|" in text else CLOSING.sub(rb" \1", text.lower()).split()
+        return b"".join(map(self.known.__getitem__, pieces))
+
+    def learn(self, piece: bytes) -> bytes:
+        found = dict.get(self.older, piece)
+        if found is None:
             text = piece.decode()
-            (words if text.isalpha() else rest).append((piece, text))
-        if words:
-            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in words), add_special_tokens=False).ids, kind)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(words):
-                rest += words
+            if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+                ids = [t.id for t in self.merge(text if text.isascii() else piece.decode("latin-1").translate(self.alphabet))]
             else:
-                a = 0
-                for (piece, _), b in zip(words, ends.tolist(), strict=True):
-                    self.cache[piece] = ids[a:b].tobytes()
-                    a = b
-        found = self.tokenizer.encode_batch([t for _, t in rest], add_special_tokens=False)
-        for (piece, _), e in zip(rest, found, strict=True):
-            self.cache[piece] = np.array(e.ids, kind).tobytes()
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            found = array(self.kind, ids).tobytes()
+        return found
+
+
+def encoder_of(path: str, made: dict = {}) -> PieceEncoder:  # noqa: B006
+    """One encoder for each worker process, whose cache serves its later tasks too."""
+    if path not in made:
+        made[path] = PieceEncoder(path)
+    return made[path]
 
 
 def open_fs(path: str):
@@ -138,7 +147,7 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int | None
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part = PieceEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()
         end = b"" if end_id is None else np.array([end_id], f"<u{encoder.width}").tobytes()
         store, root = open_fs(out)
         store.create_dir(root, recursive=True)
@@ -146,29 +155,22 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int | None
         entries, at, total = [], 0, 0
         with store.open_output_stream(f"{root}/{name}.rec") as data:
             for rows in batches:
-                ids, texts = rows["__id"].astype("Int64"), [("" if t is None else t).encode() for t in rows["__text"]]
-                flags, ids = ids.isna().to_numpy(np.int64), ids.fillna(0).to_numpy(np.int64)
-                a = 0
-                while a < len(texts):
-                    b, size = a, 0
-                    while b < len(texts) and (b == a or size + len(texts[b]) <= GROUP_BYTES):
-                        size += len(texts[b])
-                        b += 1
-                    for i, payload in enumerate(encoder.encode(texts[a:b]), a):
-                        payload += end
-                        record = frame(payload)
-                        data.write(record)
-                        n = len(payload) // encoder.width
-                        entries.append((at, n, ids[i], flags[i]))
-                        at += len(record)
-                        total += n
-                    a = b
+                ids = rows["__id"].astype("Int64")
+                flags, ids = ids.isna().tolist(), ids.fillna(0).tolist()
+                for text, doc, null in zip(rows["__text"], ids, flags, strict=True):
+                    payload = encoder.encode(text or b"") + end
+                    for part_of in frame(payload):
+                        data.write(part_of)
+                    n = len(payload) // encoder.width
+                    entries.append((at, n, doc, null))
+                    at += len(payload) + FRAME_BYTES
+                    total += n
         if entries:
             with store.open_output_stream(f"{root}/{name}.idx") as index:
                 index.write(np.array(entries, INDEX).tobytes())
             yield pd.DataFrame({"part": [part], "data": [f"{name}.rec"], "index": [f"{name}.idx"], "width": [encoder.width], "n_records": [len(entries)], "n_ids": [total]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("__text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).cast("binary").alias("__text"))
     tie = F.xxhash64("__text")
     files = rows.repartitionByRange(F.col("__id").asc_nulls_first(), tie).sortWithinPartitions(F.col("__id").asc_nulls_first(), tie).mapInPandas(task, MANIFEST)
     return written(files, "token-manifest")
