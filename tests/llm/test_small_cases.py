@@ -233,6 +233,46 @@ def test_language_on_held_out_documents(spark, docs):
     assert by[0] == by[1] == by[2] == "und" and by[7] == by[8] != "und"
 
 
+def brute_language(net, text):
+    """One window and one filter at a time."""
+    if text is None or not re.search(r"[^\W\d_]", text):
+        return "und", 0.0
+    raw = text.encode().lower()
+    total, weight = np.zeros(len(net.langs)), 0
+    for a in range(0, len(raw), 256):
+        x = np.frombuffer(raw[a : a + 256].ljust(256, b"\0"), np.uint8)
+        pooled = [max(0.0, max(sum(float(t[j, x[i + j], k]) for j in range(len(t))) for i in range(257 - len(t)))) for t in net.tables for k in range(t.shape[2])]
+        z = np.array(pooled) @ net.weights + net.bias
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        n = np.count_nonzero(x) if a + 256 >= len(raw) else 256
+        total, weight = total + n * p, weight + n
+    return net.langs[int(total.argmax())], float((total / weight).max())
+
+
+def test_language_predictions_against_brute_force(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(language_id, "FILTERS", 3)
+    net = language_id.ByteConvNet(["a", "b", "c"], [rng.normal(0, 1, (w, 256, 3)).astype(np.float32) for w in (2, 3)], rng.normal(0, 1, (6, 3)).astype(np.float32), np.zeros(3, np.float32))
+    texts = [None, "", "12", "Word", "x" * 256, "é" * 300, "long text " * 90, "Zwei\n", "\x00a"]
+    for waiting in (1, 3, 4096):
+        monkeypatch.setattr(language_id, "WAITING", waiting)
+        got = language_id.predictor(net)(pd.Series(texts))
+        for t, lang, score in zip(texts, got["lang_pred"], got["score"]):
+            want = brute_language(net, t)
+            assert lang == want[0] and score == pytest.approx(want[1], abs=1e-5)
+
+
+def test_language_training_rows(spark):
+    rows = [(i, f"text {i}", "en" if i % 3 else "de") for i in range(5000)] + [(1, "other", "en"), (None, "no id", "fr"), (None, "no id 2", "fr"), (9001, "", "es"), (9002, "u", "und"), (9003, None, "es")]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    chosen = [tuple(r) for r in language_id.chosen_ids(docs).collect()]
+    assert len(chosen) == len(set(chosen))
+    by = {lang: sum(x == lang for _, x in chosen) for lang in ("en", "de", "fr", "es")}
+    assert by == {"en": 600, "de": 600, "fr": 1, "es": 2}
+
+
 @pytest.mark.parametrize("name", ["op1_line_dedup", "op5_topk_search", "op9_license_scan"])
 def test_equals_sql(spark, name):
     compare(spark, SF, queries.QUERIES[name], queries.ORACLE_SQL[name])

@@ -4,15 +4,15 @@ A text's UTF-8 bytes (A-Z lower-cased) are cut into windows of WINDOW bytes, the
 padded with zeros. Filters of several widths slide over a window; a filter is a table of
 one weight for each offset and byte value. Each filter's rectified maximum over the window
 goes through a softmax layer. A document's probabilities are the means over all its
-windows, weighted by their bytes.
+windows, weighted by their bytes. Windows of many texts go through the network together.
 
 Training takes at most DOCS_PER_LANG labelled documents for each language, chosen by a
 hash of the id, and WINDOWS_PER_DOC windows of each; the windows, a few MB, are fitted on
 the driver. Prediction covers whole texts on the executors.
 
 Defined results: null text or text without any letter is ``und`` with score 0; with no
-labelled row, everything is ``und``; null ids count as not held out and their text may
-train; rows are independent, so repeated rows repeat their result; other columns are kept
+labelled row, everything is ``und``; of equal probabilities the language first in order
+wins; null ids count as not held out and their text may train; rows are independent, so repeated rows repeat their result; other columns are kept
 by ``identify`` unless it is told to select.
 """
 
@@ -35,6 +35,7 @@ DOCS_PER_LANG = 600
 WINDOWS_PER_DOC = 4
 EPOCHS = 12
 CHUNK = 128  # windows in one forward pass
+WAITING = 4096  # windows of one batch of texts
 UNKNOWN = "und"
 
 
@@ -114,11 +115,28 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 1) -> Byte
     return net
 
 
-def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteConvNet | None:
-    """A network from the rows where `learn` holds and the language is known; None without any."""
-    labelled = docs.where(F.coalesce(learn, F.lit(False)) & F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN) & (F.length(text) > 0))
+def chosen_ids(labelled: DataFrame) -> DataFrame:
+    """(id, lang) of the DOCS_PER_LANG least draws of each language, a draw being a hash of the id.
+
+    Draws beyond twice the share that a language needs go first, so that no task gets all
+    rows of a common language.
+    """
+    draw = F.xxhash64("id")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))  # a row for each language
+    share = F.least(F.lit(1.0), F.lit(2.0 * DOCS_PER_LANG) / F.col("size"))
+    few = labelled.join(F.broadcast(sizes), "lang").where((draw / F.lit(2.0**64) + 0.5) <= share).select("id", "lang", draw.alias("draw")).distinct()
     order = Window.partitionBy("lang").orderBy("draw", "id")
-    chosen = labelled.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.xxhash64(F.col(id_col)).alias("draw")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCS_PER_LANG)
+    return few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCS_PER_LANG).select("id", "lang")
+
+
+def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteConvNet | None:
+    """A network from the rows where `learn` holds and the language is known; None without any.
+
+    Rows labelled ``und`` don't train, nor do chosen documents without text. Of rows that
+    share id and language, one trains.
+    """
+    labelled = docs.where(F.coalesce(learn, F.lit(False)) & F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN))
+    labelled = labelled.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -129,8 +147,11 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "tex
                 out += [(y, x[k].tobytes()) for k in at]
             yield pd.DataFrame(out, columns=["lang", "window"])
 
-    ids = F.broadcast(chosen.select("id", "lang").distinct())  # DOCS_PER_LANG for each language at most
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(ids, ["id", "lang"], "left_semi").mapInPandas(sample, "lang string, window binary").toPandas()
+    ids = F.broadcast(chosen_ids(labelled))  # DOCS_PER_LANG for each language at most
+    same = F.col("id").eqNullSafe(F.col("chosen"))
+    texts = labelled.join(ids.select(F.col("id").alias("chosen"), F.col("lang").alias("of")), same & (F.col("lang") == F.col("of")), "left_semi")
+    texts = texts.where(F.length("text") > 0).groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = texts.mapInPandas(sample, "lang string, window binary").toPandas()
     if not len(rows):
         return None
     rows = rows.sort_values(["lang", "window"])
@@ -139,22 +160,39 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "tex
 
 
 def predictor(net: ByteConvNet | None) -> Callable[[pd.Series], pd.DataFrame]:
+    """Predicts a batch of texts: the windows of many texts go through the network together."""
+
     def predict(texts: pd.Series) -> pd.DataFrame:
         import regex
 
-        letter, out = regex.compile(r"\p{L}"), []
-        for t in texts:
-            if net is None or t is None or not letter.search(t):
-                out.append((UNKNOWN, 0.0))
-                continue
-            x = windows(t)
-            p = net.probabilities(x)
+        letter = regex.compile(r"\p{L}")
+        langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        held: list[tuple[int, np.ndarray]] = []
+
+        def flush() -> None:
+            if not held:
+                return
+            at, cuts = [i for i, _ in held], np.cumsum([0, *(len(x) for _, x in held)])
+            x = np.concatenate([x for _, x in held])
             size = np.full(len(x), WINDOW, np.float64)
-            size[-1] = np.count_nonzero(x[-1])
-            mean = (p * size[:, None]).sum(axis=0) / size.sum()
-            best = int(mean.argmax())
-            out.append((net.langs[best], float(min(1.0, mean[best]))))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
+            ends = cuts[1:] - 1
+            size[ends] = np.count_nonzero(x[ends], axis=1)
+            total = np.add.reduceat(net.probabilities(x) * size[:, None], cuts[:-1], axis=0)
+            mean = total / np.add.reduceat(size, cuts[:-1])[:, None]
+            best = mean.argmax(axis=1)
+            langs[at], scores[at] = np.array(net.langs, object)[best], np.minimum(1.0, mean[np.arange(len(best)), best])
+            held.clear()
+
+        waiting = 0
+        for i, t in enumerate(texts):
+            if net is not None and t is not None and letter.search(t):
+                held.append((i, windows(t)))
+                waiting += len(held[-1][1])
+                if waiting >= WAITING:
+                    flush()
+                    waiting = 0
+        flush()
+        return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     return predict
 
