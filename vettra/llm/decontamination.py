@@ -5,7 +5,8 @@ of every W consecutive k-grams, with k + W - 1 = SPAN: any SPAN words that a doc
 shares with an item hold W whole k-grams, so both keep the same one. Shorter items are one
 window of n words; for each such n, all n-grams are kept. Kept hashes of documents that
 pass a Bloom filter of fixed size over the items' hashes are joined with the items' by
-hash. Each side carries the hashes of the words around its k-gram as far as a window can
+hash; a hash that many documents hold is spread over SALTS tasks, with the items' side, which
+is small beside the documents', copied. Each side carries the hashes of the words around its k-gram as far as a window can
 reach, so the join extends a hit to both sides without the texts: the longest common run
 counts if it is at least a window long.
 
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 from vettra.llm.common import row_key, table, written
 
-SPAN, GRAM = 13, 5
+SPAN, GRAM = 13, 8
 BLOOM_BITS = 1 << 24
+SALTS = 32
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 CANDIDATE = "struct<fp: long, n: int, at: long, near: binary>"
 
@@ -131,8 +133,11 @@ def hit_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: s
 
     udf = F.pandas_udf(candidates, f"n_words long, found array<{CANDIDATE}>")
     base = written(docs.select(F.col(id_col).alias("id"), *row_key(F.col(id_col), F.col(text)), udf(F.col(text)).alias("x")).select("id", "rk1", "rk2", "x.n_words", "x.found"), "candidates")
-    asked = base.select("rk1", "rk2", F.explode("found").alias("c")).select("rk1", "rk2", "c.fp", "c.n", "c.at", F.col("c.near").alias("doc_near"))
-    pairs = asked.join(grams, ["fp", "n"])
+    salt = F.pmod(F.xxhash64("rk1", "rk2", "c.at"), F.lit(SALTS)).cast("int").alias("salt")
+    asked = base.select("rk1", "rk2", F.explode("found").alias("c")).select("rk1", "rk2", "c.fp", "c.n", "c.at", F.col("c.near").alias("doc_near"), salt)
+    # items that hold the same words around a k-gram are compared once
+    contexts = grams.groupBy("fp", "n", "near").agg(F.collect_set("item_id").alias("items"))
+    pairs = asked.join(contexts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["fp", "n", "salt"])
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -144,9 +149,10 @@ def hit_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: s
                 right = np.cumprod(same[:, r + k :], axis=1).sum(axis=1) if r else np.zeros(len(part), np.int64)
                 ok = same[:, r : r + k].all(axis=1) & (left + k + right >= n)
                 at = part["at"].to_numpy(np.int64)
-                yield part.assign(a=at - left, b=at + k + right).loc[ok, ["rk1", "rk2", "item_id", "a", "b"]]
+                yield part.assign(a=at - left, b=at + k + right).loc[ok, ["rk1", "rk2", "items", "a", "b"]]
 
-    hits = pairs.select("rk1", "rk2", "item_id", "n", "at", "doc_near", "near").mapInPandas(extend, "rk1 long, rk2 long, item_id string, a long, b long")
+    found = pairs.select("rk1", "rk2", "items", "n", "at", "doc_near", "near").mapInPandas(extend, "rk1 long, rk2 long, items array<string>, a long, b long")
+    hits = found.select("rk1", "rk2", F.explode("items").alias("item_id"), "a", "b")
     return base.select("id", "rk1", "rk2", "n_words"), hits
 
 
