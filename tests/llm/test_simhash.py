@@ -35,7 +35,7 @@ def brute_roots(prints):
     return [find(i) for i in range(len(prints))]
 
 
-@pytest.mark.parametrize("heavy", [3, 50_000])
+@pytest.mark.parametrize("heavy", [1, 3, 20, 50_000])
 def test_links_span_the_components_of_all_pairs(spark, heavy):
     rng = np.random.default_rng(5)
     rows = []

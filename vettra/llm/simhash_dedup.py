@@ -4,8 +4,8 @@ Fingerprints are majority bits over the XXH64 of word shingles. Equal fingerprin
 collapse first, so copies cost nothing. Two fingerprints within 3 bits agree on one of
 four 16-bit blocks, so the trie is rotated to lead with each block in turn: its first
 levels allow no differing bit, and every subtree below them is searched on its own. A
-subtree with more than HEAVY fingerprints is divided further by a 12-bit block of the
-rest. Inside a subtree, pairs of nodes descend together, level by level: a pair that takes
+subtree with more than HEAVY fingerprints is divided further by a block of the rest, and
+again. Inside a subtree, pairs of nodes descend together, level by level: a pair that takes
 different children adds one to its differing bits and is dropped above the budget; small
 pairs of nodes are compared bit by bit. Each task returns a spanning forest of its links,
 never all pairs, and the components of all links are found in joins.
@@ -23,7 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vettra.llm.common import row_key, table, written
@@ -124,15 +124,14 @@ def subtree_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spanning forests of the links inside subtrees; rows come sorted by subtree, which may span batches."""
 
     def forest(rows: pd.DataFrame) -> pd.DataFrame:
-        subtree, prints = rows["subtree"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64).view(np.uint64)
-        # rotate each print so that its subtree's block leads: the shared bits come first
-        turn = ((subtree >> 33) & 3).astype(np.uint64) * np.uint64(16)
-        turned = np.where(turn == 0, prints, (prints << turn) | (prints >> ((np.uint64(64) - turn) & np.uint64(63))))
-        order = np.lexsort((turned, subtree))
-        a, b = trie_links(subtree[order], turned[order])
-        root = local_roots(len(order), a, b)
+        subtree, rest, prints = (rows[c].to_numpy(np.int64) for c in ("subtree", "rest", "fp"))
+        rest = rest.view(np.uint64)
+        order = np.lexsort((rest, subtree))
+        a, b = trie_links(subtree[order], rest[order])
+        fp = prints[order]
+        real = np.bitwise_count(fp.view(np.uint64)[a] ^ fp.view(np.uint64)[b]) <= BUDGET  # numbers of subtrees are hashes
+        root = local_roots(len(order), a[real], b[real])
         moved = np.flatnonzero(root != np.arange(len(root)))
-        fp = prints.view(np.int64)[order]
         return pd.DataFrame({"u": fp[moved], "v": fp[root[moved]]})
 
     held: list[pd.DataFrame] = []
@@ -151,32 +150,37 @@ def subtree_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield forest(pd.concat(held, ignore_index=True))
 
 
-def blocks(fp, width: int, count: int, first: int = 0):
-    """Columns of `count` blocks of `width` bits from the top, after `first` bits."""
-    return [F.shiftrightunsigned(fp, 64 - first - width * (i + 1)).bitwiseAND(F.lit((1 << width) - 1)) for i in range(count)]
+def below(subtree: Column, rest: Column, width: int, left: int) -> Column:
+    """(subtree, rest) for each block of `width` bits of the `left` bits that lead `rest`: rest loses the block."""
+    out = []
+    for i in range(left // width):
+        before, after = width * i, width * (i + 1)
+        block = F.shiftrightunsigned(rest, 64 - after).bitwiseAND(F.lit((1 << width) - 1))
+        lead = F.shiftleft(F.shiftrightunsigned(rest, 64 - before), 64 - before) if before else F.lit(0).cast("long")
+        tail = F.shiftrightunsigned(F.shiftleft(rest, after), before) if after < 64 else F.lit(0).cast("long")
+        out.append(F.struct(F.xxhash64(subtree, F.lit(i), block).alias("subtree"), lead.bitwiseOR(tail).alias("rest")))
+    return F.array(*out)
 
 
 def near_links(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """(u, v): links that span the components of distinct fingerprints `fp` within BUDGET bits.
 
-    The subtree number is block index, its 16 bits, then 0 or, in a heavy subtree, 1 plus
-    the index and the 12 bits of a second block.
+    Two fingerprints within 3 bits agree on one of four blocks of the bits that a subtree
+    has left: 16 bits at the top, then, in heavy subtrees, 12 and 9 of what is left. Below
+    that, a subtree's fingerprints share 37 bits and are searched whatever their number.
     """
-    tops = F.array(*((b + F.lit(i << 16)).cast("long") for i, b in enumerate(blocks(F.col("fp"), 16, 4))))
-    keyed = prints.select("fp", F.explode(tops).alias("top"))
-    big = written(keyed.groupBy("top").count().where(F.col("count") > heavy).select("top"), "heavy")
-    wide = F.lit(1 << 17)
-    light = keyed
-    if big.count():
-        light = keyed.join(big, "top", "left_anti")
-        turn = F.shiftright("top", 16).cast("int") * 16
-        turned = F.expr("shiftleft(fp, cast(shiftright(top, 16) as int) * 16) | CASE WHEN shiftright(top, 16) = 0 THEN 0L ELSE shiftrightunsigned(fp, 64 - cast(shiftright(top, 16) as int) * 16) END")
-        subs = F.array(*((F.lit(1) + b + F.lit(i << 12)).cast("long") for i, b in enumerate(blocks(F.col("turned"), 12, 4, 16))))
-        split = keyed.join(big, "top").withColumn("turned", turned).select("fp", "top", F.explode(subs).alias("sub"))
-        rows = light.select("fp", (F.col("top") * wide).alias("subtree")).unionByName(split.select("fp", (F.col("top") * wide + F.col("sub")).alias("subtree")))
-    else:
-        rows = light.select("fp", (F.col("top") * wide).alias("subtree"))
-    return rows.repartition("subtree").sortWithinPartitions("subtree").mapInPandas(subtree_links, "u long, v long")
+    left, done = 64, None
+    rows = prints.select("fp", F.explode(below(F.lit(0).cast("long"), F.col("fp"), 16, left)).alias("x")).select("fp", "x.subtree", "x.rest")
+    for width in (12, 9):
+        left -= left // 4
+        big = written(rows.groupBy("subtree").count().where(F.col("count") > heavy).select("subtree"), "heavy")
+        if not big.count():
+            break
+        light = rows.join(big, "subtree", "left_anti")
+        done = light if done is None else done.unionByName(light)
+        rows = rows.join(big, "subtree", "left_semi").select("fp", F.explode(below(F.col("subtree"), F.col("rest"), width, left)).alias("x")).select("fp", "x.subtree", "x.rest")
+    rows = rows if done is None else done.unionByName(rows)
+    return rows.select("subtree", "rest", "fp").repartition("subtree").sortWithinPartitions("subtree").mapInPandas(subtree_links, "u long, v long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
