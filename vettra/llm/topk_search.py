@@ -5,7 +5,8 @@ integer vectors) and each dimension's largest and smallest value. A block's boun
 query is the sum over dimensions of the larger of query value times maximum or minimum.
 A task holds one bounded group of queries and one bounded shard of blocks; each query
 visits the blocks from the highest bound down and stops when a bound falls below its
-k-th score. The shards' lists are then merged. Every query meets every row unless a
+k-th score. With several shards, a first round over one of them gives every query a k-th
+score to start from in all of them. The shards' lists are then merged. Every query meets every row unless a
 bound excludes the row's block, so results are exact.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vettra.llm.common import table
+from vettra.llm.common import table, written
 
 BLOCK_ROWS = 1024
 SHARD_ROWS = 16_384
@@ -57,8 +58,8 @@ def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"first": [int(ids[0])], "ids": [ids.tobytes()], "width": [m.shape[1]], "forward": [m.tobytes()]})
 
 
-def top_k(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, id, score) of each query's k best rows in these blocks."""
+def top_k(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, score) of each query's k best rows in these blocks; rows below the query's floor may be left out."""
     width = max([queries.shape[1], *(m.shape[1] for _, m in blocks)])
     pad = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
     queries, blocks = pad(queries), [(ids, pad(m)) for ids, m in blocks]
@@ -70,7 +71,7 @@ def top_k(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndar
     bound = np.maximum(q, 0) @ most.T + np.minimum(q, 0) @ least.T
     order = np.argsort(-bound, axis=1, kind="stable")
     low = kind(-np.inf) if kind is np.float64 else NONE
-    kth = np.full(len(q), low)
+    kth = np.full(len(q), low) if floors is None else np.where(floors == NONE, low, floors.astype(kind))
     best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind))
     for turn in range(len(blocks)):
         block = order[:, turn]
@@ -94,7 +95,7 @@ def top_k(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndar
         keep = place < k
         best = n[keep], ids[keep], score[keep]
         full = place == k - 1
-        kth[n[full]] = score[full]
+        kth[n[full]] = np.maximum(kth[n[full]], score[full])
     return best
 
 
@@ -107,18 +108,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     blocks = rows.repartitionByRange("id", F.xxhash64("v")).sortWithinPartitions("id").mapInPandas(blocks_of, "first long, ids binary, width int, forward binary")
     dealt = blocks.select(F.pmod(F.xxhash64("first", "ids"), F.lit(shards)).cast("int").alias("shard"), all_of(groups).alias("group"), "ids", "width", "forward")
-    asked = asked.select(F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int").alias("group"), all_of(shards).alias("shard"), "id", "v", F.xxhash64("id", "v").alias("qk"))
+    asked = asked.select(F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int").alias("group"), "id", "v", F.xxhash64("id", "v").alias("qk"))
 
     def task(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(bs):
             return pd.DataFrame({"query_id": [], "qk": [], "vec_id": [], "score": []})
         at = [(np.frombuffer(i, np.int64), np.frombuffer(m, np.int64).reshape(-1, w) if w else np.zeros((len(i) // 8, 0), np.int64)) for i, m, w in zip(bs["ids"], bs["forward"], bs["width"], strict=True)]
-        n, ids, score = top_k(qs["id"].to_numpy(np.int64), matrix(list(qs["v"])), at, k)
+        n, ids, score = top_k(qs["id"].to_numpy(np.int64), matrix(list(qs["v"])), at, k, qs["floor"].to_numpy(np.int64))
         return pd.DataFrame({"query_id": qs["id"].to_numpy()[n], "qk": qs["qk"].to_numpy()[n], "vec_id": ids, "score": score.astype(np.int64)})
 
-    lists = asked.groupBy("group", "shard").cogroup(dealt.groupBy("group", "shard")).applyInPandas(task, "query_id long, qk long, vec_id long, score long")
+    def lists(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+        return asked.groupBy("group", "shard").cogroup(blocks.groupBy("group", "shard")).applyInPandas(task, "query_id long, qk long, vec_id long, score long")
+
     best = Window.partitionBy("query_id", "qk").orderBy(F.desc("score"), "vec_id")
-    return lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = asked.withColumn("floor", F.lit(NONE))
+    if shards > 1:
+        # a first round over one shard gives each query a k-th score, below which the other shards' lists end
+        dealt = written(dealt, "search-blocks")
+        seeds = lists(asked.withColumn("shard", F.lit(0)), dealt.where("shard = 0"))
+        seeds = written(seeds.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", "qk", F.col("score").alias("seed")), "search-floors")
+        asked = asked.join(seeds, (F.col("id") == F.col("query_id")) & asked.qk.eqNullSafe(seeds.qk), "left").select("group", "id", "v", asked.qk, F.coalesce("seed", "floor").alias("floor"))
+    found = lists(asked.withColumn("shard", all_of(shards)), dealt)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
