@@ -62,6 +62,17 @@ def test_line_probes_spread_over_places(spark, monkeypatch):
     assert set(probes) <= {r.place for r in seen[0] if r.kind == 0}
 
 
+def test_lines_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 100)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 50)
+    rows = [(i, "\n".join(["Hot line", *(f"line {(i * 7 + j) % 900}" for j in range(5))])) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.dedup_lines(docs, min_docs=4).select("row.doc_id", "kept", "n_lines", "n_dropped").collect()
+    assert by_text(map(tuple, found)) == by_text(brute_lines(rows, 4))
+    index, shards, hot = line_dedup.line_index(line_dedup.line_hashes(docs, "doc_id", "text", 1))
+    assert shards > 5 and len(hot) == 1 and {r.shard for r in index.select("shard").collect()} >= {-1, 0, 1}
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     h1, h2 = (rng.integers(0, 2**64, 5000, dtype=np.uint64) for _ in range(2))
@@ -81,7 +92,10 @@ def test_sharding(spark, docs):
     assert sharding.assign_shards(docs.limit(0), "doc_id", "text", tree, sharding.grown_tree(tree)).count() == 0
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("shard_rows", [16_384, 40])
+def test_topk(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", min(topk_search.BLOCK_ROWS, shard_rows // 2))
     rng = np.random.default_rng(2)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 1, 8)]) for i in range(300)]
     rows += [(300, rows[3][1]), (301, rows[3][1]), (302, None), (303, [1.0, None]), (304, [float("nan")] * 8), (305, [float("inf")] * 8), (None, [1.0] * 8), (306, [])]
@@ -117,6 +131,15 @@ def test_sentencepiece_of_real_texts(spark, library):
         assert ids.tolist() == library.encode(text) and codec.decode(ids) == text
 
 
+def test_sentencepiece_of_random_texts(library):
+    codec = sentencepiece_codec.load_codec(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(8)
+    bits = [*"aaabcdeehiilnoorsttu  ..,'\n\t", "é", "ß", "\u00a0", "\u2028", "e\u0301", "▁", "<|", "don't", "中", "👩‍👩‍👧", "\x01", "  ", "the ", "ing"]
+    for _ in range(1500):
+        t = "".join(rng.choice(bits, rng.integers(1, 40)))
+        assert codec.encode(t).tolist() == library.encode(t), repr(t)
+
+
 def test_unigram_viterbi_is_the_best_of_all_segmentations():
     pieces = {"a": (1, -2.0), "b": (2, -2.5), "ab": (3, -3.0), "ba": (4, -4.6), "aba": (5, -6.2), "▁": (6, -1.0)}
     codec = sentencepiece_codec.PieceCodec(pieces, None, bpe=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vettra.llm.common import written
+from vettra.llm.common import drop, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,4 +29,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = written(large, "edges")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v")))
-        pairs = written(small.distinct(), "edges")
+        last, pairs = pairs, written(small.distinct(), "edges")
+        drop(last)
+        drop(large)

@@ -105,17 +105,24 @@ class PerfectHash:
 
 def line_keys(text: Column) -> Column:
     """The key of each line: A-Z lower-cased, white space stripped at both ends."""
-    return F.transform(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n", -1), lambda x: F.btrim(x, F.lit(STRIP)))
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: ascii_lower(F.btrim(x, F.lit(STRIP))))
 
 
 def hashes(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
 
 
-def line_index(docs: DataFrame, text: str, min_chars: int) -> tuple[DataFrame, int, list[int]]:
+def line_hashes(docs: DataFrame, id_col: str, text: str, min_chars: int) -> DataFrame:
+    """(rk1, rk2, hs) of each row: the hashes of its lines' keys in order, null for keys that are too short. Written, so that texts are split and hashed once."""
+    counted = F.transform("keys", lambda x: F.when(F.char_length(x) >= min_chars, hashes(x)))
+    split = docs.select(*row_key(F.col(id_col), F.col(text)), line_keys(F.col(text)).alias("keys"))
+    return written(split.select("rk1", "rk2", counted.alias("hs")), "line-hashes")
+
+
+def line_index(hashed: DataFrame) -> tuple[DataFrame, int, list[int]]:
     """(shard, blob) rows, the number of shards, and the h1 of hot keys (their shard is -1)."""
-    keys = F.filter(F.array_distinct(line_keys(F.col(text))), lambda x: F.char_length(x) >= min_chars)
-    counts = written(docs.select(F.explode(F.transform(keys, hashes)).alias("h")).groupBy("h.h1", "h.h2").agg(F.count(F.lit(1)).alias("n")), "line-counts")
+    each = hashed.select(F.explode(F.array_distinct(F.array_compact("hs"))).alias("h"))
+    counts = written(each.groupBy("h.h1", "h.h2").agg(F.count(F.lit(1)).alias("n")), "line-counts")
     distinct, pairs = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(1, -(-distinct // KEYS_PER_SHARD))
     # at most HOT_SHARE keys can have so large a share, so this list is bounded
@@ -134,10 +141,9 @@ def shared_lines(docs: DataFrame, id_col: str, text: str, min_docs: int, min_cha
     """(rk1, rk2, dropped): numbers of the lines, from 0, whose key at least min_docs documents hold."""
     if not 1 <= min_docs <= COUNT_MAX:
         raise ValueError(f"min_docs must be from 1 to {COUNT_MAX}")
-    index, shards, hot = line_index(docs, text, min_chars)
-    split = docs.select(*row_key(F.col(id_col), F.col(text)), line_keys(F.col(text)).alias("keys"))  # before the explode, which would carry the text along
-    lines = split.select("rk1", "rk2", F.posexplode("keys").alias("line", "key")).where(F.char_length("key") >= min_chars)
-    h = lines.select("rk1", "rk2", "line", hashes(F.col("key")).alias("h")).select("rk1", "rk2", "line", "h.h1", "h.h2")
+    hashed = line_hashes(docs, id_col, text, min_chars)
+    index, shards, hot = line_index(hashed)
+    h = hashed.select("rk1", "rk2", F.posexplode("hs").alias("line", "h")).where("h IS NOT NULL").select("rk1", "rk2", "line", "h.h1", "h.h2")
     shard = F.when(F.col("h1").isin(hot), F.lit(-1)).otherwise(F.pmod("h1", F.lit(shards))).cast("long")
     h = h.withColumn("shard", shard)
     # a row for each shard

@@ -135,8 +135,10 @@ def encoder_of(path: str, made: dict = {}) -> PieceEncoder:  # noqa: B006
 
 
 def open_fs(path: str):
+    """pyarrow's file system and path of a folder; Spark's names of S3 stores are pyarrow's s3."""
     from pyarrow import fs
 
+    path = re.sub("^s3[an]://", "s3://", path)
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
