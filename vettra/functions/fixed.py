@@ -41,3 +41,74 @@ PROFILES = {
     "salaried_loan": (("pan", "aadhaar", "address_proof", "salary_slip", "form16", "bank_statement"), ("itr",)),
 }
 SLOT_TYPES = {"pan": "identity", "aadhaar": "identity"}
+# fixed values: label layouts of each document type, (kind, patterns in order of preference)
+_PAN = r"[A-Z]{5}\d{4}[A-Z]"
+FIELDS = {
+    "identity": {"name": ("text", (r"Name:\s+(.+)",)), "pan": ("text", (rf"PAN:\s+({_PAN})",)), "dob": ("text", (r"Date of Birth:\s+(\S+)",))},
+    "form16": {
+        "name": ("text", (r"Employee:\s+(.+)", r"Name and address of the Employee\s*\n\s*(.+)")),
+        "pan": ("last", (rf"PAN:\s+({_PAN})", _PAN)),
+        "employer": ("text", (r"Employer:\s+(.+)", r"Name and address of the Employer\s*\n\s*(.+)")),
+        "gross_income": ("money", (r"(?i)Gross Salary[^\n]*(?:\n[^\n]*)?\bRs\.\s*([\d,]+)", r"(?is)Gross Salary.*?Rs\.\s*([\d,]+)")),
+        "tax_paid": ("money", (r"(?i)Tax Deducted[^\n]*(?:\n[^\n]*)?\bRs\.\s*([\d,]+)", r"(?is)Tax Deducted.*?Rs\.\s*([\d,]+)")),
+        "fy": ("text", (r"FY\s+(\d{4}-\d{2})",)),
+    },
+    "salary_slip": {
+        "name": ("text", (r"Employee:\s+(.+)", r"Employee Name:\s+(.+)")),
+        "net_monthly": ("money", (r"(?i)Net Pay[^\n]*(?:\n[^\n]*)?\bRs\.\s*([\d,]+)", r"(?is)Net Pay.*?Rs\.\s*([\d,]+)")),
+        "employer": ("text", (r"SALARY SLIP\s*\n(.+?)\s*\|", r"(.+?)\n[^\n]*\nPayslip for the month")),
+    },
+    "bank_statement": {
+        "name": ("text", (r"Holder:\s+(.+)",)), "masked_account": ("text", (r"Account:\s+(\S+)",)),
+        "salary_credits": ("moneys", (r"(?i)SALARY CREDIT[^\n]*Rs\.\s*([\d,]+)", r"(?i)SALARY CREDIT[^\n]*\n\s*Rs\.\s*([\d,]+)")),
+    },
+    "sale_deed": {
+        "property_id": ("text", (r"Property No:\s+(\S+)",)), "property_address": ("text", (r"Property Addr:\s+(.+)",)), "owner_name": ("text", (r"Owner\s*\(Vendee\):\s+(.+)",)),
+        "pan": ("text", (rf"PAN of Vendee:\s+({_PAN})",)), "consideration": ("money", (r"(?i)Consideration:\s*Rs\.\s*([\d,]+)",)),
+    },
+    "encumbrance_certificate": {
+        "property_id": ("text", (r"Property:\s+(\S+)",)), "owner_name": ("text", (r"Owner:\s+(.+)",)), "property_address": ("text", (r"Property Addr:\s+(.+)",)),
+        "period": ("text", (r"Period:\s+(\S+)",)), "claims_nil": ("flag", ("(?i)NIL ENCUMBRANCES",)),
+    },
+    "property_valuation": {
+        "property_id": ("text", (r"Property No:\s+(\S+)",)), "property_address": ("text", (r"Property Addr:\s+(.+)",)), "owner_name": ("text", (r"Owner:\s+(.+)",)),
+        "valuation_amount": ("money", (r"(?i)Assessed Market Value[^\n]*(?:\n[^\n]*)?\bRs\.\s*([\d,]+)", r"(?is)Assessed Market Value.*?Rs\.\s*([\d,]+)")),
+    },
+    "legal_opinion": {
+        "property_id": ("text", (r"Property No:\s+(\S+)",)), "owner_name": ("text", (r"Owner examined:\s+(.+)",)), "advocate": ("text", (r"Advocate:\s+(.+)",)),
+        "title_clear": ("flag", ("(?i)title is clear",)), "title_unclear": ("flag", ("(?i)title is NOT clear",)),
+    },
+    "address_proof": {
+        "name": ("text", (r"(?i)(?:Consumer Name|Customer Name|Name of Consumer|Holder|Name)\s*[:\-]?\s*([A-Za-z][A-Za-z .]{2,})",)),
+        "address": ("text", (r"(?i)(?:Service Address|Billing Address|Permanent Address|Address)\s*[:\-]?\s*(.+)",)),
+        "issue_date": ("text", (r"(?i)(?:Bill Date|Date of Issue|Issue Date|Date)\s*[:\-]?\s*([0-3]?\d[/\-.][0-3A-Za-z]{1,9}[/\-.]\d{2,4})",)),
+    },
+}
+CHARGE_PATTERN = r"(?i)mortgage in favour of ([^,\n]+),\s*Rs\.\s*([\d,]+),\s*registered\s+(\S+)"
+BORN_PATTERN = r"(?i)(?:Date of Birth|DOB|D\.?O\.?B\.?)\s*[:\-]?\s*([0-3]?\d[/\-.][0-3A-Za-z]{1,9}[/\-.]\d{2,4})"
+CARD_NAME_PATTERN = r"\bName\s*[:\-]?\s*([A-Za-z][A-Za-z .]+)"
+# fixed values: rules in order of evaluation, (title, confidence); the words of the titles set the model's features
+RULES = {
+    "income_bank": ("Income declared on Form 16 inconsistent with bank credits", 0.90),
+    "income_slip": ("Income declared on Form 16 inconsistent with salary slip", 0.90),
+    "name": ("Applicant name inconsistency across documents", 0.90),
+    "pan": ("PAN inconsistency across documents", 0.97),
+    "owner": ("Sale deed owner does not match applicant", 0.88),
+    "property": ("Property ID inconsistency across collateral documents", 0.90),
+    "ltv": ("Abnormal loan-to-value ratio", 0.90),
+    "valuation": ("Property valuation inflated above registry market value", 0.90),
+    "loan": ("Loan exceeds registered market value (LTV vs registry > 100%)", 0.92),
+    "encumbrance": ("Encumbrance certificate contradicts CERSAI registry", 0.95),
+}
+INCOME_TOLERANCE, INCOME_SEVERE, LTV_FLAG, INFLATION_FLAG, INFLATION_SEVERE = 0.20, 0.40, 0.90, 0.20, 0.40
+# fixed values: words of titles that set a feature
+FORENSIC_FLAGS = {"has_whitebox_edit": ("white", "covered"), "has_font_inconsistency": ("font",), "has_duplicate_image": ("duplicate", "copy"), "has_incremental_update": ("incremental",), "has_suspicious_metadata": ("suspicious", "future", "impossible", "modified long")}
+SEMANTIC_FLAGS = {"has_income_inconsistency": ("income", "bank", "salary"), "has_property_irregularity": ("property", "valuation", "ltv", "loan-to-value", "registry"), "has_cersai_violation": ("cersai", "encumbrance")}
+# fixed values: order of the model's features, and how evidence names them
+FEATURES = {
+    "n_forensic_total": "number of document tamper signals", "n_forensic_high_critical": "number of severe tamper signals", "has_whitebox_edit": "white-box / overwrite edit detected",
+    "has_font_inconsistency": "inconsistent font in a key figure", "has_duplicate_image": "duplicated (copy-pasted) content", "has_incremental_update": "post-hoc incremental PDF revision",
+    "has_suspicious_metadata": "suspicious authoring software or dates", "n_semantic_total": "number of cross-document inconsistencies", "has_income_inconsistency": "declared income vs bank/salary mismatch",
+    "has_property_irregularity": "property valuation / ID / LTV irregularity", "has_cersai_violation": "undisclosed registered charge (CERSAI)", "submit_velocity_hours": "submission timing relative to document creation",
+    "max_doc_gap_days": "spread of document creation dates", "all_docs_same_timestamp": "all documents share one creation timestamp", "creation_before_submission": "document dates inconsistent with submission", "doc_count": "packet document count",
+}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from vettra.plans import documents, scoring
+from vettra.plans import documents, packets, scoring
 
-QUERIES: dict = {**scoring.QUERIES, **documents.QUERIES}
-ORACLE_SQL: dict[str, str] = {**scoring.ORACLE_SQL, **documents.ORACLE_SQL}
+PARTS = (scoring, documents, packets)
+QUERIES: dict = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}
