@@ -109,6 +109,32 @@ def test_topk(spark, monkeypatch, shard_rows):
     assert topk_search.search(vectors.limit(0), vectors, 5).count() == 0 == topk_search.search(vectors, vectors.limit(0), 5).count()
 
 
+def test_toxicity_distances_against_brute_force(spark):
+    import zstandard as z
+
+    words = ["alpha", "beta", "gamma", "delta", "vile", "rotten", "Ünfug"]
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(words[:4], 30)) + (" vile rotten ünfug" if i % 3 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (3, "another text of id 3"), (None, "vile"), (900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(5, 1), (5, 0), (7, None), (900, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, toxicity.learnable(toxicity.F.col("doc_id")))
+    assert model.weights is not None and len(model.ordinary) == len(model.toxic)
+    params = z.ZstdCompressionParameters(strategy=z.STRATEGY_LAZY2, window_log=17, chain_log=18, hash_log=18, search_log=6, min_match=4, target_length=16, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
+
+    def length(content, window):  # a fresh dictionary and compressor for each window
+        return len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params).compress(window))
+
+    known, n = toxicity.WordDistance(model.ordinary, model.toxic, model.frame), toxicity.FRAME_BYTES
+    for text in ["alpha vile, VILE!", "", None, "x" * 5000, "Ünfug rotten beta", "1 2 3"]:
+        found = re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        windows = [model.frame[:n] + b" " + w + b" " + model.frame[n:] for w in found]
+        assert known.distances(text).tolist() == [length(model.ordinary, w) - length(model.toxic, w) for w in windows]
+    clashing = spark.createDataFrame([("vile rotten alpha", 1.5, 2), (None, 1.5, 2)], "text string, score double, predicted int")
+    out = toxicity.classify(clashing, model).collect()
+    assert [r["row"].score for r in out] == [1.5, 1.5] and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out)
+    assert toxicity.classify(docs.limit(0), model).count() == 0
+
+
 @pytest.fixture(scope="module")
 def library():
     from sentencepiece import SentencePieceProcessor

@@ -12,8 +12,12 @@ first, and would not search its last bytes without the second. A text's
 features are how many windows, in number and as a rate, are shorter by 3 to 7 bytes or
 more with the toxic dictionary; a logistic regression turns them into a probability.
 
-Training takes at most TRAIN_DOCS labelled documents, chosen by a hash of the id; the
-driver gets at most DICTIONARY_WORDS words of each kind and one row of features for each
+The windows are single words, and the dictionaries lists of a class's words, because
+longer windows of running text and dictionaries that zstandard trains itself were measured
+and find far fewer toxic documents (README).
+
+Training takes at most TRAIN_DOCS labelled documents, chosen by a hash of the id, one row of
+each id; the driver gets at most DICTIONARY_WORDS words of each kind and one row of features for each
 training document. Scoring covers whole texts; a bounded cache keeps words' differences.
 
 Defined results: null text scores as empty text; without both classes among the training
@@ -141,7 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     """A model from labelled rows of `docs`; `learn` is a condition on the id."""
     known = labels.where(F.coalesce(learn, F.lit(False)) & F.col(toxic).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(toxic).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
-    sample = written(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "toxic"), "toxicity-sample")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    # one row of each id, so that the bound on ids bounds what the driver gets
+    sample = written(rows.groupBy("id", "toxic").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text")).select("id", "text", "toxic"), "toxicity-sample")
     if sample.select("toxic").distinct().count() < 2:
         return ToxicityModel(b"", b"", b"", None)
     counts = written(word_counts(sample), "word-counts")
