@@ -19,14 +19,17 @@ def parse_amount(text: Column) -> Column:
 def parse_date(text: Column) -> Column:
     """ISO date of a day-first or ISO spelling; two-digit years from 69 are 19xx."""
     t = F.trim(text)
+    pivot = lambda d: F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
     numeric = F.regexp_extract(t, r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})", 0)
-    dmy = F.try_to_date(F.regexp_replace(numeric, r"[/.]", "-"), "d-M-yyyy")
-    short = F.regexp_extract(t, r"^(\d{1,2})[/](\d{1,2})[/](\d{2})$", 0)
-    yy = F.substring(short, -2, 2).try_cast("int")
-    full = F.concat(F.regexp_extract(t, r"^(\d{1,2}/\d{1,2}/)\d{2}$", 1), F.when(yy >= 69, F.lit("19")).otherwise(F.lit("20")), F.lpad(yy.cast("string"), 2, "0"))
-    named = F.try_to_date(F.regexp_replace(F.regexp_extract(t, r"\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}", 0), " ", "-"), "d-MMM-yyyy")
-    iso = F.try_to_date(F.regexp_extract(t, r"\d{4}-\d{2}-\d{2}", 0), "yyyy-MM-dd")
-    return F.date_format(F.coalesce(iso, dmy, named, F.try_to_date(full, "d/M/yyyy")), "yyyy-MM-dd")
+    short = F.regexp_extract(t, r"^(\d{1,2})/(\d{1,2})/(\d{2})$", 0)
+    named = F.regexp_replace(F.regexp_extract(t, r"\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}", 0), " ", "-")
+    named_short = F.regexp_extract(t, r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", 0)
+    long = F.regexp_extract(t, r"\d{1,2} [A-Za-z]{4,9} \d{4}", 0)
+    found = [
+        F.try_to_date(F.regexp_extract(t, r"\d{4}-\d{2}-\d{2}", 0), "yyyy-MM-dd"), F.try_to_date(F.regexp_replace(numeric, r"[/.]", "-"), "d-M-yyyy"), F.try_to_date(named, "d-MMM-yyyy"),
+        F.try_to_date(long, "d MMMM yyyy"), pivot(F.try_to_date(short, "d/M/yy")), pivot(F.try_to_date(named_short, "d-MMM-yy")),
+    ]
+    return F.date_format(F.coalesce(*found), "yyyy-MM-dd")
 
 
 def parse_pdf_date(text: Column) -> Column:
@@ -108,10 +111,8 @@ def mask_pan(text: Column) -> Column:
 
 
 def mask_accounts(text: Column) -> Column:
-    """Runs of 9 to 18 digits keep their last 4; one replacement for each length."""
-    for n in range(9, 19):
-        text = F.regexp_replace(text, rf"\b\d{{{n - 4}}}(\d{{4}})\b", "*" * (n - 4) + "$1")
-    return text
+    """Runs of 9 to 18 digits keep their last 4: each digit of such a run that 4 more follow becomes a star."""
+    return F.regexp_replace(text, r"(?:\b(?=\d{9,18}\b)|\G(?<=\d))\d(?=\d{4})", "*")
 
 
 def mask_property_ids(text: Column) -> Column:

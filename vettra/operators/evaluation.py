@@ -52,9 +52,34 @@ def iou(a: DataFrame, b: DataFrame, group: list[str], cell: list[str]) -> DataFr
     return both.groupBy(*group).agg(F.round(F.count_if(F.col("in_a").isNotNull() & F.col("in_b").isNotNull()) / F.count(F.lit(1)), 6).alias("iou"))
 
 
-def isolation(df: DataFrame, key: str, columns: list[str], trees: int = ISOLATION_TREES, seed: int = 42) -> DataFrame:
-    """Isolation forest on a bounded sample (ISOLATION_SAMPLE rows for each tree at most); score from 0 to 1."""
-    rows = df.select(*columns).dropna().orderBy(F.xxhash64(*columns), *columns).limit(ISOLATION_SAMPLE * 8).toPandas().to_numpy(float)
+def box_area(boxes: Column) -> Column:
+    """The area that (x0, y0, x1, y1) boxes cover together: slabs between their x edges, each with the union of its y intervals."""
+    edges = F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b["x0"].cast("double")), F.transform(boxes, lambda b: b["x1"].cast("double")))))
+    zero = F.lit(0.0)
+
+    def height(x: Column) -> Column:
+        spans = F.array_sort(F.transform(F.filter(boxes, lambda b: (b["x0"] <= x) & (x < b["x1"]) & (b["y0"] < b["y1"])), lambda b: F.struct(b["y0"].cast("double").alias("lo"), b["y1"].cast("double").alias("hi"))))
+        start = F.struct(zero.alias("n"), F.lit(float("-inf")).alias("end"))
+        return F.aggregate(spans, start, lambda s, y: F.struct((s["n"] + F.greatest(zero, y["hi"] - F.greatest(y["lo"], s["end"]))).alias("n"), F.greatest(s["end"], y["hi"]).alias("end")))["n"]
+
+    slabs = F.zip_with(F.slice(edges, 1, F.greatest(F.size(edges) - 1, F.lit(0))), F.slice(edges, 2, F.greatest(F.size(edges) - 1, F.lit(0))), lambda a, b: (b - a) * height(a))
+    return F.aggregate(F.coalesce(slabs, F.array().cast("array<double>")), zero, lambda s, v: s + v)
+
+
+def box_iou(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Intersection over union of the masks of two arrays of boxes; missing arrays are empty, and 0 without any area."""
+    none = lambda c: F.coalesce(F.col(c), F.slice(F.coalesce(a, b), 1, 0))
+    areas = rows.select(key, box_area(none(a)).alias("p"), box_area(none(b)).alias("q"), box_area(F.concat(none(a), none(b))).alias("u"))
+    return areas.select(key, F.round(F.coalesce(F.try_divide(F.col("p") + F.col("q") - F.col("u"), "u"), F.lit(0.0)), 6).alias("iou"))
+
+
+def isolation(df: DataFrame, key: str, columns: list[str], trees: int = ISOLATION_TREES, seed: int = 42, fit_on: Column | None = None, sample_rows: int = 8 * ISOLATION_SAMPLE, contamination: float = 0.05) -> DataFrame:
+    """(key, score, anomaly): isolation forest fitted on `sample_rows` rows at most, those that `fit_on` holds for and whose hash is least.
+
+    score is from 0 to 1; anomaly is 0.5 plus the score above that of the `contamination` most isolated fitted rows, clipped to 0 to 1.
+    """
+    fitted = df if fit_on is None else df.where(fit_on)
+    rows = fitted.select(*columns).dropna().orderBy(F.xxhash64(*columns), *columns).limit(sample_rows).toPandas().to_numpy(float)
     rng = np.random.default_rng(seed)
     size = max(1, min(ISOLATION_SAMPLE, len(rows)))
     depth = math.ceil(math.log2(max(2, size)))
@@ -78,14 +103,20 @@ def isolation(df: DataFrame, key: str, columns: list[str], trees: int = ISOLATIO
         walk(tree[2], x, at[left], out)
         walk(tree[3], x, at[~left], out)
 
+    def scores(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for tree in forest:
+            walk(tree, x, np.arange(len(x)), out)
+        return 2.0 ** (-out / max(1, len(forest)) / normal)
+
+    offset = float(np.quantile(scores(rows), 1 - contamination)) if len(rows) else 0.5
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            x, out = part[columns].to_numpy(float), np.zeros(len(part))
-            for tree in forest:
-                walk(tree, x, np.arange(len(x)), out)
-            yield pd.DataFrame({key: part[key], "score": 2.0 ** (-out / max(1, len(forest)) / normal)})
+            found = scores(part[columns].to_numpy(float))
+            yield pd.DataFrame({key: part[key], "score": found, "anomaly": np.clip(0.5 + found - offset, 0, 1)})
 
-    return df.select(key, *columns).mapInPandas(score, f"{key} {dict(df.dtypes)[key]}, score double")
+    return df.select(key, *columns).mapInPandas(score, f"{key} {dict(df.dtypes)[key]}, score double, anomaly double")
 
 
 def boosted(df: DataFrame, key: str, columns: list[str], label: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vettra.functions import fixed, scalars
 from vettra.operators import documents as ops
 from vettra.operators import evaluation, grids, ordered, underwriting
-from vettra.plans import view
+from vettra.plans import packets, view
 from vettra.sources.tables import table, text_source, verify
 
 QUERIES: dict = {}
@@ -47,12 +47,18 @@ def keyword_classifier(spark, sf):
 _PII = "' ABCPV' || lpad((doc_id % 10000)::VARCHAR, 4, '0') || 'D acct ' || (123456789000 + doc_id) || ' at SY-' || (doc_id % 999 + 1) || '/2C'"
 
 
-@query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text || {_PII}, '\b([A-Z]{{2}})[A-Z]{{3}}[0-9]{{4}}([A-Z])\b', '\1*******\2', 'g'),
-  '\b\d{{8}}(\d{{4}})\b', '********\1', 'g'), '\b([A-Z]{{2}})-\d{{1,4}}/\d{{1,3}}[A-Z]?\b', '\1-***', 'g')) AS redacted FROM (SELECT doc_id, regexp_replace(text, '\d', '', 'g') AS text FROM documents)""")
+def _masked_sql(text: str) -> str:
+    out = f"regexp_replace({text}, '\\b([A-Z]{{2}})[A-Z]{{3}}[0-9]{{4}}([A-Z])\\b', '\\1*******\\2', 'g')"
+    for n in range(9, 19):
+        out = f"regexp_replace({out}, '\\b\\d{{{n - 4}}}(\\d{{4}})\\b', '{'*' * (n - 4)}\\1', 'g')"
+    return f"regexp_replace({out}, '\\b([A-Z]{{2}})-\\d{{1,4}}/\\d{{1,3}}[A-Z]?\\b', '\\1-***', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_masked_sql(f'text || {_PII}')}) AS redacted FROM documents")
 def redact_documents(spark, sf):
+    """Whole texts, with identifiers of every kind behind them."""
     pii = F.concat(F.lit(" ABCPV"), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"), F.lit("D acct "), (F.col("doc_id") + 123456789000).cast("string"), F.lit(" at SY-"), (F.col("doc_id") % 999 + 1).cast("string"), F.lit("/2C"))
-    text = F.concat(F.regexp_replace("text", r"\d", ""), pii)
-    return table(spark, sf, "documents").select("doc_id", F.md5(scalars.redact_text(text).cast("binary")).alias("redacted"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(scalars.redact_text(F.concat("text", pii)).cast("binary")).alias("redacted"))
 
 
 @query("""SELECT event_id, CASE WHEN v = '' THEN v ELSE substr(v, 1, 1) || repeat('*', length(v) - 1) END AS name, k FROM (SELECT event_id, event_type || user_id AS v, json_extract(props, '$.k')::BIGINT AS k FROM events)""")
@@ -112,9 +118,7 @@ def kyc_status(spark, sf):
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND levenshtein(a.p_name, b.p_name) <= 1""")
 def near_duplicate_names(spark, sf):
-    p = table(spark, sf, "part")
-    a, b = (p.select("p_brand", F.col("p_partkey").alias(k), F.col("p_name").alias(f"name_{k}")) for k in ("a", "b"))
-    return a.join(b, "p_brand").where((F.col("a") < F.col("b")) & scalars.edit_within_one(F.col("name_a"), F.col("name_b"))).select("a", "b")
+    return ops.near_names(table(spark, sf, "part"), "p_brand", "p_partkey", "p_name")
 
 
 @query("""WITH layer AS (SELECT DISTINCT l_orderkey AS doc, floor(l_extendedprice)::BIGINT::VARCHAR AS token FROM lineitem),
@@ -263,12 +267,12 @@ def hash_split(spark, sf):
     return table(spark, sf, "documents").select("source").distinct().select("source", b.alias("bucket"), F.when(b < 70, "train").when(b < 85, "val").otherwise("test").alias("split"))
 
 
-@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 2000)
-SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(1 - list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e)) + 1e-9), 6) AS distance FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 25 = b.vec_id % 25 AND a.vec_id < b.vec_id
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(1 - list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e)) + 1e-9), 6) AS distance FROM v a JOIN v b ON a.label = b.label AND a.vec_id // 50 = b.vec_id // 50 AND a.vec_id < b.vec_id
 WHERE 1 - list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e)) + 1e-9) > 0.62""")
 def embedding_mismatch(spark, sf):
-    # an application's faces: vectors of one label and one of 25 applications
-    v = table(spark, sf, "embeddings").withColumn("app", F.struct("label", (F.col("vec_id") % 25).alias("m")))
+    # an application's faces: vectors of one label among 50 consecutive ids, so that an application stays small in tables of any size
+    v = table(spark, sf, "embeddings").withColumn("app", F.struct("label", F.floor(F.col("vec_id") / 50).alias("m")))
     return grids.distant_pairs(v, "app", "vec_id", "embedding").select("app.label", "a", "b", F.round("distance", 6).alias("distance"))
 
 
@@ -370,21 +374,23 @@ def _cells(spark, sf, kind):
     return _boxes(spark, sf, kind, "n").select("page", span("x"), f"{kind}_y0", f"{kind}_y1").select("page", "x", span("y")).distinct()
 
 
-@query(f"""WITH r AS (SELECT l_orderkey AS page, l_linenumber AS box, {_BOX_SQL['r']} FROM lineitem WHERE l_orderkey < 300), s AS (SELECT l_orderkey AS page, {_BOX_SQL['s']} FROM lineitem WHERE l_orderkey < 300),
-a AS (SELECT DISTINCT page, x, y FROM r, range(0, 70) gx(x), range(0, 70) gy(y) WHERE x >= r_x0 AND x < r_x1 AND y >= r_y0 AND y < r_y1), b AS (SELECT DISTINCT page, x, y FROM s, range(0, 70) gx(x), range(0, 70) gy(y) WHERE x >= s_x0 AND x < s_x1 AND y >= s_y0 AND y < s_y1)
-SELECT page, round(count(a.page)::DOUBLE * 0 + count_if(a.x IS NOT NULL AND b.x IS NOT NULL) / count(*), 6) AS iou FROM a FULL JOIN b USING (page, x, y) GROUP BY page""")
-def mask_cells_iou(spark, sf):
-    """Pages under 300 only, as in its SQL; mask_cells_iou_all takes every page."""
-    return evaluation.iou(*(_cells(spark, sf, kind).where("page < 300") for kind in ("r", "s")), ["page"], ["x", "y"])
+_CELLS_SQL = {k: f"SELECT DISTINCT page, x, unnest(range({k}_y0::BIGINT, {k}_y1::BIGINT)) AS y FROM (SELECT page, unnest(range({k}_x0::BIGINT, {k}_x1::BIGINT)) AS x, {k}_y0, {k}_y1 FROM {k})" for k in _BOX}
 
 
-_CELLS_SQL = {k: f"SELECT DISTINCT page, x, unnest(range({k}_y0::BIGINT, {k}_y1::BIGINT)) AS y FROM (SELECT page, unnest(range({k}_x0::BIGINT, {k}_x1::BIGINT)) AS x, {k}_y0, {k}_y1 FROM {k})" for k in _BOX}
+_IOU_SQL = f"""WITH r AS (SELECT l_orderkey AS page, {_BOX_SQL['r']} FROM lineitem), s AS (SELECT l_orderkey AS page, {_BOX_SQL['s']} FROM lineitem), a AS ({_CELLS_SQL['r']}), b AS ({_CELLS_SQL['s']})
+SELECT page, round(count_if(a.x IS NOT NULL AND b.x IS NOT NULL) / count(*), 6) AS iou FROM a FULL JOIN b USING (page, x, y) GROUP BY page"""
+
+
+@query(_IOU_SQL)
+def mask_cells_iou(spark, sf):
+    """By box arithmetic: the work grows with the boxes of a page, not with their areas."""
+    corners = lambda kind: _boxes(spark, sf, kind, "n").groupBy("page").agg(F.collect_list(F.struct(*(F.col(f"{kind}_{c}").alias(c) for c in ("x0", "y0", "x1", "y1")))).alias(f"{kind}s"))
+    return evaluation.box_iou(corners("r").join(corners("s"), "page", "full"), "page", "rs", "ss")
 
 
-@query(f"""WITH r AS (SELECT l_orderkey AS page, {_BOX_SQL['r']} FROM lineitem), s AS (SELECT l_orderkey AS page, {_BOX_SQL['s']} FROM lineitem), a AS ({_CELLS_SQL['r']}), b AS ({_CELLS_SQL['s']})
-SELECT page, round(count_if(a.x IS NOT NULL AND b.x IS NOT NULL) / count(*), 6) AS iou FROM a FULL JOIN b USING (page, x, y) GROUP BY page""")
+@query(_IOU_SQL)
 def mask_cells_iou_all(spark, sf):
-    """mask_cells_iou for every page."""
+    """By cells, from whose sets the boxes' masks are made."""
     return evaluation.iou(_cells(spark, sf, "r"), _cells(spark, sf, "s"), ["page"], ["x", "y"])
 
 
@@ -396,11 +402,15 @@ def spectrum_peaks(spark, sf):
 
 @query(None)
 def isolation_scores(spark, sf):
-    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("packet_id")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("o_totalprice").alias("top"), F.avg("o_totalprice").alias("mean"))
-    return evaluation.isolation(o, "packet_id", ["n", "top", "mean"]).select("packet_id", F.round("score", 4).alias("score"))
+    """Fitted on packets without findings, as novelty against clean ones."""
+    v = packets.features(spark, sf)
+    names = list(fixed.FEATURES)
+    return evaluation.isolation(v, "packet_id", names, fit_on=F.col("n_semantic_total") == 0).select("packet_id", F.round("score", 4).alias("score"), F.round("anomaly", 4).alias("anomaly"))
 
 
 @query(None)
 def gbt_scores(spark, sf):
-    c = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("packet_id")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("o_totalprice").alias("top"), F.avg("o_totalprice").alias("mean"), F.max((F.col("o_totalprice") > 400000).cast("int")).alias("label"))
-    return evaluation.boosted(c, "packet_id", ["n", "top", "mean"], "label").select("packet_id", F.round("probability", 4).alias("probability"), "attributions")
+    """Labels are accounts in debt, which is no feature."""
+    debt = table(spark, sf, "customer").select(F.col("c_custkey").alias("packet_id"), (F.col("c_acctbal") < 0).cast("int").alias("label"))
+    v = packets.features(spark, sf).join(debt, "packet_id")
+    return evaluation.boosted(v, "packet_id", list(fixed.FEATURES), "label").select("packet_id", F.round("probability", 4).alias("probability"), "attributions")
