@@ -112,3 +112,15 @@ FEATURES = {
     "has_property_irregularity": "property valuation / ID / LTV irregularity", "has_cersai_violation": "undisclosed registered charge (CERSAI)", "submit_velocity_hours": "submission timing relative to document creation",
     "max_doc_gap_days": "spread of document creation dates", "all_docs_same_timestamp": "all documents share one creation timestamp", "creation_before_submission": "document dates inconsistent with submission", "doc_count": "packet document count",
 }
+# fixed values: body fonts that need no remark, and words of serif and sans names
+BODY_FONTS = ("helv", "hebo", "cour", "timesroman", "courier", "helvetica")
+SERIF_WORDS = ("tiro", "georgia", "times", "timesroman", "palatino", "garamond", "cambria")
+SANS_WORDS = ("helv", "helvetica", "arial", "calibri", "verdana", "hebo")
+FONT_SUFFIXES = ("bold", "italic", "oblique", "regular", "mt", "ps")
+# fixed values: thresholds of noise loss and flat fill
+NOISE_FLOOR, NOISE_LOW, NOISE_CELLS, NOISE_MOST, NOISE_REGIONS, NOISE_VALID = 2.2, 0.50, 5, 0.02, 3, 8
+FILL_STD, FILL_LOW, FILL_HIGH, FILL_DELTA, FILL_CELLS, FILL_WHITE, FILL_MOST = 4.0, 70, 242, 12, 6, 0.30, 0.05
+# fixed values: detectors that read pixels
+PIXEL_DETECTORS = ("ela", "noise", "flat_fill", "copy_move", "jpeg_ghost", "recapture")
+# fixed values: names whose values are masked whole
+PII_NAMES = ("name", "applicant_name", "owner_name", "borrower_name", "pan", "applicant_pan", "account_number", "account_numbers", "property_id", "address", "property_address")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vettra.functions import fixed
 
@@ -124,8 +125,8 @@ def redact_text(text: Column) -> Column:
 
 
 def mask_whole(value: Column) -> Column:
-    """The first character and stars; a PAN keeps its own mask."""
-    return F.when(value.rlike("^[A-Z]{5}[0-9]{4}[A-Z]$"), mask_pan(value)).when(value == "", value).otherwise(F.concat(F.substring(value, 1, 1), F.repeat(F.lit("*"), F.length(value) - 1)))
+    """The first character and stars, or one star for a single character; a PAN keeps its own mask."""
+    return F.when(value.rlike("^[A-Z]{5}[0-9]{4}[A-Z]$"), mask_pan(value)).when(value == "", value).when(F.length(value) == 1, "*").otherwise(F.concat(F.substring(value, 1, 1), F.repeat(F.lit("*"), F.length(value) - 1)))
 
 
 def pct_diff(a: Column, b: Column) -> Column:
@@ -191,3 +192,46 @@ def hash_bucket(text: Column, buckets: int = 100) -> Column:
     """SHA-1 of a text as an integer modulo buckets, digit by digit."""
     digits = F.transform(F.split(F.sha1(text.cast("binary")), ""), lambda h: F.conv(h, 16, 10).cast("int"))
     return F.aggregate(digits, F.lit(0), lambda acc, d: (acc * 16 + d) % buckets)
+
+
+def parse_iso(text: Column) -> Column:
+    """Timestamp of an ISO 8601 text, read as UTC where it names no zone; null if malformed."""
+    return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
+
+
+def money_text(amount: Column) -> Column:
+    """``Rs. 1,234``, cut to whole rupees; N/A without an amount."""
+    return F.coalesce(F.concat(F.lit("Rs. "), F.format_number(amount.cast("bigint"), 0)), F.lit("N/A"))
+
+
+def tax(income: Column) -> Column:
+    return income * F.when(income > 1_500_000, 0.18).otherwise(0.10)
+
+
+def host_of(url: Column) -> Column:
+    """Lower-case host without credentials and port."""
+    rest = F.split_part(F.lower(url), F.lit("/"), F.lit(3))
+    return F.split_part(F.split_part(rest, F.lit("@"), F.lit(-1)), F.lit(":"), F.lit(1))
+
+
+def verhoeff_digit(digits: Column) -> Column:
+    """The check digit that makes these digits valid; null for other text."""
+    d, p = (F.array(*(F.array(*map(F.lit, row)) for row in t)) for t in (_dihedral(), _permutations()))
+    inverse = F.array(*(F.lit(next(j for j in range(10) if row[j] == 0)) for row in _dihedral()))
+    rev = F.transform(F.split(F.reverse(digits), ""), lambda c: c.try_cast("int"))
+    c = F.aggregate(F.transform(rev, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), F.lit(0), lambda acc, v: d[acc][p[((v["i"] + 1) % 8)][v["x"]]])
+    return F.when(digits.rlike(r"^\d+$"), inverse[c])
+
+
+def redact_mapping(value: Column, kind: T.DataType, name: str = "") -> Column:
+    """A nested value with texts redacted; values under names of persons or identifiers are masked whole (``***`` unless text)."""
+    whole = name.lower() in fixed.PII_NAMES
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(redact_mapping(value[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redact_mapping(x, kind.elementType, name))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda k, v: F.when(F.lower(k.cast("string")).isin(*fixed.PII_NAMES), mask_whole(v) if isinstance(kind.valueType, T.StringType) else v).otherwise(redact_mapping(v, kind.valueType, name)))
+    if isinstance(kind, T.StringType):
+        return mask_whole(value) if whole else redact_text(value)
+    return F.when(value.isNotNull(), F.lit("***")) if whole else value

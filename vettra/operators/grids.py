@@ -25,28 +25,49 @@ def outliers(grid: DataFrame, key: str, factor: float = 6.0) -> DataFrame:
     return with_mid.join(mad, key).where(F.col("v") > F.col("med") + factor * 1.4826 * (F.col("mad") + 1e-6)).select(key, "gy", "gx", "v")
 
 
+def label_cells(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each distinct cell (image, y, x), the number of the least cell of its 4-connected group, in order of (image, y, x)."""
+    order = np.lexsort((x, y, image))
+    image, y, x = image[order], y[order], x[order]
+    root = np.arange(len(order))
+    right = np.flatnonzero((image[1:] == image[:-1]) & (y[1:] == y[:-1]) & (x[1:] == x[:-1] + 1))
+    width = int(x.max() - x.min() + 3) if len(x) else 1
+    code = (image.astype(np.int64) * (int(y.max() - y.min() + 3) if len(y) else 1) + (y - y.min() if len(y) else y)) * width + (x - x.min() if len(x) else x)
+    below = np.searchsorted(code, code + width)
+    down = np.flatnonzero((below < len(code)) & (code[np.minimum(below, len(code) - 1)] == code + width)) if len(code) else right
+    a, b = np.concatenate([right, down]), np.concatenate([right + 1, below[down]]) if len(code) else (right, right)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    out = np.empty(len(order), np.int64)
+    out[order] = order[root]
+    return out
+
+
+def labelled(marked: DataFrame, key: str) -> DataFrame:
+    """(key, gy, gx, root_y, root_x): each marked cell with the least (gy, gx) of its 4-connected group; images are labelled many at a time."""
+    images = marked.groupBy(key).agg(F.collect_set(F.struct("gy", "gx")).alias("cells"))  # a grid's cells
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            counts = rows["cells"].map(len).to_numpy(np.int64)
+            flat = [c for cells in rows["cells"] for c in cells]
+            y, x = np.array([c["gy"] for c in flat], np.int64), np.array([c["gx"] for c in flat], np.int64)
+            root = label_cells(np.repeat(np.arange(len(rows)), counts), y, x)
+            yield pd.DataFrame({key: np.repeat(rows[key].to_numpy(), counts), "gy": y, "gx": x, "root_y": y[root], "root_x": x[root]})
+
+    return images.mapInPandas(label, f"{key} {dict(marked.dtypes)[key]}, gy int, gx int, root_y int, root_x int")
+
+
 def components(marked: DataFrame, key: str) -> DataFrame:
     """(key, root, n, box): 4-connected groups of marked cells of each image, named by their least (gy, gx)."""
-
-    def label(rows: pd.DataFrame) -> pd.DataFrame:
-        todo, out = set(zip(rows["gy"], rows["gx"], strict=True)), []
-        while todo:
-            first = min(todo)
-            todo.discard(first)
-            group, edge = [first], [first]
-            while edge:
-                y, x = edge.pop()
-                for cell in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                    if cell in todo:
-                        todo.discard(cell)
-                        group.append(cell)
-                        edge.append(cell)
-            ys, xs = zip(*group, strict=True)
-            out.append((rows[key].iloc[0], first[0], first[1], len(group), min(ys), min(xs), max(ys), max(xs)))
-        return pd.DataFrame(out, columns=[key, "root_y", "root_x", "n", "y0", "x0", "y1", "x1"])
-
-    kind = dict(marked.dtypes)[key]
-    return marked.select(key, "gy", "gx").groupBy(key).applyInPandas(label, f"{key} {kind}, root_y int, root_x int, n int, y0 int, x0 int, y1 int, x1 int")
+    box = [f(c).alias(n) for n, f, c in (("y0", F.min, "gy"), ("x0", F.min, "gx"), ("y1", F.max, "gy"), ("x1", F.max, "gx"))]
+    return labelled(marked, key).groupBy(key, "root_y", "root_x").agg(F.count(F.lit(1)).cast("int").alias("n"), *box)
 
 
 def distant_pairs(vectors: DataFrame, group: str, key: str, vector: str, above: float = 0.62) -> DataFrame:

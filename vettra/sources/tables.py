@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,32 @@ def verify(keys: DataFrame, registry: DataFrame, key: str, status: str = "status
     return keys.join(known, key, "left").withColumn("found", found).withColumn("verified_status", state).drop("__hit")
 
 
+#: Registries by name: their key, the column that a lookup gives, and what stands for a missing record.
+ADAPTERS: dict[str, tuple[str, Callable[[], Column], Callable[[], Column] | None]] = {
+    "ais": ("pan", lambda: F.col("reported_income"), None),
+    "cersai": ("pan", lambda: F.col("charges"), None),
+    "digilocker": ("pan", lambda: F.col("documents"), None),
+    "gstin": ("gstin", lambda: F.col("legal_name"), None),
+    "mca21": ("cin", lambda: F.lower("status") == "active", lambda: F.lit(False)),
+    "property_registry": ("property_id", lambda: F.col("registered_market_value").cast("double"), None),
+}
+
+
+def look_up(rows: DataFrame, key: str, registry: DataFrame, service: str, name: str) -> DataFrame:
+    """rows with the registry's answer as column `name`: lists are empty, flags false and values null for unknown keys."""
+    of, answer, missing = ADAPTERS[service]
+    known = registry.select(F.col(of).alias("__key"), answer().alias(name))
+    kind = known.schema[name].dataType
+    out = rows.join(known, F.col(key) == F.col("__key"), "left").drop("__key")
+    if isinstance(kind, T.ArrayType):
+        return out.withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return out if missing is None else out.withColumn(name, F.coalesce(name, missing()))
+
+
+def available_keys(registry: DataFrame, service: str) -> DataFrame:
+    return registry.select(F.col(ADAPTERS[service][0]).alias("key")).distinct()
+
+
 def charges_on(registry: DataFrame, pan: str, charges: str, property_id: Column) -> DataFrame:
     """Registered charges on a property: unnest, then filter."""
     return registry.select(pan, F.inline(charges)).where(F.col("property_id") == property_id)
