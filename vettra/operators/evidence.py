@@ -90,3 +90,25 @@ def folded(decisions: DataFrame, penalty: Column) -> DataFrame:
     t = F.greatest(F.lit(0.0), F.round(F.col("trust") - F.col("penalty"), 1))
     out = out.withColumn("final_trust", F.when(F.col("has_critical"), F.least(t, F.lit(fixed.CRITICAL_CEILING))).otherwise(t))
     return out.withColumn("final_action", recommend(F.col("final_trust"), F.col("has_evidence") | (F.col("penalty") > 0), F.col("has_critical")))
+
+
+def checked(evidence: DataFrame) -> DataFrame:
+    """The same rows; the job fails on a confidence outside 0 to 1 or an unknown severity."""
+    fine = F.col("confidence").between(0, 1) & F.col("severity").isin(*fixed.SEVERITIES)
+    return evidence.where(F.assert_true(F.coalesce(fine, F.lit(False)), F.lit("confidence or severity out of range")).isNull())
+
+
+def checked_decisions(decisions: DataFrame) -> DataFrame:
+    """The same rows; the job fails on an empty chain or a score outside 0 to 100."""
+    fine = (F.col("chain") > 0) & F.col("trust").between(0, 100)
+    return decisions.where(F.assert_true(F.coalesce(fine, F.lit(False)), F.lit("empty chain or score out of range")).isNull())
+
+
+def row_id(prefix: str, *key: Column | str) -> Column:
+    """prefix_ and 12 hex digits of a hash of the natural key, so that a retried task gives the same id."""
+    return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws("\u0001", *(F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("\u0002")) for k in key)), 256), 1, 12))
+
+
+def public_entries(entities: Column) -> Column:
+    """A map without the keys that begin with an underscore."""
+    return F.map_filter(entities, lambda k, _: ~F.startswith(k, F.lit("_")))

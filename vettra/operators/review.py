@@ -117,3 +117,9 @@ def in_order(clusters: DataFrame, size: str, *ties: str) -> DataFrame:
 def pixel_share(findings: DataFrame, key: str) -> DataFrame:
     """Findings of each key from detectors that read pixels, and all."""
     return findings.groupBy(key).agg(F.count_if(F.col("detector").isin(*fixed.PIXEL_DETECTORS)).alias("pixel"), F.count(F.lit(1)).alias("n"))
+
+
+def editable(fields: DataFrame) -> DataFrame:
+    """Recorded fields that somebody could alter with gain: of a fitting kind, with a direction of fraud and a place on the page."""
+    kinds = F.col("kind").isin("money", "pan", "aadhaar", "date", "text")
+    return fields.where(kinds & (F.coalesce("fraud", F.lit("none")) != "none") & F.col("rect").isNotNull() & (F.col("name") != "_balance_column"))

@@ -255,11 +255,16 @@ trusted AS (SELECT *, greatest(0.0, least(100.0, round((CASE WHEN has_critical T
 @query(sql(*FEATURES, "decided") + """ SELECT packet_id, n_findings, n_severe, round(risk, 6) AS risk, trust, CASE WHEN trust >= 70 THEN 'approve' WHEN trust < 40 AND (has_evidence OR has_critical) THEN 'freeze' ELSE 'manual_review' END AS action, chain,
   round(100 * (1 - forensic_risk), 1) AS forensic_subscore, round(100 * (1 - semantic_risk), 1) AS semantic_subscore, round(100 * (1 - probability), 1) AS anomaly_subscore FROM trusted""")
 def score_driver(spark, sf):
+    out = decisions(spark, sf)
+    return out.select("packet_id", "n_findings", "n_severe", F.round("risk", 6).alias("risk"), "trust", "action", "chain", "forensic_subscore", "semantic_subscore", "anomaly_subscore")
+
+
+def decisions(spark, sf):
+    """Decisions of all packets, from their texts on."""
     found, marks = semantic(spark, sf), forensic(spark, sf)
     vector = packets.feature_vector(view.docs(spark, sf), marks, found, behaviour(spark, sf))
     one = lambda df, c: df.select("packet_id", F.lit(c).alias("category"), "severity", "title", "location", "seq")
-    out = packets.packet_decision(view.docs(spark, sf), one(marks, "forensic").unionByName(one(found, "semantic")), scores(vector))
-    return out.select("packet_id", "n_findings", "n_severe", F.round("risk", 6).alias("risk"), "trust", "action", "chain", "forensic_subscore", "semantic_subscore", "anomaly_subscore")
+    return packets.packet_decision(view.docs(spark, sf), one(marks, "forensic").unionByName(one(found, "semantic")), scores(vector))
 
 
 _FIRST = """ok AS (SELECT *, CASE doc_type WHEN 'identity' THEN 'pan' ELSE doc_type END AS slot FROM entities WHERE n_lines > 1 OR status <> 'P'),

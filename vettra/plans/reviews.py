@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vettra.functions import fixed, scalars
-from vettra.operators import forensics, grids, linkage, ordered, review
 from vettra.operators import documents as ops
+from vettra.operators import evaluation, forensics, grids, linkage, pixels, review
+from vettra.operators import evidence as ev
+from vettra.operators import packets as operators
 from vettra.plans import packets, view
 from vettra.plans.documents import _BOX_SQL, _boxes, lit
-from vettra.sources.tables import table, verify
+from vettra.sources.tables import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -370,3 +372,75 @@ def qr_cross_check(spark, sf):
     payload = F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("id "), F.lower(number(k)), F.lit(" end")))
     both = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), extract.qr_identifier(payload).alias("in_code"), number(k + (F.col("o_orderstatus") == "P").cast("int")).alias("printed"))
     return both.where(scalars.norm_id(F.col("in_code")) != scalars.norm_id(F.col("printed")))
+
+
+# ---- pixels, boxes and reports
+@query(f"""WITH {_CELLS} SELECT vec_id, (gy // 4)::INTEGER AS gy, (gx // 4)::INTEGER AS gx, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM cells GROUP BY ALL""")
+def block_grid(spark, sf):
+    out = pixels.block_grid(table(spark, sf, "embeddings").withColumn("w", F.lit(8)), "vec_id", "w", "embedding", 4)
+    return out.select("vec_id", "gy", "gx", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(None)
+def noise_grid(spark, sf):
+    """Noise of 4 x 4 blocks of embeddings as 8 x 8 images."""
+    images = table(spark, sf, "embeddings").select("vec_id", F.lit(8).alias("w"), F.transform("embedding", lambda x: 128 + 100 * x).alias("p"))
+    return pixels.noise_grid(images, "vec_id", "w", "p", 4).select("vec_id", "gy", "gx", F.round("sigma", 4).alias("sigma"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_reverse(embedding)::DOUBLE[] AS b, list_avg(embedding::DOUBLE[]) AS m FROM embeddings),
+c AS (SELECT vec_id, list_transform(a, lambda x: x - m) AS p, list_transform(b, lambda x: x - m) AS q FROM e) SELECT vec_id, round(list_inner_product(p, q) / (sqrt(list_inner_product(p, p)) * sqrt(list_inner_product(q, q)) + 1e-6), 5) AS ncc FROM c""")
+def self_correlation(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.round(pixels.correlation(F.col("embedding"), F.reverse("embedding")), 5).alias("ncc"))
+
+
+_CORNERS = f"r AS (SELECT l_orderkey AS page, l_linenumber AS n, l_partkey AS k, {_BOX_SQL['r']} FROM lineitem)"
+
+
+def _corners(spark, sf):
+    c = lambda e: F.expr(f"cast({e} AS double)")
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k"), (c("l_suppkey % 40")).alias("x0"), c("l_partkey % 40").alias("y0"), c("l_suppkey % 40 + 20 + l_linenumber").alias("x1"), c("l_partkey % 40 + 10").alias("y1"))
+
+
+@query(f"WITH {_CORNERS} SELECT page, n, k, (r_x1 + n - r_x0) * (r_y1 - r_y0) AS area FROM r QUALIFY row_number() OVER (PARTITION BY page ORDER BY (r_x1 + n - r_x0) * (r_y1 - r_y0) DESC, n, k) = 1")
+def largest_faces(spark, sf):
+    return pixels.largest_box(_corners(spark, sf), "page", "n", "k").select("page", "n", "k", "area")
+
+
+@query(f"WITH {_CORNERS} SELECT page, n, k, greatest(0, least(50, trunc(r_x0 * 1.5)))::INTEGER AS x0, greatest(0, least(60, trunc(r_y0 * 0.75)))::INTEGER AS y0, greatest(0, least(50, trunc((r_x1 + n) * 1.5)))::INTEGER AS x1, greatest(0, least(60, trunc(r_y1 * 0.75)))::INTEGER AS y1 FROM r")
+def scaled_boxes(spark, sf):
+    box = pixels.scaled_box(F.struct("x0", "y0", "x1", "y1"), F.lit(1.5), F.lit(0.75), F.lit(50), F.lit(60))
+    return _corners(spark, sf).select("page", "n", "k", box.alias("b")).select("page", "n", "k", "b.*")
+
+
+@query(packets.sql(*packets.FEATURES, "attributions") + " SELECT feature, round(avg(share), 6) AS importance, count(*) AS n FROM factors GROUP BY feature ORDER BY importance DESC LIMIT 10")
+def feature_importance(spark, sf):
+    """The ten features with the largest mean share."""
+    f = packets.factors(packets.features(spark, sf)).groupBy("feature").agg(F.round(F.avg("share"), 6).alias("importance"), F.count(F.lit(1)).alias("n"))
+    return f.orderBy(F.desc("importance")).limit(10)
+
+
+@query("""WITH r AS (SELECT round(n_chars / 25000.0, 4) AS s, toxic = 1 AS t FROM documents JOIN labels USING (doc_id)), e AS (SELECT s, count_if(t) AS p, count_if(NOT t) AS n FROM r GROUP BY s),
+u AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM e), a AS (SELECT round(sum(p * (under + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM u),
+c AS (SELECT count_if(t AND s >= 0.05) AS tp, count_if(NOT t AND s >= 0.05) AS fp, count_if(NOT t AND s < 0.05) AS tn, count_if(t AND s < 0.05) AS fn FROM r)
+SELECT auc, tp, fp, tn, fn, round(tp / nullif(tp + fp, 0), 6) AS prec, round(tp / nullif(tp + fn, 0), 6) AS recall, round((tp + tn) / nullif(tp + fp + tn + fn, 0), 6) AS accuracy, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM a, c""")
+def roc_report(spark, sf):
+    j = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select((F.col("n_chars") / 25000).alias("score"), (F.col("toxic") == 1).alias("truth"))
+    return evaluation.roc_report(j, "score", "truth", 0.05)
+
+
+_VERIFIED = packets._FIRST + """,
+ver AS (SELECT packet_id, round(least(25.0, 6.0 * len(missing) + CASE WHEN identity THEN 0 ELSE 18 END + CASE WHEN address THEN 0 ELSE 6 END + CASE WHEN agree THEN 0 ELSE 18 END + slip_points + gross_points), 1) AS penalty FROM e),
+folded AS (SELECT t.packet_id, penalty, has_critical, has_evidence, CASE WHEN has_critical THEN least(greatest(0.0, round((trust - penalty)::DOUBLE::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE), 25.0) ELSE greatest(0.0, round((trust - penalty)::DOUBLE::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE) END AS final FROM trusted t JOIN ver USING (packet_id))"""
+
+
+@query(packets.sql(*packets.FEATURES, "decided") + f""", {_VERIFIED} SELECT packet_id, 'case_' || left(sha256('packet' || chr(1) || packet_id), 12) AS case_id, penalty, final AS final_trust,
+  CASE WHEN final >= 70 THEN 'approve' WHEN final < 40 AND (has_evidence OR has_critical OR penalty > 0) THEN 'freeze' ELSE 'manual_review' END AS final_action FROM folded""")
+def case_submissions(spark, sf):
+    """Every packet as a submitted case: scored, verified, and the verification folded into the decision."""
+    e = packets.entities(spark, sf)
+    docs = e.withColumns({"ok": (F.col("n_lines") > 1) | (F.col("status") != "P"), "slot": F.when(F.col("doc_type") == "identity", "pan").otherwise(F.col("doc_type")), "aadhaar_valid": F.lit(None).cast("boolean")})
+    block = operators.verification(packets.applications(spark, sf), docs, "salaried_loan").select("packet_id", F.col("penalty").alias("points"))
+    decided = ev.checked_decisions(packets.decisions(spark, sf)).join(block, "packet_id")
+    out = ev.folded(decided, F.col("points"))
+    return out.select("packet_id", ev.row_id("case", F.lit("packet"), "packet_id").alias("case_id"), "penalty", "final_trust", "final_action")
