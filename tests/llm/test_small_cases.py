@@ -322,7 +322,7 @@ def test_language_training_rows(spark):
     assert by == {"en": 600, "de": 600, "fr": 1, "es": 2}
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op5_topk_search", "op9_license_scan"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_decontamination", "op3_sharding", "op5_topk_search", "op9_license_scan"])
 def test_equals_sql(spark, name):
     compare(spark, SF, queries.QUERIES[name], queries.ORACLE_SQL[name])
 

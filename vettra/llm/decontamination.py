@@ -183,3 +183,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+WITH items AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (SELECT item, w, least({SPAN}, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+docs AS (SELECT row_number() OVER () AS rn, doc_id, {_WORDS} AS w FROM documents),
+asked AS (SELECT rn, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT rn, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS (SELECT rn, n, i, item FROM asked JOIN windows USING (n, win)),
+hit AS (SELECT rn, count(DISTINCT place) AS n_hit FROM (SELECT rn, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT rn, i, n FROM found)) GROUP BY rn),
+named AS (SELECT rn, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rn, item FROM found) GROUP BY rn)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM docs LEFT JOIN hit USING (rn) LEFT JOIN named USING (rn)
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op2_decontamination": decontamination.ORACLE_SQL,
     "op3_sharding": sharding.ORACLE_SQL,
     "op5_topk_search": topk_search.ORACLE_SQL,
     "op9_license_scan": license_scan.oracle_sql(),
