@@ -1,4 +1,4 @@
-"""Applications linked by shared attributes: a bipartite edge table (app_id, kind, value).
+"""Applications linked by shared attributes: a bipartite table of distinct edges (app_id, kind, value).
 
 Hubs, values that more than max(6, ceil(a third of the applications)) share, are filtered
 before any self-join, so no join multiplies a hub's members.
@@ -25,7 +25,7 @@ def threshold(edges: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(kind, value, n_apps, is_hub)."""
-    counts = edges.groupBy("kind", "value").agg(F.count_distinct("app_id").alias("n_apps"))
+    counts = edges.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_apps"))
     return counts.select("kind", "value", "n_apps", (F.col("n_apps") > threshold(edges).scalar()).alias("is_hub"))
 
 
@@ -45,7 +45,7 @@ def shared_templates(edges: DataFrame, kind: str) -> DataFrame:
     """(value, n_templates): templates that two or more of a cluster's applications use."""
     members = linking(edges).where(F.col("kind") == kind).select("app_id", "value")
     templates = edges.where("kind = 'template'").select("app_id", F.col("value").alias("template"))
-    shared = members.join(templates, "app_id").groupBy("value", "template").agg(F.count_distinct("app_id").alias("n")).where("n >= 2")
+    shared = members.join(templates, "app_id").groupBy("value", "template").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     return shared.groupBy("value").agg(F.count(F.lit(1)).alias("n_templates"))
 
 
@@ -65,7 +65,7 @@ def neighbourhood(edges: DataFrame, app_id: int, cap: int = 30) -> tuple[DataFra
 
 def repeat_applicants(edges: DataFrame) -> DataFrame:
     """(pan, n_apps) of applicants with two applications or more."""
-    return edges.where("kind = 'pan'").groupBy(F.col("value").alias("pan")).agg(F.count_distinct("app_id").alias("n_apps")).where("n_apps >= 2")
+    return edges.where("kind = 'pan'").groupBy(F.col("value").alias("pan")).agg(F.count(F.lit(1)).alias("n_apps")).where("n_apps >= 2")
 
 
 def first_edges(edges: DataFrame) -> DataFrame:

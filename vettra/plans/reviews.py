@@ -266,7 +266,7 @@ clusters AS (SELECT links.kind, links.value, count(DISTINCT links.app_id) AS n_a
 
 
 def _clusters(spark, sf):
-    e = view.edges(spark, sf)
+    e = view.stored_edges(spark, sf)
     found = [linkage.clusters(e, k).withColumn("kind", F.lit(k)) for k in ("property", "employer")]
     return e, found[0].unionByName(found[1])
 

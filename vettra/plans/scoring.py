@@ -199,7 +199,7 @@ def fold_verification(spark, sf):
 
 @query(view.sql("edges", "degrees") + " SELECT kind, value, n_apps, is_hub FROM degrees")
 def attr_degree_hubs(spark, sf):
-    return linkage.degrees(view.edges(spark, sf))
+    return linkage.degrees(view.stored_edges(spark, sf))
 
 
 CLUSTERS = """, pans AS (SELECT app_id, value AS pan FROM edges WHERE kind = 'pan'),
@@ -212,12 +212,12 @@ rings AS (SELECT value, count(*) AS n_templates FROM shared GROUP BY value)"""
 
 @query(view.sql("edges", "degrees") + CLUSTERS + " SELECT value, n_apps, n_applicants FROM clusters WHERE kind = 'property'")
 def collateral_clusters(spark, sf):
-    return linkage.clusters(view.edges(spark, sf), "property")
+    return linkage.clusters(view.stored_edges(spark, sf), "property")
 
 
 @query(view.sql("edges", "degrees") + CLUSTERS + TEMPLATES + " SELECT value, n_apps, n_applicants, coalesce(n_templates, 0) > 0 AS shared_template FROM clusters LEFT JOIN rings USING (value) WHERE kind = 'employer'")
 def employer_rings(spark, sf):
-    e = view.edges(spark, sf)
+    e = view.stored_edges(spark, sf)
     return linkage.clusters(e, "employer").join(linkage.shared_templates(e, "employer"), "value", "left").select("value", "n_apps", "n_applicants", (F.coalesce("n_templates", F.lit(0)) > 0).alias("shared_template"))
 
 
@@ -225,7 +225,7 @@ def employer_rings(spark, sf):
 SELECT links.app_id, clusters.kind, clusters.value, CASE WHEN n_applicants >= 3 THEN 'critical' WHEN clusters.kind = 'property' THEN 'medium' ELSE 'high' END AS severity
 FROM clusters JOIN links USING (kind, value) WHERE clusters.kind IN ('property', 'employer')""")
 def graph_evidence(spark, sf):
-    e = view.edges(spark, sf)
+    e = view.stored_edges(spark, sf)
     found = [linkage.clusters(e, k).withColumn("kind", F.lit(k)) for k in ("property", "employer")]
     both = found[0].unionByName(found[1]).join(linkage.linking(e), ["kind", "value"])
     severity = F.when(F.col("n_applicants") >= 3, "critical").when(F.col("kind") == "property", "medium").otherwise("high")
@@ -244,12 +244,12 @@ kept AS (SELECT * FROM nodes ORDER BY distance, kind, label LIMIT 30)"""
 
 @query(view.sql("edges", "degrees") + SUB + " SELECT kind, label, distance FROM kept")
 def subgraph_nodes(spark, sf):
-    return linkage.neighbourhood(view.edges(spark, sf), 1)[0]
+    return linkage.neighbourhood(view.stored_edges(spark, sf), 1)[0]
 
 
 @query(view.sql("edges", "degrees") + SUB + " SELECT DISTINCT app_id, links.kind, links.value FROM links JOIN kept a ON a.kind = 'app' AND a.label = app_id::VARCHAR JOIN kept b ON b.kind = links.kind AND b.label = links.value")
 def subgraph_edges(spark, sf):
-    return linkage.neighbourhood(view.edges(spark, sf), 1)[1]
+    return linkage.neighbourhood(view.stored_edges(spark, sf), 1)[1]
 
 
 @query(view.sql("edges") + " SELECT kind, count(*) AS n_edges, count(DISTINCT app_id) AS n_apps FROM edges GROUP BY kind")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vettra.operators import evidence as ev
+from vettra.sources.shared import written
 from vettra.sources.tables import table
 
 AS_OF = "2001-01-01"
@@ -89,3 +90,8 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
         edge(table(spark, sf, "orders"), "o_custkey", "template", F.col("o_orderpriority")), edge(table(spark, sf, "customer"), "c_custkey", "pan", F.concat_ws("-", "c_nationkey", "c_mktsegment")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct()
+
+
+def stored_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """edges, written once: hubs, clusters and templates each read them, some kinds only."""
+    return written(edges(spark, sf), "edges", "kind")
