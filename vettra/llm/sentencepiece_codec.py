@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from vettra.llm.common import small_batches, table
 
 BLANK = "▁"
-CACHE_UNITS = 150_000  # in each of two generations
+CACHE_UNITS = 300_000  # in each of two generations
 CACHE_PAIRS = 300_000
 UNKNOWN_COST = 10.0
 
@@ -47,6 +47,18 @@ def plain_char(c: str) -> bool:
     return c.isascii() or c.isalpha() or c == BLANK
 
 
+class Known(dict):
+    """Packed ids of units; asks `learn` for those that are missing."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self[unit] = self.learn(unit)
+        return found
+
+
 class PieceCodec:
     """pieces: {text: (id, score)}; byte_ids: the id of each of the 256 bytes, or None if there is no fallback."""
 
@@ -57,12 +69,13 @@ class PieceCodec:
         self.ids = {p: i for p, (i, _) in pieces.items()}
         self.bpe, self.byte_ids, self.unknown_id = bpe, byte_ids, unknown_id
         self.low = min(self.score.values(), default=0.0) - UNKNOWN_COST
-        self.surface = {i: p.encode() for p, i in self.ids.items()}
-        self.bytes_of = {} if byte_ids is None else {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        surface = {i: p.encode() for p, i in self.ids.items()} | ({} if byte_ids is None else {i: bytes([b]) for b, i in enumerate(byte_ids)})
+        self.surface = [surface.get(i, b"") for i in range(max([unknown_id, *surface]) + 1)]
         self.chars = frozenset(p for p in pieces if len(p) == 1)
-        self.units: dict[str, bytes] = {}  # this and the last generation of the cache
+        self.units = Known(self.learn)  # this and the last generation of the cache
         self.older: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}  # by the later piece, then the one before
+        self.n_pairs = 0
         # a piece that merging its own characters doesn't give can't be a result
         usable = [p for p in pieces if not bpe or len(p) == 1 or self.merge(p) == [p]]
         self.automaton = ahocorasick.Automaton()
@@ -109,12 +122,11 @@ class PieceCodec:
 
     def joins(self, a: str, b: str) -> bool:
         """Whether piece b may follow piece a in a merge result."""
-        key = (a, b)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merge(a + b) == [a, b]
+        if self.n_pairs > CACHE_PAIRS:
+            self.pairs.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        found = self.pairs.setdefault(b, {})[a] = self.merge(a + b) == [a, b]
         return found
 
     def segment(self, text: str) -> list[str]:
@@ -128,7 +140,7 @@ class PieceCodec:
                 for i, c in enumerate(text, 1):
                     if c not in score:  # no piece goes over it
                         last[i] = c
-            pairs = self.pairs
+            pairs, none = self.pairs, {}
             for end, (piece, size) in found:
                 end += 1
                 if last[end] is None:
@@ -137,7 +149,7 @@ class PieceCodec:
                     if not a:
                         last[end] = piece
                     elif before is not None:
-                        ok = pairs.get((before, piece))
+                        ok = pairs.get(piece, none).get(before)
                         if self.joins(before, piece) if ok is None else ok:
                             last[end] = piece
         else:
@@ -164,13 +176,17 @@ class PieceCodec:
             return np.zeros(0, np.int32)
         units = (self.plain if all(map(plain_char, set(text))) else self.mixed).findall(BLANK + text.replace(" ", BLANK))
         if len(self.units) > CACHE_UNITS:
-            self.units, self.older = {}, self.units
-        for u in set(units).difference(self.units):
-            self.units[u] = self.older.get(u) or array("i", [i for p in self.segment(u) for i in self.piece_ids(p)]).tobytes()
+            self.units, self.older = Known(self.learn), self.units
         return np.frombuffer(b"".join(map(self.units.__getitem__, units)), "<i4")
 
+    def learn(self, unit: str) -> bytes:
+        return dict.get(self.older, unit) or array("i", [i for p in self.segment(unit) for i in self.piece_ids(p)]).tobytes()
+
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join([self.surface.get(i) or self.bytes_of.get(i, b"") for i in ids.tolist()])
+        """The text of ids; ids of no piece, such as control pieces, give nothing."""
+        top = len(self.surface)
+        known = ids.tolist() if not len(ids) or (0 <= ids.min() and ids.max() < top) else [i for i in ids.tolist() if 0 <= i < top]
+        raw = b"".join(map(self.surface.__getitem__, known))
         text = raw.decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if text.startswith(" ") else text
 
