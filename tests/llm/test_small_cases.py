@@ -69,8 +69,8 @@ def test_lines_over_several_shards(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = line_dedup.dedup_lines(docs, min_docs=4).select("row.doc_id", "kept", "n_lines", "n_dropped").collect()
     assert by_text(map(tuple, found)) == by_text(brute_lines(rows, 4))
-    index, shards, hot = line_dedup.line_index(line_dedup.line_hashes(docs, "doc_id", "text", 1))
-    assert shards > 5 and len(hot) == 1 and {r.shard for r in index.select("shard").collect()} >= {-1, 0, 1}
+    index = line_dedup.line_index(line_dedup.line_hashes(docs, "doc_id", "text", 1))
+    assert index.shards > 5 and index.hot.count() == 1 and {r.shard for r in index.blobs.select("shard").collect()} >= {-1, 0, 1}
 
 
 def test_perfect_hash():

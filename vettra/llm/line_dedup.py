@@ -8,9 +8,10 @@ joined. Line numbers of hits come back by document.
 
 Hot lines: keys that hold at least 1/HOT_SHARE of all (document, line) pairs, so HOT_SHARE
 keys at most, form one small shard of their own that is copied to HOT_COPIES places at
-least. Every shard is copied to one place for each PROBES_PER_PLACE of its probes, which
-are spread over its places by row and line. Shards stream through a task row by row, so that no
-group has to fit in memory.
+least. The other keys are dealt evenly, so that their shards have much the same number of
+probes. A shard is copied to one place for each PROBES_PER_PLACE of its probes, which are
+spread over its places by row and line. Shards stream through a task row by row, so that no
+group has to fit in memory. Only the hashes of hot keys are broadcast.
 
 Defined results: null or empty text is one empty line; a key shorter than ``min_chars``
 code points never counts; each row is a document, repeated rows too; equal rows get equal
@@ -20,6 +21,7 @@ results; null ids are kept; other columns are ignored (op1) or kept (dedup_lines
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 
 from vettra.llm.common import ascii_lower, row_key, table, written
 
-KEYS_PER_SHARD = 100_000
-HOT_SHARE = 1000
+KEYS_PER_SHARD = 25_000
+HOT_SHARE = 25_000
 HOT_COPIES = 64
-PROBES_PER_PLACE = 20_000
+PROBES_PER_PLACE = 5_000
 MAX_COPIES = 1 << 20
 COUNT_MAX = 65_535
 STRIP = " \t\n\u000b\f\r"
@@ -119,22 +121,34 @@ def line_hashes(docs: DataFrame, id_col: str, text: str, min_chars: int) -> Data
     return written(split.select("rk1", "rk2", counted.alias("hs")), "line-hashes")
 
 
-def line_index(hashed: DataFrame) -> tuple[DataFrame, int, list[int]]:
-    """(shard, blob) rows, the number of shards, and the h1 of hot keys (their shard is -1)."""
+@dataclass
+class LineIndex:
+    """(shard, blob) rows; the hot keys (h1, h2), whose shard is -1; the number of other shards; and the copies of either kind of shard."""
+
+    blobs: DataFrame
+    hot: DataFrame
+    shards: int
+    hot_copies: int
+    copies: int
+
+
+def line_index(hashed: DataFrame) -> LineIndex:
     each = hashed.select(F.explode(F.array_distinct(F.array_compact("hs"))).alias("h"))
     counts = written(each.groupBy("h.h1", "h.h2").agg(F.count(F.lit(1)).alias("n")), "line-counts")
     distinct, pairs = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards = max(1, -(-distinct // KEYS_PER_SHARD))
-    # at most HOT_SHARE keys can have so large a share, so this list is bounded
-    hot = [r.h1 for r in counts.where(F.col("n") * HOT_SHARE >= max(pairs, 1)).select("h1").limit(HOT_SHARE).collect()] if pairs > HOT_SHARE else []
-    shard = F.when(F.col("h1").isin(hot), F.lit(-1)).otherwise(F.pmod("h1", F.lit(shards)))
+    is_hot = (F.col("n") > 1) & (F.col("n") * HOT_SHARE >= max(pairs, 1))  # at most HOT_SHARE keys can have so large a share
+    hot = counts.where(is_hot).select("h1", "h2")
+    hot_keys, hot_pairs = counts.where(is_hot).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shards = max(1, -(-(distinct - hot_keys) // KEYS_PER_SHARD))
+    places = lambda probes, least: min(MAX_COPIES, max(least, -(-probes // PROBES_PER_PLACE)))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         h1, h2 = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "blob": [PerfectHash.build(h1, h2, rows["n"].to_numpy()).to_bytes()]})
 
-    index = counts.select(shard.cast("long").alias("shard"), "h1", "h2", "n").groupBy("shard").applyInPandas(build, "shard long, blob binary")
-    return index, shards, hot
+    shard = F.when(is_hot, F.lit(-1)).otherwise(F.pmod("h1", F.lit(shards)))
+    blobs = counts.select(shard.cast("long").alias("shard"), "h1", "h2", "n").groupBy("shard").applyInPandas(build, "shard long, blob binary")
+    return LineIndex(blobs, hot, shards, places(hot_pairs, HOT_COPIES), places(-(-(pairs - hot_pairs) // shards), 1))
 
 
 def shared_lines(docs: DataFrame, id_col: str, text: str, min_docs: int, min_chars: int) -> DataFrame:
@@ -142,20 +156,16 @@ def shared_lines(docs: DataFrame, id_col: str, text: str, min_docs: int, min_cha
     if not 1 <= min_docs <= COUNT_MAX:
         raise ValueError(f"min_docs must be from 1 to {COUNT_MAX}")
     hashed = line_hashes(docs, id_col, text, min_chars)
-    index, shards, hot = line_index(hashed)
+    index = line_index(hashed)
     h = hashed.select("rk1", "rk2", F.posexplode("hs").alias("line", "h")).where("h IS NOT NULL").select("rk1", "rk2", "line", "h.h1", "h.h2")
-    shard = F.when(F.col("h1").isin(hot), F.lit(-1)).otherwise(F.pmod("h1", F.lit(shards))).cast("long")
-    h = h.withColumn("shard", shard)
-    # a row for each shard
-    sized = h.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    copies = F.greatest(F.ceil(F.col("n") / PROBES_PER_PLACE), F.when(F.col("shard") == -1, F.lit(HOT_COPIES)).otherwise(F.lit(1)))
-    sizes = written(sized.select("shard", F.least(copies, F.lit(MAX_COPIES)).cast("long").alias("copies")), "shard-copies")
-    first = F.col("shard") * MAX_COPIES
-    place = first + F.pmod(F.xxhash64("rk1", "line"), F.col("copies"))
-    probes = h.join(F.broadcast(sizes), "shard").select(place.alias("place"), F.lit(1).alias("kind"), "rk1", "rk2", "line", "h1", "h2", F.lit(None).cast("binary").alias("blob"))
-    zero = F.lit(0).cast("long")
-    places = F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("place")
-    blobs = index.join(F.broadcast(sizes), "shard").select(places, F.lit(0).alias("kind"), zero.alias("rk1"), zero.alias("rk2"), F.lit(0).alias("line"), zero.alias("h1"), zero.alias("h2"), "blob")
+    h = h.join(F.broadcast(index.hot.withColumn("hot", F.lit(True))), ["h1", "h2"], "left")  # HOT_SHARE rows at most
+    shard = F.when(F.col("hot"), F.lit(-1)).otherwise(F.pmod("h1", F.lit(index.shards))).cast("long")
+    copies = lambda s: F.when(s == -1, F.lit(index.hot_copies)).otherwise(F.lit(index.copies)).cast("long")
+    place = shard * MAX_COPIES + F.pmod(F.xxhash64("rk1", "line"), copies(shard))
+    probes = h.select(place.alias("place"), F.lit(1).alias("kind"), "rk1", "rk2", "line", "h1", "h2", F.lit(None).cast("binary").alias("blob"))
+    zero, first = F.lit(0).cast("long"), F.col("shard") * MAX_COPIES
+    places = F.explode(F.sequence(first, first + copies(F.col("shard")) - 1)).alias("place")
+    blobs = index.blobs.select(places, F.lit(0).alias("kind"), zero.alias("rk1"), zero.alias("rk2"), F.lit(0).alias("line"), zero.alias("h1"), zero.alias("h2"), "blob")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, arrays = None, None
