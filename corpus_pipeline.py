@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vettra.llm import decontamination, language_id, line_dedup, sentencepiece_codec, simhash_dedup
-from vettra.llm.common import table, written
+from vettra.llm.common import drop, table, written
 
 PIECES = os.environ.get("VETTRA_PIECE_MODEL", "")
 
@@ -72,5 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if name != STAGES[0][0]:
+            drop(before)  # a stage's table is read by the next stage only
     return STAGES[-1][1](spark, docs, sf_dir)
