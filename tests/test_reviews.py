@@ -3,7 +3,6 @@
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -212,3 +211,15 @@ def test_sensitive_tokens(spark):
     got = value(spark, forensics.sensitive_money(F.col("t")), t="Rs. 12,345 INR 12345 Rs 999 ₹ 1,000")
     assert got == {"12345": "12,345", "1000": "1,000"}
     assert value(spark, forensics.sensitive_pans(F.col("t")), t="abcpv1234d ABCPV1234D x") == ["ABCPV1234D"]
+
+
+def test_loading_of_files(spark):
+    files = spark.createDataFrame([(1, "a.pdf", False), (2, "b.JPG", None), (3, "c.pdf", True), (4, "d.pdf", False), (5, "e.pdf", False)], "doc int, path string, locked boolean")
+    pages = spark.createDataFrame([(1, 2, "short", "seen"), (1, 1, "a page with its own text", None), (2, 1, "ignored since an image", "from pixels"), (3, 1, "a page with its own text", None), (4, 1, None, " \n")], "doc int, page_no int, text string, ocr_text string")
+    got = {r.doc: r for r in tables.load_files(files, pages, "doc").collect()}
+    assert (got[1].text, got[1].source, got[1].ocr_used, got[1].ok) == ("a page with its own text\nseen", "mixed", True, True)
+    assert (got[2].kind, got[2].text, got[2].source, got[2].ok) == ("image", "from pixels", "image-ocr", True)
+    assert (got[3].needs_password, got[3].text, got[3].ok) == (True, "", False)
+    assert (got[4].source, got[4].ocr_used, got[4].ok) == ("ocr", False, False) and (got[5].n_pages, got[5].ok) == (0, False)
+    ocr = spark.createDataFrame([(4, "all of it")], "doc int, ocr_text string")
+    assert {r.doc: (r.text, r.source) for r in tables.text_or_ocr(pages, ocr, "doc", "page_no", "text").collect()}[4] == ("all of it", "ocr")

@@ -124,3 +124,6 @@ FILL_STD, FILL_LOW, FILL_HIGH, FILL_DELTA, FILL_CELLS, FILL_WHITE, FILL_MOST = 4
 PIXEL_DETECTORS = ("ela", "noise", "flat_fill", "copy_move", "jpeg_ghost", "recapture")
 # fixed values: names whose values are masked whole
 PII_NAMES = ("name", "applicant_name", "owner_name", "borrower_name", "pan", "applicant_pan", "account_number", "account_numbers", "property_id", "address", "property_address")
+# fixed values: extensions of images, and the visible characters from which a page or a document has a text layer
+IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "tif", "tiff", "bmp", "webp")
+PAGE_TEXT, DOCUMENT_TEXT = 15, 10

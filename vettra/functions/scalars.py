@@ -73,11 +73,13 @@ def verhoeff_valid(digits: Column) -> Column:
 
 
 def validate_pan(pan: Column) -> Column:
-    """struct(valid, normalized, holder_type)."""
+    """struct(valid, normalized, holder_type, reason); the reason is ok, empty, bad format or invalid holder type."""
     norm = F.nullif(F.upper(F.regexp_replace(pan, r"\s+", "")), F.lit(""))
     holders = F.create_map(*(F.lit(x) for kv in fixed.PAN_HOLDERS.items() for x in kv))
-    holder = F.when(norm.rlike("^[A-Z]{5}[0-9]{4}[A-Z]$"), F.try_element_at(holders, F.substring(norm, 4, 1)))
-    return F.struct(holder.isNotNull().alias("valid"), norm.alias("normalized"), holder.alias("holder_type"))
+    shaped = norm.rlike("^[A-Z]{5}[0-9]{4}[A-Z]$")
+    holder = F.when(shaped, F.try_element_at(holders, F.substring(norm, 4, 1)))
+    reason = F.when(norm.isNull(), "empty").when(~shaped, "bad format").when(holder.isNull(), "invalid holder type").otherwise("ok")
+    return F.struct(holder.isNotNull().alias("valid"), norm.alias("normalized"), holder.alias("holder_type"), reason.alias("reason"))
 
 
 def validate_aadhaar(number: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from vettra.functions import fixed, scalars
 from vettra.operators import grids
-from vettra.operators.ordered import one_per
 
 
 def font_base(font: Column) -> Column:
@@ -172,8 +171,3 @@ def heat(blocks: DataFrame, key: str) -> DataFrame:
     """Block values as 8-bit shares of their image's largest."""
     top = F.max("v").over(Window.partitionBy(key))
     return blocks.withColumn("heat", F.coalesce(F.floor(F.try_divide(F.col("v"), top) * 255), F.lit(0)).cast("int"))
-
-
-def first_page(findings: DataFrame) -> DataFrame:
-    """The page of each document's first finding."""
-    return one_per(findings.where("page IS NOT NULL"), ["doc"], "seq").select("doc", "page")

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vettra.operators.ordered import one_per
-
 
 def latest_edges(replayed: DataFrame) -> DataFrame:
     """Idempotent upsert: the edges of each application's latest version only."""
@@ -66,7 +64,3 @@ def neighbourhood(edges: DataFrame, app_id: int, cap: int = 30) -> tuple[DataFra
 def repeat_applicants(edges: DataFrame) -> DataFrame:
     """(pan, n_apps) of applicants with two applications or more."""
     return edges.where("kind = 'pan'").groupBy(F.col("value").alias("pan")).agg(F.count(F.lit(1)).alias("n_apps")).where("n_apps >= 2")
-
-
-def first_edges(edges: DataFrame) -> DataFrame:
-    return one_per(edges, ["app_id", "kind"], "value")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vettra.functions import fixed
 from vettra.functions.scalars import by_severity
 from vettra.operators.ordered import one_per
 
@@ -114,11 +113,6 @@ def in_order(clusters: DataFrame, size: str, *ties: str) -> DataFrame:
     return clusters.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc(size), *ties)))
 
 
-def pixel_share(findings: DataFrame, key: str) -> DataFrame:
-    """Findings of each key from detectors that read pixels, and all."""
-    return findings.groupBy(key).agg(F.count_if(F.col("detector").isin(*fixed.PIXEL_DETECTORS)).alias("pixel"), F.count(F.lit(1)).alias("n"))
-
-
 def editable(fields: DataFrame) -> DataFrame:
     """Recorded fields that somebody could alter with gain: of a fitting kind, with a direction of fraud and a place on the page."""
     kinds = F.col("kind").isin("money", "pan", "aadhaar", "date", "text")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vettra.functions import fixed, scalars
 from vettra.operators import documents as ops
-from vettra.operators import evaluation, grids, ordered, underwriting
+from vettra.operators import evaluation, grids, underwriting
 from vettra.plans import packets, view
 from vettra.sources.tables import table, text_source, verify
 

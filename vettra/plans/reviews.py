@@ -11,7 +11,7 @@ from vettra.operators import evidence as ev
 from vettra.operators import packets as operators
 from vettra.plans import packets, view
 from vettra.plans.documents import _BOX_SQL, _boxes, lit
-from vettra.sources.tables import table
+from vettra.sources.tables import load_files, table, text_or_ocr
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -444,3 +444,37 @@ def case_submissions(spark, sf):
     decided = ev.checked_decisions(packets.decisions(spark, sf)).join(block, "packet_id")
     out = ev.folded(decided, F.col("points"))
     return out.select("packet_id", ev.row_id("case", F.lit("packet"), "packet_id").alias("case_id"), "penalty", "final_trust", "final_action")
+
+
+# ---- loading, and scalars that no other query shows
+@query("""WITH p AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN left(text, 12) ELSE '' END, chr(10) ORDER BY turn) AS joined, max(length(trim(CASE WHEN role = 'user' THEN left(text, 12) ELSE '' END))) > 10 AS layer, count(*) AS n FROM conversations GROUP BY 1)
+SELECT conv_id, md5(CASE WHEN layer THEN joined ELSE 'recognised ' || n END) AS text_md5, CASE WHEN layer THEN 'embedded' ELSE 'ocr' END AS source FROM p""")
+def document_texts(spark, sf):
+    c = table(spark, sf, "conversations")
+    pages = c.select("conv_id", "turn", F.when(F.col("role") == "user", F.left("text", F.lit(12))).alias("text"))
+    ocr = c.groupBy("conv_id").agg(F.concat(F.lit("recognised "), F.count(F.lit(1)).cast("string")).alias("ocr_text"))
+    return text_or_ocr(pages, ocr, "conv_id", "turn", "text").select("conv_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "source")
+
+
+@query("""WITH f AS (SELECT conv_id, min(turn) AS first, conv_id % 5 = 0 AS image, conv_id % 7 = 0 AS locked FROM conversations GROUP BY 1),
+p AS (SELECT conv_id, turn, image, locked, NOT image AND length(trim(text)) >= 15 AND role = 'user' AS layer, CASE WHEN NOT image AND length(trim(text)) >= 15 AND role = 'user' THEN text ELSE 'ocr ' || turn END AS t FROM conversations JOIN f USING (conv_id) WHERE NOT image OR turn = first),
+g AS (SELECT conv_id, any_value(image) AS image, any_value(locked) AS locked, count(*) FILTER (NOT locked) AS n, string_agg(t, chr(10) ORDER BY turn) FILTER (NOT locked) AS text, bool_and(layer) AS every, bool_or(layer) AS partly FROM p GROUP BY 1)
+SELECT conv_id, CASE WHEN image THEN 'image' ELSE 'pdf' END AS kind, md5(coalesce(text, '')) AS text_md5, n::INTEGER AS n_pages, CASE WHEN image THEN 'image-ocr' WHEN locked THEN NULL WHEN every THEN 'embedded' WHEN partly THEN 'mixed' ELSE 'ocr' END AS source,
+  image OR (NOT locked AND NOT every) AS ocr_used, locked AND NOT image AS needs_password, NOT (locked AND NOT image) AND n > 0 AS ok FROM g""")
+def file_loading(spark, sf):
+    c = table(spark, sf, "conversations")
+    first = c.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    files = first.select("conv_id", F.when(F.col("conv_id") % 5 == 0, "scan.v2.PNG").otherwise("file.pdf").alias("path"), (F.col("conv_id") % 7 == 0).alias("locked"))
+    pages = c.join(first, "conv_id").where("conv_id % 5 <> 0 OR turn = first").select("conv_id", F.col("turn").alias("page_no"), F.when(F.col("role") == "user", F.col("text")).alias("text"), F.concat(F.lit("ocr "), F.col("turn").cast("string")).alias("ocr_text"))
+    out = load_files(files, pages, "conv_id")
+    return out.select("conv_id", "kind", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_pages", "source", "ocr_used", "needs_password", "ok")
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS made, CASE WHEN o_totalprice >= 1000 THEN floor(o_totalprice)::BIGINT::VARCHAR ELSE '' END AS runs,
+  CASE o_orderstatus WHEN 'P' THEN 'bad format' WHEN 'O' THEN 'invalid holder type' ELSE 'ok' END AS reason FROM orders""")
+def pdf_dates_and_runs(spark, sf):
+    o = table(spark, sf, "orders")
+    made = F.when(F.col("o_orderstatus") == "P", "D:2024").otherwise(F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.lit("+05'30'")))
+    text = F.concat(F.lit("pay "), F.format_number(F.floor("o_totalprice"), 0), F.lit(" of "), F.format_number(F.floor("o_totalprice"), 0), F.lit(" or 12"))
+    pan = F.when(F.col("o_orderstatus") == "P", "ABC").when(F.col("o_orderstatus") == "O", "ABCQV1234D").otherwise("abcpv 1234d")
+    return o.select(F.col("o_orderkey").alias("k"), F.date_format(scalars.parse_pdf_date(made), "yyyy-MM-dd HH:mm:ss").alias("made"), F.array_join(scalars.digit_runs(text), ",").alias("runs"), scalars.validate_pan(pan)["reason"].alias("reason"))

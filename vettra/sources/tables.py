@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vettra.functions import fixed
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -78,6 +80,38 @@ def text_source(pages: DataFrame, doc: str, page_no: str, text: str, at_least: i
     return rows.select(doc, F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("text"), F.size("p").alias("n_pages"), source.alias("source"))
 
 
+def text_or_ocr(pages: DataFrame, ocr: DataFrame, doc: str, page_no: str, text: str) -> DataFrame:
+    """(doc, text, source): the embedded text of all pages if any page has more than 10 visible characters, else the whole document's recognised text.
+
+    ocr: (doc, ocr_text).
+    """
+    own = F.coalesce(text, F.lit(""))
+    rows = pages.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(page_no).alias("n"), own.alias("t")))).alias("p"), (F.max(F.length(F.trim(own))) > fixed.DOCUMENT_TEXT).alias("layer"))
+    joined = F.array_join(F.transform("p", lambda x: x["t"]), "\n")
+    return rows.join(ocr.select(doc, "ocr_text"), doc, "left").select(doc, F.when(F.col("layer"), joined).otherwise(F.coalesce("ocr_text", F.lit(""))).alias("text"), F.when(F.col("layer"), "embedded").otherwise("ocr").alias("source"))
+
+
+def load_files(files: DataFrame, pages: DataFrame, doc: str) -> DataFrame:
+    """(doc, kind, text, n_pages, source, ocr_used, needs_password, ok) of files of any kind; nothing raises.
+
+    files: (doc, path, locked). pages: (doc, page_no, text, ocr_text); an image has one page. A page with less than 15 visible
+    characters takes its recognised text. Locked files have no text; files without any text are not ok.
+    """
+    image = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*fixed.IMAGE_EXTENSIONS)
+    own, seen = F.coalesce("text", F.lit("")), F.coalesce("ocr_text", F.lit(""))
+    layer = (F.length(F.trim(own)) >= fixed.PAGE_TEXT) & ~F.col("image")
+    typed = files.select(doc, image.alias("image"), F.coalesce("locked", F.lit(False)).alias("locked")).join(pages, doc, "left")
+    page = F.when(F.col("page_no").isNotNull() & ~F.col("locked"), F.struct(F.col("page_no").alias("n"), F.when(layer, own).otherwise(seen).alias("t"), layer.alias("layer")))
+    rows = typed.groupBy(doc).agg(F.first("image").alias("image"), F.first("locked").alias("locked"), F.array_sort(F.collect_list(page)).alias("p"))
+    every, some = F.forall("p", lambda x: x["layer"]), F.exists("p", lambda x: x["layer"])
+    source = F.when(F.col("image"), "image-ocr").when(F.size("p") == 0, None).when(every, "embedded").when(some, "mixed").otherwise("ocr")
+    out = rows.select(
+        doc, F.when(F.col("image"), "image").otherwise("pdf").alias("kind"), F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("text"), F.size("p").alias("n_pages"), source.alias("source"),
+        (F.col("image") | F.exists("p", lambda x: ~x["layer"] & x["t"].rlike(r"\S"))).alias("ocr_used"), (F.col("locked") & ~F.col("image")).alias("needs_password"),
+    )
+    return out.withColumn("ok", ~F.col("needs_password") & F.col("text").rlike(r"\S"))
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
