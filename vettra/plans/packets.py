@@ -13,6 +13,7 @@ from vettra.functions import fixed
 from vettra.operators import evidence as ev
 from vettra.operators import extract, ordered, packets, rules, underwriting
 from vettra.plans import view
+from vettra.sources.shared import written
 from vettra.sources.tables import table
 
 QUERIES: dict = {}
@@ -108,7 +109,7 @@ def texts(spark, sf):
     pan = lambda label: F.coalesce(row(label, number), F.lit(""))
     brand, line = F.col("brand"), F.lit("\n")
     credits = F.array_join(F.transform("credits", lambda x: F.concat(F.lit("SALARY CREDIT acme "), rupees(F.floor(x["l_extendedprice"])))), "\n")
-    written = {
+    bodies = {
         "form16": F.concat(F.lit("FORM 16 FY 2023-24\n"), row("Employee: ", person), pan("PAN: "), F.lit("Gross Salary\n"), rupees(3 * amount), line, row("Tax Deducted ", rupees(F.floor(amount / 10)))),
         "bank_statement": F.concat(row("Holder: ", person), F.lit("Account: XXXX1234\n"), credits),
         "salary_slip": F.concat(F.lit("SALARY SLIP\nAcme Ltd | May\n"), row("Employee: ", person), F.lit("Net Pay (take-home)\n"), rupees(F.floor(amount / 4))),
@@ -122,7 +123,7 @@ def texts(spark, sf):
     kind = F.array(*map(F.lit, TYPES))[((F.col("ordinal") - 1) % len(TYPES)).cast("int")]
     text = F.lit(None).cast("string")
     for t in TYPES:
-        text = F.when(F.col("doc_type") == t, written[t]).otherwise(text)
+        text = F.when(F.col("doc_type") == t, bodies[t]).otherwise(text)
     return d.withColumn("doc_type", kind).withColumn("text", text)
 
 
@@ -162,7 +163,8 @@ def behaviour(spark, sf):
 
 
 def features(spark, sf):
-    return packets.feature_vector(view.docs(spark, sf), forensic(spark, sf), semantic(spark, sf), behaviour(spark, sf))
+    """A row a packet, written once: scaling, attributions and scores each read it."""
+    return written(packets.feature_vector(view.docs(spark, sf), forensic(spark, sf), semantic(spark, sf), behaviour(spark, sf)), "features")
 
 
 def scores(found):
@@ -261,7 +263,7 @@ def score_driver(spark, sf):
 
 def decisions(spark, sf):
     """Decisions of all packets, from their texts on."""
-    found, marks = semantic(spark, sf), forensic(spark, sf)
+    found, marks = written(semantic(spark, sf), "findings"), forensic(spark, sf)  # texts are extracted once, for features and evidence
     vector = packets.feature_vector(view.docs(spark, sf), marks, found, behaviour(spark, sf))
     one = lambda df, c: df.select("packet_id", F.lit(c).alias("category"), "severity", "title", "location", "seq")
     return packets.packet_decision(view.docs(spark, sf), one(marks, "forensic").unionByName(one(found, "semantic")), scores(vector))
