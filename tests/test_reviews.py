@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vettra.functions import scalars
-from vettra.operators import documents, evaluation, forensics, grids, packets, review
+from vettra.operators import documents, evaluation, faces, forensics, grids, packets, review
 from vettra.sources import tables
 
 
@@ -193,9 +193,12 @@ def test_model_evidence_texts(spark):
     s = spark.createDataFrame([(1, 0.9, 0.1), (2, 0.6, 0.1), (3, 0.1, 0.1)], "packet_id int, probability double, anomaly double")
     f = spark.createDataFrame([(1, 2, "n_semantic_total"), (1, 1, "doc_count")], "packet_id int, rank int, feature string")
     got = {r.packet_id: r for r in packets.model_evidence(s, f).collect()}
-    assert got[1].description.endswith("90%. Leading factors: packet document count; number of cross-document inconsistencies.") and got[1].severity == "high"
-    assert "graph" in got[2].description and got[3].description.startswith("Low") and got[3].severity == "info"
-    assert packets.model_evidence(s).where("description LIKE '%graph%'").count() == 2
+    assert got[1].description == "90% fraud probability by the risk model, mostly by packet document count; number of cross-document inconsistencies." and got[1].severity == "high"
+    assert "linked applications" in got[2].description and got[3].description.startswith("10%") and got[3].severity == "info"
+    assert tuple(got[2]["values"]) == (0.6, 0.1)
+    assert packets.model_evidence(s).where("description LIKE '%linked%'").count() == 2
+    shown = spark.createDataFrame([(1, True), (2, True), (3, False)], "packet_id int, has_doc_evidence boolean")
+    assert packets.model_evidence(s, None, shown).where("description LIKE '%linked%'").count() == 0
 
 
 def test_adapters(spark):
@@ -223,3 +226,25 @@ def test_loading_of_files(spark):
     assert (got[4].source, got[4].ocr_used, got[4].ok) == ("ocr", False, False) and (got[5].n_pages, got[5].ok) == (0, False)
     ocr = spark.createDataFrame([(4, "all of it")], "doc int, ocr_text string")
     assert {r.doc: (r.text, r.source) for r in tables.text_or_ocr(pages, ocr, "doc", "page_no", "text").collect()}[4] == ("all of it", "ocr")
+
+
+def test_distant_pairs_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(0, 1, (90, 4)).round(3)
+    v[7] = 0.0
+    rows = [(int(i > 80), i, [float(x) for x in v[i]]) for i in range(90)] + [(3, 200, None), (4, 300, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "g int, k long, v array<double>")
+    cos = lambda a, b: 1 - a @ b / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-9)
+    want = {(g, i, j): pytest.approx(cos(v[i], v[j])) for i in range(90) for j in range(i + 1, 90) if (g := int(i > 80)) == int(j > 80) and cos(v[i], v[j]) > 0.62}
+    for block in (7, 1024):
+        got = {(r.g, r.a, r.b): r.distance for r in faces.distant_pairs(df, "g", "k", "v", block=block).collect()}
+        assert got == want
+    assert faces.distant_pairs(df.limit(0), "g", "k", "v").count() == 0
+
+
+def test_one_finding_for_each_packet(spark):
+    row = lambda p, d, sharp, side, place, v: (p, d, sharp, 0.0, 0.0, side, side, place, v)
+    rows = [row(1, 1, 9.0, 50.0, 1, [1.0, 0.0]), row(1, 1, 9.0, 60.0, 2, [0.0, 1.0]), row(1, 2, 9.0, 50.0, 1, [1.0, 0.0]), row(1, 3, 9.0, 50.0, 1, [0.1, 1.0]), row(1, 4, 0.5, 90.0, 1, [-1.0, 0.0]), row(2, 5, 9.0, 50.0, 1, [1.0, 0.0]), row(3, 6, 9.0, 50.0, 1, [1.0, 0.0]), row(3, 7, 9.0, 10.0, 1, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "packet_id int, doc_id int, sharpness double, x0 double, y0 double, x1 double, y1 double, place int, embedding array<double>")
+    got = faces.face_findings(df, 1.0, 400.0).collect()
+    assert [(r.packet_id, r.n_faces, r.n_pairs, r.distance, r.doc_a, r.doc_b) for r in got] == [(1, 3, 2, 1.0, 1, 2)]

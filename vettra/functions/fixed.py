@@ -120,6 +120,13 @@ FONT_SUFFIXES = ("bold", "italic", "oblique", "regular", "mt", "ps")
 # fixed values: thresholds of noise loss and flat fill
 NOISE_FLOOR, NOISE_LOW, NOISE_CELLS, NOISE_MOST, NOISE_REGIONS, NOISE_VALID = 2.2, 0.50, 5, 0.02, 3, 8
 FILL_STD, FILL_LOW, FILL_HIGH, FILL_DELTA, FILL_CELLS, FILL_WHITE, FILL_MOST = 4.0, 70, 242, 12, 6, 0.30, 0.05
+# fixed values: error levels and recompression ghosts: quality, robust factor, floor, least blocks; qualities, distance from the usual one, strength
+ELA_QUALITY, ELA_FACTOR, ELA_FLOOR, ELA_CELLS = 90, 6.0, 14.0, 3
+GHOST_QUALITIES, GHOST_APART, GHOST_STRENGTH = (55, 65, 75, 85, 95), 20.0, 0.4
+# fixed values: copied regions: matches of each block, least shift, least matches of a shift, correlations of content and noise, half a window, largest share of the page
+CLONE_NEIGHBOURS, CLONE_SHIFT, CLONE_MATCHES, CLONE_CONTENT, CLONE_NOISE, CLONE_REACH, CLONE_MOST = 3, 30, 10, 0.92, 0.30, 12, 0.06
+# fixed values: tiles of learned masks: side, share of the stride, gate, threshold, least area
+TILE_SIDE, TILE_STRIDE, TILE_GATE, MASK_AT, MASK_AREA = 384, 0.75, 0.5, 0.5, 256
 # fixed values: detectors that read pixels
 PIXEL_DETECTORS = ("ela", "noise", "flat_fill", "copy_move", "jpeg_ghost", "recapture")
 # fixed values: names whose values are masked whole

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vettra.functions import fixed, scalars
 from vettra.operators import grids
+from vettra.operators.documents import suspicious_producer
 
 
 def font_base(font: Column) -> Column:
@@ -32,6 +33,18 @@ def without_page(df: DataFrame) -> DataFrame:
     return df.withColumn("page", F.lit(None).cast("int"))
 
 
+def metadata_findings(docs: DataFrame, as_of: Column) -> list[DataFrame]:
+    """Authoring tools that issuers don't use, and modification or creation dates that don't fit. docs: (doc, producer, created, modified)."""
+    d = without_page(docs)
+    gap, ahead = scalars.floor_days(F.col("modified"), F.col("created")), scalars.floor_days(F.col("created"), as_of)
+    return [
+        fact(d.where(suspicious_producer(F.col("producer"))), -3, "high", "Suspicious PDF producer", 0.90),
+        fact(d.where(gap > 30), -2, "medium", "Modified long after creation", 0.80),
+        fact(d.where(gap < 0), -1, "high", "Impossible date order", 0.98),
+        fact(d.where(ahead > 30), 0, "high", "Created in the future", 0.98),
+    ]
+
+
 def font_findings(spans: DataFrame) -> DataFrame:
     """Pages whose body text (8 to 20 points) has a font that the dominant one doesn't explain.
 
@@ -81,7 +94,7 @@ def document_findings(*parts: DataFrame) -> DataFrame:
 
 def sensitive_money(text: Column) -> Column:
     """{digits: literal as first found} of amounts behind a currency mark with 4 digits or more."""
-    literals = F.regexp_extract_all(text, F.lit(r"(?i)(?:Rs\.?|INR|₹)\s*(\d[\d,]*)"), 1)
+    literals = F.regexp_extract_all(text, F.lit(r"(?i)(?:Rs\.?|INR|₹)\s*(\d(?:[\d,]*\d)?)"), 1)
     keyed = F.transform(F.filter(literals, lambda x: F.length(F.regexp_replace(x, ",", "")) >= 4), lambda x: F.struct(F.regexp_replace(x, ",", "").alias("k"), x.alias("v")))
     first = F.filter(keyed, lambda e, i: F.array_position(F.transform(keyed, lambda y: y["k"]), e["k"]) == i + 1)
     return F.map_from_entries(first)

@@ -1,4 +1,4 @@
-"""Block grids of images: robust outliers, connected cells, boxes; matches between embeddings."""
+"""Block grids of images: robust outliers, connected cells, boxes."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vettra.functions import scalars
-
 
 def cells(vectors: DataFrame, key: str, vector: str, side: int) -> DataFrame:
     """(key, gy, gx, v): a vector of side * side values as a grid."""
@@ -25,17 +23,20 @@ def outliers(grid: DataFrame, key: str, factor: float = 6.0) -> DataFrame:
     return with_mid.join(mad, key).where(F.col("v") > F.col("med") + factor * 1.4826 * (F.col("mad") + 1e-6)).select(key, "gy", "gx", "v")
 
 
-def label_cells(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """For each distinct cell (image, y, x), the number of the least cell of its 4-connected group, in order of (image, y, x)."""
+def label_cells(image: np.ndarray, y: np.ndarray, x: np.ndarray, diagonal: bool = False) -> np.ndarray:
+    """For each distinct cell (image, y, x), the number of the least cell of its 4-connected group (8-connected with `diagonal`), in order of (image, y, x)."""
     order = np.lexsort((x, y, image))
     image, y, x = image[order], y[order], x[order]
     root = np.arange(len(order))
     right = np.flatnonzero((image[1:] == image[:-1]) & (y[1:] == y[:-1]) & (x[1:] == x[:-1] + 1))
     width = int(x.max() - x.min() + 3) if len(x) else 1
     code = (image.astype(np.int64) * (int(y.max() - y.min() + 3) if len(y) else 1) + (y - y.min() if len(y) else y)) * width + (x - x.min() if len(x) else x)
-    below = np.searchsorted(code, code + width)
-    down = np.flatnonzero((below < len(code)) & (code[np.minimum(below, len(code) - 1)] == code + width)) if len(code) else right
-    a, b = np.concatenate([right, down]), np.concatenate([right + 1, below[down]]) if len(code) else (right, right)
+    a, b = [right], [right + 1]
+    for step in (width, width - 1, width + 1) if diagonal else (width,):  # down, and down to either side
+        below = np.searchsorted(code, code + step)
+        down = np.flatnonzero((below < len(code)) & (code[np.minimum(below, len(code) - 1)] == code + step)) if len(code) else right
+        a, b = [*a, down], [*b, below[down]]
+    a, b = np.concatenate(a), np.concatenate(b)
     while len(a):
         low = np.minimum(root[a], root[b])
         np.minimum.at(root, root[a], low)
@@ -64,17 +65,14 @@ def labelled(marked: DataFrame, key: str) -> DataFrame:
     return images.mapInPandas(label, f"{key} {dict(marked.dtypes)[key]}, gy int, gx int, root_y int, root_x int")
 
 
-def components(marked: DataFrame, key: str) -> DataFrame:
-    """(key, root, n, box): 4-connected groups of marked cells of each image, named by their least (gy, gx)."""
-    box = [f(c).alias(n) for n, f, c in (("y0", F.min, "gy"), ("x0", F.min, "gx"), ("y1", F.max, "gy"), ("x1", F.max, "gx"))]
-    return labelled(marked, key).groupBy(key, "root_y", "root_x").agg(F.count(F.lit(1)).cast("int").alias("n"), *box)
+def box() -> list[Column]:
+    """The bounding box of a group of cells, as aggregates."""
+    return [f(c).alias(n) for n, f, c in (("y0", F.min, "gy"), ("x0", F.min, "gx"), ("y1", F.max, "gy"), ("x1", F.max, "gx"))]
 
 
-def distant_pairs(vectors: DataFrame, group: str, key: str, vector: str, above: float = 0.62) -> DataFrame:
-    """Pairs of a group whose cosine distance exceeds a limit."""
-    a, b = (vectors.select(group, F.col(key).alias(k), F.col(vector).alias(f"v_{k}")) for k in ("a", "b"))
-    pairs = a.join(b, group).where(F.col("a") < F.col("b"))
-    return pairs.withColumn("distance", scalars.cosine_distance(F.col("v_a"), F.col("v_b"))).where(F.col("distance") > above).select(group, "a", "b", "distance")
+def components(marked: DataFrame, key: str) -> DataFrame:
+    """(key, root, n, box): 4-connected groups of marked cells of each image, named by their least (gy, gx)."""
+    return labelled(marked, key).groupBy(key, "root_y", "root_x").agg(F.count(F.lit(1)).cast("int").alias("n"), *box())
 
 
 def spectrum_peaks(signals: DataFrame, key: str, values: str, limit: int = 28, window: int = 2) -> DataFrame:

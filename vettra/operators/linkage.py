@@ -6,9 +6,46 @@ before any self-join, so no join multiplies a hub's members.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vettra.sources.shared import drop, written
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder, for what reads it several times."""
+    return written(df, name)
+
+
+def least_reachable(edges: DataFrame) -> DataFrame:
+    """(node, least): the least node that each node of (a, b) reaches, edges taken both ways; nodes may be structs.
+
+    Rounds alternate: greater neighbours are hung on a node's least one, then a node and its lesser neighbours on the least
+    of these. They end when nothing changes, after a number of rounds that grows with the logarithm of the longest path.
+    Every round is written, which cuts lineage.
+    """
+    high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    links = stored(edges.where("a <> b").select(high, low).distinct(), "links")
+    mark = None
+    while True:
+        now = tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+        if now == mark or not now[0]:
+            own = links.select(F.col("b").alias("node"), F.col("b").alias("least")).distinct()
+            alone = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("least")).distinct()
+            found = links.select(F.col("a").alias("node"), F.col("b").alias("least")).unionByName(own)
+            return found.unionByName(alone.join(found.select("node"), "node", "left_anti"))
+        mark = now
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        hung = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "links")
+        floor = hung.groupBy("a").agg(F.min("b").alias("m"))
+        stars = hung.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(floor.select("a", F.col("m").alias("b")))
+        before, links = links, stored(stars.distinct(), "links")
+        drop(before)
+        drop(hung)
+
 
 def latest_edges(replayed: DataFrame) -> DataFrame:
     """Idempotent upsert: the edges of each application's latest version only."""
@@ -64,3 +101,22 @@ def neighbourhood(edges: DataFrame, app_id: int, cap: int = 30) -> tuple[DataFra
 def repeat_applicants(edges: DataFrame) -> DataFrame:
     """(pan, n_apps) of applicants with two applications or more."""
     return edges.where("kind = 'pan'").groupBy(F.col("value").alias("pan")).agg(F.count(F.lit(1)).alias("n_apps")).where("n_apps >= 2")
+
+
+def evidence(edges: DataFrame) -> DataFrame:
+    """(packet_id, severity, title, location, confidence, seq): the graph's findings on each application, from written edges.
+
+    A property that applicants share is medium, an employer high, either critical from three applicants on;
+    an applicant of several applications is a note.
+    """
+    links = linking(edges)
+    titles = {"property": ("Property pledged in several applications", "medium", 0.9), "employer": ("Applicants linked by one employer", "high", 0.85)}
+    parts = []
+    for k, (title, severity, confidence) in titles.items():
+        members = clusters(edges, k).join(links.where(F.col("kind") == k), "value")
+        level = F.when(F.col("n_applicants") >= 3, "critical").otherwise(severity)
+        parts.append(members.select(F.col("app_id").alias("packet_id"), level.alias("severity"), F.lit(title).alias("title"), F.concat(F.lit(f"{k} "), "value").alias("location"), F.lit(confidence).alias("confidence"), F.lit(len(parts) + 1).alias("part")))
+    again = edges.where("kind = 'pan'").join(repeat_applicants(edges).select(F.col("pan").alias("value")), "value", "left_semi")
+    parts.append(again.select(F.col("app_id").alias("packet_id"), F.lit("info").alias("severity"), F.lit("Applicant of several applications").alias("title"), F.concat(F.lit("pan "), "value").alias("location"), F.lit(0.7).alias("confidence"), F.lit(3).alias("part")))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.withColumn("seq", F.row_number().over(Window.partitionBy("packet_id").orderBy("part", "location"))).drop("part")

@@ -47,26 +47,29 @@ def attributions(features: DataFrame, clean: Column, importance: dict[str, float
     return shares.where(F.col("share") > least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("packet_id", "rank", "feature", "share")
 
 
-def model_evidence(scores: DataFrame, factors: DataFrame | None = None) -> DataFrame:
-    """One anomaly finding for each packet of (packet_id, probability, anomaly): severity, text, confidence.
+def model_evidence(scores: DataFrame, factors: DataFrame | None = None, shown: DataFrame | None = None) -> DataFrame:
+    """One anomaly finding for each packet of (packet_id, probability, anomaly), always there: severity, text, confidence and values.
 
-    factors: (packet_id, rank, feature), the leading ones, by fixed.FEATURES' names in the text.
+    factors: (packet_id, rank, feature), the leading ones, by fixed.FEATURES' names in the text. shown: (packet_id, has_doc_evidence);
+    a high probability without factors or evidence points to the graph.
     """
     labels = F.create_map(*(F.lit(x) for kv in fixed.FEATURES.items() for x in kv))
+    rows = scores.withColumn("has_doc_evidence", F.lit(False)) if shown is None else scores.join(shown, "packet_id", "left")
     if factors is None:
-        named = scores.withColumn("named", F.array().cast("array<string>"))
+        named = rows.withColumn("named", F.array().cast("array<string>"))
     else:
         lists = factors.groupBy("packet_id").agg(F.array_sort(F.collect_list(F.struct("rank", "feature"))).alias("l"))  # a few of each packet
-        named = scores.join(lists, "packet_id", "left").withColumn("named", F.transform(F.coalesce("l", F.array().cast("array<struct<rank: int, feature: string>>")), lambda x: F.coalesce(F.try_element_at(labels, x["feature"]), x["feature"])))
-    p, pct = F.col("probability"), F.round(F.col("probability") * 100).cast("int").cast("string")
-    text = (
-        F.when(F.size("named") > 0, F.concat(F.lit("The trained risk model assigns this packet a fraud probability of "), pct, F.lit("%. Leading factors: "), F.array_join("named", "; "), F.lit(".")))
-        .when(p >= 0.5, F.concat(F.lit("Fraud probability "), pct, F.lit("% without a document-level factor: check the cross-application graph.")))
-        .otherwise(F.concat(F.lit("Low fraud probability of "), pct, F.lit("%.")))
+        named = rows.join(lists, "packet_id", "left").withColumn("named", F.transform(F.coalesce("l", F.array().cast("array<struct<rank: int, feature: string>>")), lambda x: F.coalesce(F.try_element_at(labels, x["feature"]), x["feature"])))
+    p = F.col("probability")
+    tail = (
+        F.when(F.size("named") > 0, F.concat(F.lit(", mostly by "), F.array_join("named", "; ")))
+        .when((p >= 0.5) & ~F.coalesce("has_doc_evidence", F.lit(False)), ", though no document or rule shows anything; see the linked applications")
+        .otherwise("")
     )
+    text = F.concat(F.round(p * 100).cast("int").cast("string"), F.lit("% fraud probability by the risk model"), tail, F.lit("."))
     return named.select(
         "packet_id", F.lit("anomaly").alias("category"), scalars.model_severity(p).alias("severity"), F.lit("Learned risk model assessment").alias("title"), F.lit("risk model").alias("location"),
-        F.round(F.greatest(p, 1 - p), 3).alias("confidence"), text.alias("description"),
+        F.round(F.greatest(p, 1 - p), 3).alias("confidence"), text.alias("description"), F.struct(F.round("probability", 4).alias("fraud_probability"), F.round("anomaly", 4).alias("anomaly_score")).alias("values"),
     )
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vettra.plans import documents, packets, reviews, scoring
+from vettra.plans import documents, packets, rasters, reviews, scoring
 
-PARTS = (scoring, documents, packets, reviews)
+PARTS = (scoring, documents, packets, reviews, rasters)
 QUERIES: dict = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}

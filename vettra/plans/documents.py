@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vettra.functions import fixed, scalars
 from vettra.operators import documents as ops
-from vettra.operators import evaluation, grids, underwriting
+from vettra.operators import evaluation, faces, grids, underwriting
 from vettra.plans import packets, view
 from vettra.sources.tables import table, text_source, verify
 
@@ -243,17 +244,6 @@ def text_sources(spark, sf):
     return out.select("conv_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_pages", "source")
 
 
-@query("""SELECT c_custkey AS k, c_name, NULL::VARCHAR AS added FROM customer WHERE lower(trim(c_mktsegment)) = 'building' UNION ALL SELECT c_custkey, c_name, 'x' FROM customer WHERE c_custkey <= 10""")
-def append_migrate(spark, sf):
-    from pyspark.sql import types as T
-
-    from vettra.sources.tables import with_missing_columns
-
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), "c_name", "c_mktsegment")
-    old = with_missing_columns(c.where(F.lower(F.trim("c_mktsegment")) == "building").drop("c_mktsegment"), T.StructType([T.StructField("added", T.StringType())]))
-    return old.unionByName(c.where("k <= 10").select("k", "c_name", F.lit("x").alias("added")))
-
-
 @query("""SELECT split_part(split_part(lower(url), '/', 3), ':', 1) AS host, count(*) AS n FROM pages GROUP BY 1""")
 def host_allow_list(spark, sf):
     return table(spark, sf, "pages").groupBy(F.lower(F.split_part(F.split_part("url", F.lit("/"), F.lit(3)), F.lit(":"), F.lit(1))).alias("host")).agg(F.count(F.lit(1)).alias("n"))
@@ -267,12 +257,11 @@ def hash_split(spark, sf):
 
 
 @query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
-SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(1 - list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e)) + 1e-9), 6) AS distance FROM v a JOIN v b ON a.label = b.label AND a.vec_id // 50 = b.vec_id // 50 AND a.vec_id < b.vec_id
+SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(1 - list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e)) + 1e-9), 6) AS distance FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id
 WHERE 1 - list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e)) + 1e-9) > 0.62""")
 def embedding_mismatch(spark, sf):
-    # an application's faces: vectors of one label among 50 consecutive ids, so that an application stays small in tables of any size
-    v = table(spark, sf, "embeddings").withColumn("app", F.struct("label", F.floor(F.col("vec_id") / 50).alias("m")))
-    return grids.distant_pairs(v, "app", "vec_id", "embedding").select("app.label", "a", "b", F.round("distance", 6).alias("distance"))
+    """All distant pairs of vectors of one label."""
+    return faces.distant_pairs(table(spark, sf, "embeddings"), "label", "vec_id", "embedding").select("label", "a", "b", F.round("distance", 6).alias("distance"))
 
 
 _GRID = """g AS (SELECT vec_id, (i // 8)::INTEGER AS gy, (i % 8)::INTEGER AS gx, v::DOUBLE AS v FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings)),
@@ -330,9 +319,13 @@ def calibrate_grid(spark, sf):
     return evaluation.calibrated(_evaluated(spark, sf), F.col("n_chars") % 7, F.col("n_chars"), "truth", (2, 3, 4, 5, 6), (100, 500, 1000, 2000, 4000), 0.5)
 
 
-@query("""SELECT o_orderkey AS case_id, o_custkey AS user_id, o_totalprice AS trust FROM orders WHERE o_custkey % 10 = 1 ORDER BY o_orderdate DESC""")
+@query("""SELECT o_orderkey AS case_id, o_custkey AS user_id, o_totalprice AS trust, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_custkey = (SELECT min(c_custkey) FROM customer WHERE c_custkey > 0)""")
 def case_listing(spark, sf):
-    return table(spark, sf, "orders").where("o_custkey % 10 = 1").orderBy(F.desc("o_orderdate")).select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("user_id"), F.col("o_totalprice").alias("trust"))
+    """The cases of one user, the newest first."""
+    user = table(spark, sf, "customer").where("c_custkey > 0").agg(F.min("c_custkey").alias("u"))
+    own = table(spark, sf, "orders").join(F.broadcast(user), F.col("o_custkey") == F.col("u"))  # one row
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
+    return own.withColumn("place", place).orderBy("place").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("user_id"), F.col("o_totalprice").alias("trust"), "place")
 
 
 @query("""SELECT o_orderkey AS case_id, count(l_orderkey) AS n_docs, coalesce(string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag), '') AS docs FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")

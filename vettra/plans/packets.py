@@ -1,8 +1,7 @@
 """Queries over whole packets: document texts, extracted entities, rules, features, decision and verification.
 
-Each customer is a packet and each of its orders a document with a text of its own, whose
-type follows from its place. The Spark side writes the texts and extracts the fields from
-them; the SQL side has the values that went into the texts.
+The documents are those of plans/lending.py. Findings of the documents, of the rules across
+them and of the graph of all applications meet in one decision.
 """
 
 from __future__ import annotations
@@ -10,18 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vettra.functions import fixed
-from vettra.operators import evidence as ev
-from vettra.operators import extract, ordered, packets, rules, underwriting
-from vettra.plans import view
+from vettra.operators import ordered, packets, rules, underwriting
+from vettra.plans import lending
+from vettra.plans.lending import lit
 from vettra.sources.shared import written
-from vettra.sources.tables import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-TYPES = ["form16", "bank_statement", "salary_slip", "identity", "sale_deed", "encumbrance_certificate", "property_valuation", "legal_opinion", "address_proof"]
-
-
 def query(sql: str | None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -32,37 +27,12 @@ def query(sql: str | None):
     return add
 
 
-def lit(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-# ---- the SQL side: values as they stand in the tables
-CTE = {
-    "lines": """lines AS (SELECT l_orderkey AS doc_id, min(p_brand) AS brand, count(*) AS n, avg(floor(l_extendedprice)) * 12 AS annual,
-  arg_min(floor(l_extendedprice), (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS first_credit FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)""",
-    "typed": f"""typed AS (SELECT packet_id, doc_id, ordinal, [{', '.join(map(lit, TYPES))}][((ordinal - 1) % {len(TYPES)} + 1)::BIGINT] AS doc_type, status, created, submitted, modified, n_lines,
-  CASE status WHEN 'P' THEN c_mktsegment || ' Kumar' WHEN 'O' THEN lower(c_mktsegment) || ' RAO' ELSE c_mktsegment || ' Rao' END AS person,
-  CASE WHEN n_lines <= 6 THEN (CASE status WHEN 'P' THEN 'ABCPX' ELSE 'ABCPV' END) || lpad(c_nationkey::VARCHAR, 4, '0') || left(c_mktsegment, 1) END AS number,
-  brand, floor(declared) AS amount, annual, first_credit FROM facts JOIN customer ON c_custkey = packet_id JOIN lines USING (doc_id))""",
-    "entities": """entities AS (SELECT packet_id, doc_id, ordinal, doc_type, status, created, submitted, modified, n_lines,
-  CASE WHEN doc_type IN ('identity', 'form16', 'salary_slip', 'bank_statement', 'address_proof') THEN person END AS name,
-  CASE WHEN doc_type IN ('identity', 'form16', 'sale_deed') THEN number END AS pan,
-  CASE WHEN doc_type IN ('sale_deed', 'encumbrance_certificate', 'property_valuation', 'legal_opinion') THEN brand END AS property_id,
-  CASE WHEN doc_type IN ('sale_deed', 'encumbrance_certificate', 'property_valuation', 'legal_opinion') THEN person END AS owner_name,
-  CASE WHEN doc_type = 'form16' THEN 3 * amount END AS gross_income, CASE WHEN doc_type = 'bank_statement' THEN annual END AS implied_annual,
-  CASE WHEN doc_type = 'bank_statement' THEN first_credit END AS monthly_credit, CASE WHEN doc_type = 'salary_slip' THEN floor(amount / 4) END AS net_monthly,
-  CASE WHEN doc_type = 'sale_deed' THEN amount END AS consideration, CASE WHEN doc_type = 'property_valuation' THEN amount END AS valuation_amount,
-  CASE WHEN doc_type = 'encumbrance_certificate' THEN status = 'O' END AS claims_nil, CASE WHEN doc_type = 'legal_opinion' THEN status <> 'P' END AS title_clear FROM typed)""",
-    "last": """last AS (SELECT * FROM (SELECT *, min(ordinal) OVER (PARTITION BY packet_id, doc_type) AS position, row_number() OVER (PARTITION BY packet_id, doc_type ORDER BY ordinal DESC) AS rn FROM entities) WHERE rn = 1)""",
-    "applications": """applications AS (SELECT c_custkey AS packet_id, 'ABCPV' || lpad(c_nationkey::VARCHAR, 4, '0') || left(c_mktsegment, 1) AS applicant_pan, CASE WHEN c_acctbal > 0 THEN floor(c_acctbal * 60) END AS loan_amount FROM customer)""",
-    "registries": """market AS (SELECT p_brand AS property_id, max(p_retailprice) * 200 AS market_value FROM part GROUP BY 1),
-charges AS (SELECT applicant_pan AS pan, p_brand AS property_id, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN applications ON packet_id = o_custkey JOIN part ON p_partkey = l_partkey
-  WHERE l_returnflag = 'R' AND l_quantity >= 49 GROUP BY 1, 2)""",
+CTE = dict(lending.CTE) | {
     "wide": """wide AS (SELECT packet_id, max(gross_income) AS gross_income, max(implied_annual) AS implied_annual, max(net_monthly) AS net_monthly, max(owner_name) FILTER (doc_type = 'sale_deed') AS deed_owner,
   max(name) FILTER (doc_type = 'identity') AS identity_name, max(valuation_amount) AS valuation_amount, max(property_id) FILTER (doc_type = 'property_valuation') AS valued_property, bool_or(claims_nil) AS claims_nil,
   coalesce(max(property_id) FILTER (doc_type = 'sale_deed'), max(property_id) FILTER (doc_type = 'encumbrance_certificate'), max(property_id) FILTER (doc_type = 'property_valuation')) AS collateral FROM last GROUP BY packet_id),
-checked AS (SELECT wide.*, loan_amount, applicant_pan, market_value, charges.n AS n_charges FROM wide JOIN applications USING (packet_id) LEFT JOIN market ON market.property_id = valued_property
-  LEFT JOIN charges ON charges.pan = applicant_pan AND charges.property_id = collateral)""",
+checked AS (SELECT wide.*, loan_amount, applicant_pan, market_value, owed.n AS n_charges FROM wide JOIN applications USING (packet_id) LEFT JOIN market ON market.property_id = valued_property
+  LEFT JOIN owed ON owed.pan = applicant_pan AND owed.property_id = collateral)""",
     "semantic": f"""gaps AS (SELECT *, CASE WHEN greatest(abs(gross_income), abs(implied_annual)) < 1 THEN 0 ELSE abs(gross_income - implied_annual) / greatest(abs(gross_income), abs(implied_annual)) END AS bank,
   CASE WHEN greatest(abs(gross_income), abs(net_monthly * 12)) < 1 THEN 0 ELSE abs(gross_income - net_monthly * 12) / greatest(abs(gross_income), abs(net_monthly * 12)) END AS slip FROM checked),
 semantic AS (
@@ -78,93 +48,27 @@ semantic AS (
   UNION ALL SELECT packet_id, 'encumbrance', 10, 0, 'critical', 'encumbrance_certificate.pdf vs CERSAI registry', n_charges FROM checked WHERE claims_nil AND n_charges > 0),
 titles(rule, title, confidence) AS (VALUES {', '.join(f"({lit(k)}, {lit(t)}, {c}::DOUBLE)" for k, (t, c) in fixed.RULES.items())}),
 found_by_rules AS (SELECT *, row_number() OVER (PARTITION BY packet_id ORDER BY part, place) AS seq FROM semantic JOIN titles USING (rule))""",
-    "forensic": f"""forensic AS (SELECT packet_id, doc_id, severity, title, confidence, part, '' AS checked_by FROM found WHERE category = 'forensic'
-  UNION ALL SELECT packet_id, doc_id, 'medium', 'Incremental update after signing', 0.92::DOUBLE, 3, '' FROM facts WHERE n_lines > 6
-  UNION ALL SELECT packet_id, doc_id, 'high', 'Printed value differs from the text layer', 0.85::DOUBLE, 4, 'reocr' FROM facts WHERE status = 'P' AND n_lines = 1)""",
 }
-BASE = ("docs", "implied", "facts")
 
 
 def sql(*names: str) -> str:
-    known = view.CTE | CTE
-    return "WITH " + ",\n".join(known[n] for n in names)
-
-
-ENTITIES = (*BASE, "lines", "typed", "entities")
-RULES = (*ENTITIES, "last", "applications", "registries", "wide", "semantic")
-
-
-# ---- the Spark side: texts, and what is extracted from them
-def texts(spark, sf):
-    """(packet_id, doc_id, ordinal, doc_type, text, …) of every document."""
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    rupees = lambda x: F.concat(F.lit("Rs. "), F.format_number(x, 0))
-    credit = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    per = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min("p_brand").alias("brand"), F.array_sort(F.collect_list(credit)).alias("credits"))  # an order has few lines
-    d = view.facts(spark, sf).join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("packet_id")).join(per, "doc_id")
-    seg, status, amount = F.col("c_mktsegment"), F.col("status"), F.floor("declared").cast("double")
-    person = F.when(status == "P", F.concat(seg, F.lit(" Kumar"))).when(status == "O", F.concat(F.lower(seg), F.lit(" RAO"))).otherwise(F.concat(seg, F.lit(" Rao")))
-    number = F.when(F.col("n_lines") <= 6, F.concat(F.when(status == "P", F.lit("ABCPX")).otherwise(F.lit("ABCPV")), F.lpad(F.col("c_nationkey").cast("string"), 4, "0"), F.substring(seg, 1, 1)))
-    row = lambda label, value: F.concat(F.lit(label), value, F.lit("\n"))
-    pan = lambda label: F.coalesce(row(label, number), F.lit(""))
-    brand, line = F.col("brand"), F.lit("\n")
-    credits = F.array_join(F.transform("credits", lambda x: F.concat(F.lit("SALARY CREDIT acme "), rupees(F.floor(x["l_extendedprice"])))), "\n")
-    bodies = {
-        "form16": F.concat(F.lit("FORM 16 FY 2023-24\n"), row("Employee: ", person), pan("PAN: "), F.lit("Gross Salary\n"), rupees(3 * amount), line, row("Tax Deducted ", rupees(F.floor(amount / 10)))),
-        "bank_statement": F.concat(row("Holder: ", person), F.lit("Account: XXXX1234\n"), credits),
-        "salary_slip": F.concat(F.lit("SALARY SLIP\nAcme Ltd | May\n"), row("Employee: ", person), F.lit("Net Pay (take-home)\n"), rupees(F.floor(amount / 4))),
-        "identity": F.concat(row("Name: ", person), pan("PAN: "), F.lit("Date of Birth: 02/03/1990")),
-        "sale_deed": F.concat(row("Property No: ", brand), row("Owner (Vendee): ", person), pan("PAN of Vendee: "), row("Consideration: ", rupees(amount))),
-        "encumbrance_certificate": F.concat(row("Property: ", F.concat(brand, F.lit(" | Period: 2010-2024"))), row("Owner: ", person), F.when(status == "O", F.lit("NIL ENCUMBRANCES")).otherwise(F.concat(F.lit("mortgage in favour of First Bank, "), rupees(amount), F.lit(", registered 2019-01-02")))),
-        "property_valuation": F.concat(row("Property No: ", brand), row("Owner: ", person), F.lit("Assessed Market Value\n"), rupees(amount)),
-        "legal_opinion": F.concat(row("Property No: ", brand), row("Owner examined: ", person), F.lit("Advocate: R. Menon\n"), F.when(status == "P", F.lit("the title is NOT clear")).otherwise(F.lit("the title is clear"))),
-        "address_proof": F.concat(row("Consumer Name: ", person), F.lit("Service Address: 5 Lake Road\nBill Date: 05/03/2024")),
-    }
-    kind = F.array(*map(F.lit, TYPES))[((F.col("ordinal") - 1) % len(TYPES)).cast("int")]
-    text = F.lit(None).cast("string")
-    for t in TYPES:
-        text = F.when(F.col("doc_type") == t, bodies[t]).otherwise(text)
-    return d.withColumn("doc_type", kind).withColumn("text", text)
-
-
-def entities(spark, sf):
-    return extract.entities(texts(spark, sf), "packet_id", "doc_id", "ordinal", "status", "n_lines")
-
-
-def applications(spark, sf):
-    pan = F.concat(F.lit("ABCPV"), F.lpad(F.col("c_nationkey").cast("string"), 4, "0"), F.substring("c_mktsegment", 1, 1))
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("packet_id"), pan.alias("applicant_pan"), F.when(F.col("c_acctbal") > 0, F.floor(F.col("c_acctbal") * 60).cast("double")).alias("loan_amount"))
-
-
-def registries(spark, sf):
-    """(property_id, market_value), and (pan, property_id) of each registered charge."""
-    market = table(spark, sf, "part").groupBy(F.col("p_brand").alias("property_id")).agg((F.max("p_retailprice") * 200).alias("market_value"))
-    returned = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 49").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    owed = returned.join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(applications(spark, sf), F.col("packet_id") == F.col("o_custkey"))
-    return market, owed.select(F.col("applicant_pan").alias("pan"), F.col("p_brand").alias("property_id"))
-
-
-def semantic(spark, sf):
-    one = rules.by_packet(ordered.last_per_type(entities(spark, sf))).join(applications(spark, sf), "packet_id")
-    return rules.findings(rules.with_registries(one, *registries(spark, sf)))
-
-
-def forensic(spark, sf):
-    f = view.facts(spark, sf)
-    dates = [d.withColumn("check", F.lit("")) for d in ev.date_findings(f, F.col("created"), F.col("modified"), F.lit(view.AS_OF).cast("timestamp"))]
-    place = F.concat(F.lit("type "), "doc_type")
-    dates.append(ev.rows(f, "forensic", F.when(F.col("n_lines") > 6, "medium"), "Incremental update after signing", place, 0.92).withColumn("check", F.lit("")))
-    dates.append(ev.rows(f, "forensic", F.when((F.col("status") == "P") & (F.col("n_lines") == 1), "high"), "Printed value differs from the text layer", place, 0.85).withColumn("check", F.lit("reocr")))
-    return ev.concatenated(dates)
-
-
-def behaviour(spark, sf):
-    return underwriting.behaviour(view.docs(spark, sf).join(view.implied(spark, sf), "doc_id", "left"))
-
-
-def features(spark, sf):
+    return "WITH " + ",\n".join(CTE[n] for n in names)
+
+
+ENTITIES = ("docs", "entities")
+RULES = (*ENTITIES, "last", "registries", "wide", "semantic")
+
+
+# ---- the Spark side, from the written documents of all packets
+def semantic(spark, sf, docs):
+    one = rules.by_packet(ordered.last_per_type(lending.entities(docs))).join(lending.applications(docs), "packet_id")
+    return rules.findings(rules.with_registries(one, *lending.registries(spark, sf, docs)))
+
+
+def features(spark, sf, docs=None):
     """A row a packet, written once: scaling, attributions and scores each read it."""
-    return written(packets.feature_vector(view.docs(spark, sf), forensic(spark, sf), semantic(spark, sf), behaviour(spark, sf)), "features")
+    docs = lending.stored_documents(spark, sf) if docs is None else docs
+    return written(packets.feature_vector(docs, lending.forensic(spark, sf, docs), semantic(spark, sf, docs), underwriting.behaviour(docs)), "features")
 
 
 def scores(found):
@@ -173,18 +77,34 @@ def scores(found):
     return found.select("packet_id", F.round(p, 4).alias("probability"), F.round(F.least(F.lit(1.0), F.col("doc_count") / 25), 4).alias("anomaly"))
 
 
-E_COLUMNS = "name pan property_id owner_name gross_income implied_annual monthly_credit net_monthly consideration valuation_amount claims_nil title_clear".split()
+E_TEXT = "name pan dob employer fy masked_account property_id owner_name period advocate address issue_date".split()
+E_OTHER = "gross_income tax_paid monthly_credit net_monthly consideration valuation_amount claims_nil title_clear title_unclear".split()
 
 
-@query(sql(*ENTITIES) + f" SELECT doc_id, doc_type, {', '.join(c for c in E_COLUMNS if c != 'implied_annual')}, round(implied_annual, 4) AS implied_annual FROM entities")
+@query(sql(*ENTITIES) + f" SELECT doc_id, doc_type, {', '.join(E_TEXT + E_OTHER)}, charges, round(implied_annual, 4) AS implied_annual FROM entities")
 def document_entities(spark, sf):
-    e = entities(spark, sf)
-    return e.select("doc_id", "doc_type", *(F.round(c, 4).alias(c) if c == "implied_annual" else c for c in E_COLUMNS))
+    """Every field of every document type, charges as joined text."""
+    e = lending.entities(lending.documents(spark, sf))
+    charges = F.array_join(F.transform("charges", lambda c: F.concat_ws(":", c["lender"], c["amount"].cast("long").cast("string"), c["registered_on"])), ";")
+    return e.select("doc_id", "doc_type", *E_TEXT, *E_OTHER, charges.alias("charges"), F.round("implied_annual", 4).alias("implied_annual"))
 
 
 @query(sql(*RULES) + " SELECT packet_id, rule, severity, title, location, confidence, detail, seq FROM found_by_rules")
 def packet_rules_all(spark, sf):
-    return semantic(spark, sf).select("packet_id", "rule", "severity", "title", "location", "confidence", "detail", "seq")
+    return semantic(spark, sf, lending.stored_documents(spark, sf)).select("packet_id", "rule", "severity", "title", "location", "confidence", "detail", "seq")
+
+
+@query(sql("docs", "forensic") + " SELECT packet_id, doc_id, page, severity, title, confidence, checked_by, seq FROM forensic")
+def packet_document_findings(spark, sf):
+    """All detectors over the documents of all packets, from metadata to recognition."""
+    out = lending.forensic(spark, sf, lending.stored_documents(spark, sf))
+    return out.select("packet_id", "doc_id", "page", "severity", "title", "confidence", F.col("check").alias("checked_by"), "seq")
+
+
+@query(sql("docs", "graph") + " SELECT packet_id, severity, title, location, confidence, row_number() OVER (PARTITION BY packet_id ORDER BY part, location) AS seq FROM graph")
+def packet_graph_findings(spark, sf):
+    """What the graph of all applications says of each packet."""
+    return lending.graph(written(lending.edges(lending.stored_documents(spark, sf)), "edges", "kind"))
 
 
 def _any(words: tuple[str, ...]) -> str:
@@ -196,10 +116,10 @@ s AS (SELECT packet_id, count(*) AS n_semantic_total, {', '.join(f'max(({_any(w)
 b AS (SELECT packet_id, greatest(0, (epoch_us(min(submitted)) - epoch_us(max(created))) / 3600000000) AS submit_velocity_hours,
   CASE WHEN count(created) >= 2 THEN floor((epoch_us(max(created)) - epoch_us(min(created))) / 86400000000) ELSE 0 END AS max_doc_gap_days,
   (count(created) >= 2 AND count(DISTINCT date_trunc('minute', created)) = 1)::INTEGER AS all_docs_same_timestamp, coalesce(bool_and(created <= submitted), true)::INTEGER AS creation_before_submission, count(*) AS doc_count
-  FROM docs LEFT JOIN implied USING (doc_id) GROUP BY 1),
+  FROM docs GROUP BY 1),
 features AS (SELECT p.packet_id, {', '.join(f'coalesce({n}, 0)::DOUBLE AS {n}' for n in fixed.FEATURES)} FROM (SELECT DISTINCT packet_id FROM docs) p LEFT JOIN f USING (packet_id) LEFT JOIN s USING (packet_id) LEFT JOIN b USING (packet_id)),
 scores AS (SELECT packet_id, round(least(0.99, 0.02 + 0.09 * n_semantic_total + 0.06 * n_forensic_total), 4) AS probability, round(least(1.0, doc_count / 25), 4) AS anomaly FROM features)"""
-FEATURES = (*RULES, "found", "forensic", "features")
+FEATURES = (*RULES, "forensic", "features")
 
 
 @query(sql(*FEATURES) + f" SELECT packet_id, {', '.join(f'round({n}, 4) AS {n}' for n in fixed.FEATURES)} FROM features")
@@ -230,12 +150,11 @@ _SEVERITY = "CASE WHEN probability >= 0.8 THEN 'high' WHEN probability >= 0.5 TH
 @query(sql(*FEATURES, "attributions") + f""", labels(feature, label) AS (VALUES {', '.join(f'({lit(k)}, {lit(v)})' for k, v in fixed.FEATURES.items())}),
 named AS (SELECT packet_id, string_agg(label, '; ' ORDER BY rank) AS named FROM factors JOIN labels USING (feature) GROUP BY 1)
 SELECT packet_id, {_SEVERITY} AS severity, round(greatest(probability, 1 - probability), 3) AS confidence,
-  CASE WHEN named IS NOT NULL THEN 'The trained risk model assigns this packet a fraud probability of ' || round(probability * 100)::INTEGER || '%. Leading factors: ' || named || '.'
-    WHEN probability >= 0.5 THEN 'Fraud probability ' || round(probability * 100)::INTEGER || '% without a document-level factor: check the cross-application graph.'
-    ELSE 'Low fraud probability of ' || round(probability * 100)::INTEGER || '%.' END AS description FROM scores LEFT JOIN named USING (packet_id)""")
+  round(probability * 100)::INTEGER || '% fraud probability by the risk model' || CASE WHEN named IS NOT NULL THEN ', mostly by ' || named WHEN probability >= 0.5 AND NOT coalesce(n_doc > 0, false) THEN ', though no document or rule shows anything; see the linked applications' ELSE '' END || '.' AS description, probability AS fraud_probability, anomaly AS anomaly_score FROM scores LEFT JOIN named USING (packet_id) LEFT JOIN (SELECT packet_id, n_forensic_total + n_semantic_total AS n_doc FROM features) USING (packet_id)""")
 def model_evidence(spark, sf):
     found = features(spark, sf)
-    return packets.model_evidence(scores(found), factors(found)).select("packet_id", "severity", "confidence", "description")
+    shown = found.select("packet_id", (F.col("n_forensic_total") + F.col("n_semantic_total") > 0).alias("has_doc_evidence"))
+    return packets.model_evidence(scores(found), factors(found), shown).select("packet_id", "severity", "confidence", "description", "values.fraud_probability", "values.anomaly_score")
 
 
 @query(sql(*FEATURES) + f" SELECT packet_id, probability AS fraud_probability, anomaly AS anomaly_score, {_SEVERITY} AS severity FROM scores")
@@ -243,30 +162,41 @@ def model_only(spark, sf):
     return packets.model_only(scores(features(spark, sf)))
 
 
-CTE["decided"] = f"""chain AS (SELECT packet_id, 'forensic' AS category, severity, title, 'type ' || (SELECT doc_type FROM docs d WHERE d.doc_id = forensic.doc_id) AS location FROM forensic
-  UNION ALL SELECT packet_id, 'semantic', severity, title, location FROM found_by_rules),
+CTE["decided"] = f"""chain AS (SELECT packet_id, 'forensic' AS category, severity, title, location FROM forensic
+  UNION ALL SELECT packet_id, 'semantic', severity, title, location FROM found_by_rules UNION ALL SELECT packet_id, 'graph', severity, title, location FROM graph),
 points AS (SELECT *, CASE severity WHEN 'critical' THEN 60 WHEN 'high' THEN 35 WHEN 'medium' THEN 18 WHEN 'low' THEN 6 ELSE 0 END AS pts FROM chain),
 risks AS (SELECT packet_id, count(*) AS n_findings, count_if(severity IN ('high', 'critical')) AS n_severe, least(1.0, coalesce(sum(pts) FILTER (category = 'forensic'), 0) / 100)::DOUBLE AS forensic_risk,
-  least(1.0, coalesce(sum(pts) FILTER (category = 'semantic'), 0) / 100)::DOUBLE AS semantic_risk, bool_or(severity = 'critical') AS has_critical, count(DISTINCT (category, title, location)) AS n_chain FROM points GROUP BY 1),
-blend AS (SELECT packet_id, coalesce(n_findings, 0) AS n_findings, coalesce(n_severe, 0) AS n_severe, coalesce(has_critical, false) AS has_critical, n_findings IS NOT NULL AS has_evidence, coalesce(n_chain, 0) + 1 AS chain,
-  coalesce(forensic_risk, 0) AS forensic_risk, coalesce(semantic_risk, 0) AS semantic_risk, probability,
-  least(1.0, 0.55 * probability + 0.25 * coalesce(forensic_risk, 0) + 0.15 * coalesce(semantic_risk, 0) + 0.05 * anomaly) AS risk FROM scores LEFT JOIN risks USING (packet_id)),
+  least(1.0, coalesce(sum(pts) FILTER (category = 'semantic'), 0) / 100)::DOUBLE AS semantic_risk, least(1.0, coalesce(sum(pts) FILTER (category = 'graph'), 0) / 100)::DOUBLE AS graph_risk,
+  bool_or(severity = 'critical') AS has_critical, bool_or(category <> 'graph' OR severity <> 'info') AS has_evidence, count(DISTINCT (category, title, location)) AS n_chain FROM points GROUP BY 1),
+blend AS (SELECT packet_id, coalesce(n_findings, 0) AS n_findings, coalesce(n_severe, 0) AS n_severe, coalesce(has_critical, false) AS has_critical, coalesce(has_evidence, false) AS has_evidence, coalesce(n_chain, 0) + 1 AS chain,
+  coalesce(forensic_risk, 0) AS forensic_risk, coalesce(semantic_risk, 0) AS semantic_risk, coalesce(graph_risk, 0) AS graph_risk, probability,
+  least(1.0, 0.55 * probability + 0.25 * coalesce(forensic_risk, 0) + 0.15 * coalesce(semantic_risk, 0) + 0.05 * anomaly + 0.5 * coalesce(graph_risk, 0)) AS risk FROM scores LEFT JOIN risks USING (packet_id)),
 trusted AS (SELECT *, greatest(0.0, least(100.0, round((CASE WHEN has_critical THEN least(100 * (1 - risk), 25.0) ELSE 100 * (1 - risk) END)::DOUBLE::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE)) AS trust FROM blend)"""
 
 
-@query(sql(*FEATURES, "decided") + """ SELECT packet_id, n_findings, n_severe, round(risk, 6) AS risk, trust, CASE WHEN trust >= 70 THEN 'approve' WHEN trust < 40 AND (has_evidence OR has_critical) THEN 'freeze' ELSE 'manual_review' END AS action, chain,
+DECIDED = (*FEATURES, "graph", "decided")
+
+
+@query(sql(*DECIDED) + """ SELECT packet_id, n_findings, n_severe, round(graph_risk, 6) AS graph_risk, round(risk, 6) AS risk, trust, CASE WHEN trust >= 70 THEN 'approve' WHEN trust < 40 AND (has_evidence OR has_critical) THEN 'freeze' ELSE 'manual_review' END AS action, chain,
   round(100 * (1 - forensic_risk), 1) AS forensic_subscore, round(100 * (1 - semantic_risk), 1) AS semantic_subscore, round(100 * (1 - probability), 1) AS anomaly_subscore FROM trusted""")
 def score_driver(spark, sf):
     out = decisions(spark, sf)
-    return out.select("packet_id", "n_findings", "n_severe", F.round("risk", 6).alias("risk"), "trust", "action", "chain", "forensic_subscore", "semantic_subscore", "anomaly_subscore")
+    return out.select("packet_id", "n_findings", "n_severe", F.round("graph_risk", 6).alias("graph_risk"), F.round("risk", 6).alias("risk"), "trust", "action", "chain", "forensic_subscore", "semantic_subscore", "anomaly_subscore")
 
 
-def decisions(spark, sf):
-    """Decisions of all packets, from their texts on."""
-    found, marks = written(semantic(spark, sf), "findings"), forensic(spark, sf)  # texts are extracted once, for features and evidence
-    vector = packets.feature_vector(view.docs(spark, sf), marks, found, behaviour(spark, sf))
+def evidence_rows(spark, sf, docs, found, marks):
+    """The findings of documents, rules and graph as evidence of their packets, in this order."""
     one = lambda df, c: df.select("packet_id", F.lit(c).alias("category"), "severity", "title", "location", "seq")
-    return packets.packet_decision(view.docs(spark, sf), one(marks, "forensic").unionByName(one(found, "semantic")), scores(vector))
+    links = lending.graph(written(lending.edges(docs), "edges", "kind"))
+    return one(marks, "forensic").unionByName(one(found, "semantic")).unionByName(one(links, "graph"))
+
+
+def decisions(spark, sf, docs=None, scored=scores):
+    """Decisions of all packets, from their texts on; scored: features -> (packet_id, probability, anomaly)."""
+    docs = lending.stored_documents(spark, sf) if docs is None else docs
+    found, marks = written(semantic(spark, sf, docs), "rules"), written(lending.forensic(spark, sf, docs), "findings")  # each feeds features and evidence
+    vector = written(packets.feature_vector(docs, marks, found, underwriting.behaviour(docs)), "features")
+    return packets.packet_decision(docs, evidence_rows(spark, sf, docs, found, marks), scored(vector))
 
 
 _FIRST = """ok AS (SELECT *, CASE doc_type WHEN 'identity' THEN 'pan' ELSE doc_type END AS slot FROM entities WHERE n_lines > 1 OR status <> 'P'),
@@ -281,13 +211,17 @@ v AS (SELECT packet_id, nullif(loan_amount, 0) AS loan, coalesce(identity, false
 e AS (SELECT *, loan * 0.00875 * pow(1 + 0.105 / 12, 60) / (pow(1 + 0.105 / 12, 60) - 1) / monthly AS foir, round(loan / collateral, 3) AS ltv FROM v)"""
 
 
-@query(sql(*ENTITIES, "applications") + f""", {_FIRST}
+@query(sql(*ENTITIES, "registries") + f""", {_FIRST}
 SELECT packet_id, len(missing) = 0 AS complete, array_to_string(missing, ',') AS missing, CASE WHEN identity AND address AND agree THEN 'ESTABLISHED' ELSE 'INCOMPLETE' END AS kyc,
   coalesce(gross, bank, net) IS NOT NULL AND slip_points + gross_points = 0 AS reconciled, round(least(25.0, 6.0 * len(missing) + CASE WHEN identity THEN 0 ELSE 18 END + CASE WHEN address THEN 0 ELSE 6 END + CASE WHEN agree THEN 0 ELSE 18 END + slip_points + gross_points), 1) AS penalty,
   CASE WHEN monthly IS NULL OR monthly <= 0 THEN NULL WHEN loan IS NULL THEN 'INFO' WHEN coalesce(ltv <= 0.8, true) AND foir <= 0.5 THEN 'ELIGIBLE' WHEN coalesce(ltv <= 0.8, true) AND foir <= 0.6 THEN 'REFER' ELSE 'DECLINE' END AS eligibility,
   CASE WHEN monthly > 0 THEN round(foir, 3) END AS foir, CASE WHEN monthly > 0 THEN ltv END AS ltv FROM e""")
 def verification_driver(spark, sf):
-    e = entities(spark, sf)
-    docs = e.withColumns({"ok": (F.col("n_lines") > 1) | (F.col("status") != "P"), "slot": F.when(F.col("doc_type") == "identity", "pan").otherwise(F.col("doc_type")), "aadhaar_valid": F.lit(None).cast("boolean")})
-    out = packets.verification(applications(spark, sf), docs, "salaried_loan")
+    out = verified(lending.stored_documents(spark, sf))
     return out.select("packet_id", "complete", F.array_join("missing", ",").alias("missing"), "kyc", "reconciled", "penalty", "eligibility", "foir", "ltv")
+
+
+def verified(docs):
+    """The verification block of every packet; scans of one line that are still pending are not ok."""
+    e = lending.entities(docs).withColumns({"ok": (F.col("n_lines") > 1) | (F.col("status") != "P"), "slot": F.when(F.col("doc_type") == "identity", "pan").otherwise(F.col("doc_type")), "aadhaar_valid": F.lit(None).cast("boolean")})
+    return packets.verification(lending.applications(docs), e, "salaried_loan")

@@ -8,8 +8,7 @@ from vettra.functions import fixed, scalars
 from vettra.operators import documents as ops
 from vettra.operators import evaluation, forensics, grids, linkage, pixels, review
 from vettra.operators import evidence as ev
-from vettra.operators import packets as operators
-from vettra.plans import packets, view
+from vettra.plans import lending, packets, view
 from vettra.plans.documents import _BOX_SQL, _boxes, lit
 from vettra.sources.tables import load_files, table, text_or_ocr
 
@@ -202,7 +201,7 @@ def point_reads(spark, sf):
     return c.where(F.lower(F.trim("c_name")) == F.lower(F.trim(F.lit(" CUSTOMER#000000007 ")))).select(F.col("c_custkey").alias("k"), "c_name", n.scalar().alias("n_users"))
 
 
-@query(packets.sql(*packets.FEATURES, "decided") + """ SELECT packet_id, '{"packet_id":' || packet_id || ',"action":"' || CASE WHEN trust >= 70 THEN 'approve' WHEN trust < 40 AND (has_evidence OR has_critical) THEN 'freeze' ELSE 'manual_review' END || '","chain":' || chain || '}' AS decision FROM trusted""")
+@query(packets.sql(*packets.DECIDED) + """ SELECT packet_id, '{"packet_id":' || packet_id || ',"action":"' || CASE WHEN trust >= 70 THEN 'approve' WHEN trust < 40 AND (has_evidence OR has_critical) THEN 'freeze' ELSE 'manual_review' END || '","chain":' || chain || '}' AS decision FROM trusted""")
 def decision_documents(spark, sf):
     """The decision sink's JSON documents."""
     return packets.score_driver(spark, sf).select("packet_id", F.to_json(F.struct("packet_id", "action", "chain")).alias("decision"))
@@ -355,7 +354,7 @@ def identifier_checks(spark, sf):
     """Cards whose number lost its last letter."""
     from vettra.operators import extract
 
-    t = packets.texts(spark, sf).where("doc_type = 'identity'")
+    t = lending.texts(lending.documents(spark, sf)).where("doc_type = 'identity'")
     shown = F.when(F.col("status") == "P", F.regexp_replace("text", r"(ABCP[VX]\d{4})[A-Z]", "$1")).otherwise(F.col("text"))
     cards = t.withColumn("text", shown).withColumn("kyc", extract.identifiers(F.when(F.col("text").contains("PAN: "), extract.pan_card(F.col("text"))["pan"]), F.lit(None).cast("string")))
     return extract.identifier_findings(cards)
@@ -381,11 +380,20 @@ def block_grid(spark, sf):
     return out.select("vec_id", "gy", "gx", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query(None)
+_TAP = lambda c, w, k: f"coalesce({'lead' if k > 0 else 'lag'}({c}, {abs(k)}) OVER {w}, {c if abs(k) == 1 else _TAP(c, w, k - 1 if k > 0 else k + 1)})"
+_SMOOTH = lambda c, w: f"({_TAP(c, w, -2)} + 4 * {_TAP(c, w, -1)} + 6 * {c} + 4 * {_TAP(c, w, 1)} + {_TAP(c, w, 2)}) / 16"
+_SLOPE = lambda c, w: f"coalesce(CASE WHEN lead({c}) OVER {w} IS NULL THEN {c} - lag({c}) OVER {w} WHEN lag({c}) OVER {w} IS NULL THEN lead({c}) OVER {w} - {c} ELSE (lead({c}) OVER {w} - lag({c}) OVER {w}) / 2 END, 0)"
+_ACROSS, _DOWN = "(PARTITION BY vec_id, gy ORDER BY gx)", "(PARTITION BY vec_id, gx ORDER BY gy)"
+
+
+@query(f"""WITH {_CELLS}, p AS (SELECT vec_id, gy, gx, 128::DOUBLE + 100::DOUBLE * v AS v FROM cells), a AS (SELECT *, {_SMOOTH('v', _ACROSS)} AS h FROM p), b AS (SELECT *, {_SLOPE('h', _ACROSS)} AS dh FROM a),
+c AS (SELECT *, {_SMOOTH('h', _DOWN)} AS low, {_SMOOTH('dh', _DOWN)} AS dx FROM b), d AS (SELECT *, {_SLOPE('low', _DOWN)} AS dy FROM c),
+e AS (SELECT vec_id, gy // 4 AS ty, gx // 4 AS tx, CASE WHEN sqrt(dx * dx + dy * dy) < 6 THEN v - low END AS r FROM d)
+SELECT vec_id, ty::INTEGER AS gy, tx::INTEGER AS gx, CASE WHEN count(r) >= 3 THEN round(stddev_pop(r), 4) END AS sigma FROM e GROUP BY vec_id, ty, tx""")
 def noise_grid(spark, sf):
     """Noise of 4 x 4 blocks of embeddings as 8 x 8 images."""
-    images = table(spark, sf, "embeddings").select("vec_id", F.lit(8).alias("w"), F.transform("embedding", lambda x: 128 + 100 * x).alias("p"))
-    return pixels.noise_grid(images, "vec_id", "w", "p", 4).select("vec_id", "gy", "gx", F.round("sigma", 4).alias("sigma"))
+    points = grids.cells(table(spark, sf, "embeddings"), "vec_id", "embedding", 8).select("vec_id", F.col("gy").alias("y"), F.col("gx").alias("x"), (128 + 100 * F.col("v")).alias("v"))
+    return pixels.noise_grid(points, "vec_id", 4).select("vec_id", "gy", "gx", F.round("sigma", 4).alias("sigma"))
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_reverse(embedding)::DOUBLE[] AS b, list_avg(embedding::DOUBLE[]) AS m FROM embeddings),
@@ -434,30 +442,29 @@ ver AS (SELECT packet_id, round(least(25.0, 6.0 * len(missing) + CASE WHEN ident
 folded AS (SELECT t.packet_id, penalty, has_critical, has_evidence, CASE WHEN has_critical THEN least(greatest(0.0, round((trust - penalty)::DOUBLE::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE), 25.0) ELSE greatest(0.0, round((trust - penalty)::DOUBLE::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE) END AS final FROM trusted t JOIN ver USING (packet_id))"""
 
 
-@query(packets.sql(*packets.FEATURES, "decided") + f""", {_VERIFIED} SELECT packet_id, 'case_' || left(sha256('packet' || chr(1) || packet_id), 12) AS case_id, penalty, final AS final_trust,
+@query(packets.sql(*packets.DECIDED) + f""", {_VERIFIED} SELECT packet_id, 'case_' || left(sha256('packet' || chr(1) || packet_id), 12) AS case_id, penalty, final AS final_trust,
   CASE WHEN final >= 70 THEN 'approve' WHEN final < 40 AND (has_evidence OR has_critical OR penalty > 0) THEN 'freeze' ELSE 'manual_review' END AS final_action FROM folded""")
 def case_submissions(spark, sf):
     """Every packet as a submitted case: scored, verified, and the verification folded into the decision."""
-    e = packets.entities(spark, sf)
-    docs = e.withColumns({"ok": (F.col("n_lines") > 1) | (F.col("status") != "P"), "slot": F.when(F.col("doc_type") == "identity", "pan").otherwise(F.col("doc_type")), "aadhaar_valid": F.lit(None).cast("boolean")})
-    block = operators.verification(packets.applications(spark, sf), docs, "salaried_loan").select("packet_id", F.col("penalty").alias("points"))
-    decided = ev.checked_decisions(packets.decisions(spark, sf)).join(block, "packet_id")
+    docs = lending.stored_documents(spark, sf)
+    block = packets.verified(docs).select("packet_id", F.col("penalty").alias("points"))
+    decided = ev.checked_decisions(packets.decisions(spark, sf, docs)).join(block, "packet_id")
     out = ev.folded(decided, F.col("points"))
     return out.select("packet_id", ev.row_id("case", F.lit("packet"), "packet_id").alias("case_id"), "penalty", "final_trust", "final_action")
 
 
 # ---- loading, and scalars that no other query shows
-@query("""WITH p AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN left(text, 12) ELSE '' END, chr(10) ORDER BY turn) AS joined, max(length(trim(CASE WHEN role = 'user' THEN left(text, 12) ELSE '' END))) > 10 AS layer, count(*) AS n FROM conversations GROUP BY 1)
-SELECT conv_id, md5(CASE WHEN layer THEN joined ELSE 'recognised ' || n END) AS text_md5, CASE WHEN layer THEN 'embedded' ELSE 'ocr' END AS source FROM p""")
+@query("""WITH p AS (SELECT conv_id, role, string_agg(text, chr(10) ORDER BY turn) AS joined, max(length(trim(text))) > 10 AS layer, count(*) AS n FROM conversations GROUP BY 1, 2)
+SELECT conv_id, role, md5(CASE WHEN layer THEN joined ELSE 'recognised ' || n END) AS text_md5, CASE WHEN layer THEN 'embedded' ELSE 'ocr' END AS source FROM p""")
 def document_texts(spark, sf):
-    c = table(spark, sf, "conversations")
-    pages = c.select("conv_id", "turn", F.when(F.col("role") == "user", F.left("text", F.lit(12))).alias("text"))
-    ocr = c.groupBy("conv_id").agg(F.concat(F.lit("recognised "), F.count(F.lit(1)).cast("string")).alias("ocr_text"))
-    return text_or_ocr(pages, ocr, "conv_id", "turn", "text").select("conv_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "source")
+    """What each side of a conversation said is a document, its turns are the pages."""
+    c = table(spark, sf, "conversations").withColumn("doc", F.struct("conv_id", "role"))
+    ocr = c.groupBy("doc").agg(F.concat(F.lit("recognised "), F.count(F.lit(1)).cast("string")).alias("ocr_text"))
+    return text_or_ocr(c, ocr, "doc", "turn", "text").select("doc.conv_id", "doc.role", F.md5(F.col("text").cast("binary")).alias("text_md5"), "source")
 
 
 @query("""WITH f AS (SELECT conv_id, min(turn) AS first, conv_id % 5 = 0 AS image, conv_id % 7 = 0 AS locked FROM conversations GROUP BY 1),
-p AS (SELECT conv_id, turn, image, locked, NOT image AND length(trim(text)) >= 15 AND role = 'user' AS layer, CASE WHEN NOT image AND length(trim(text)) >= 15 AND role = 'user' THEN text ELSE 'ocr ' || turn END AS t FROM conversations JOIN f USING (conv_id) WHERE NOT image OR turn = first),
+p AS (SELECT conv_id, turn, image, locked, NOT image AND length(trim(text)) >= 100 AS layer, CASE WHEN NOT image AND length(trim(text)) >= 100 THEN text ELSE 'ocr ' || text END AS t FROM conversations JOIN f USING (conv_id) WHERE NOT image OR turn = first),
 g AS (SELECT conv_id, any_value(image) AS image, any_value(locked) AS locked, count(*) FILTER (NOT locked) AS n, string_agg(t, chr(10) ORDER BY turn) FILTER (NOT locked) AS text, bool_and(layer) AS every, bool_or(layer) AS partly FROM p GROUP BY 1)
 SELECT conv_id, CASE WHEN image THEN 'image' ELSE 'pdf' END AS kind, md5(coalesce(text, '')) AS text_md5, n::INTEGER AS n_pages, CASE WHEN image THEN 'image-ocr' WHEN locked THEN NULL WHEN every THEN 'embedded' WHEN partly THEN 'mixed' ELSE 'ocr' END AS source,
   image OR (NOT locked AND NOT every) AS ocr_used, locked AND NOT image AS needs_password, NOT (locked AND NOT image) AND n > 0 AS ok FROM g""")
@@ -465,8 +472,8 @@ def file_loading(spark, sf):
     c = table(spark, sf, "conversations")
     first = c.groupBy("conv_id").agg(F.min("turn").alias("first"))
     files = first.select("conv_id", F.when(F.col("conv_id") % 5 == 0, "scan.v2.PNG").otherwise("file.pdf").alias("path"), (F.col("conv_id") % 7 == 0).alias("locked"))
-    pages = c.join(first, "conv_id").where("conv_id % 5 <> 0 OR turn = first").select("conv_id", F.col("turn").alias("page_no"), F.when(F.col("role") == "user", F.col("text")).alias("text"), F.concat(F.lit("ocr "), F.col("turn").cast("string")).alias("ocr_text"))
-    out = load_files(files, pages, "conv_id")
+    pages = c.join(first, "conv_id").where("conv_id % 5 <> 0 OR turn = first").select("conv_id", F.col("turn").alias("page_no"), "text", F.concat(F.lit("ocr "), F.col("text")).alias("ocr_text"))
+    out = load_files(files, pages, "conv_id", 100)
     return out.select("conv_id", "kind", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_pages", "source", "ocr_used", "needs_password", "ok")
 
 

@@ -91,15 +91,15 @@ def text_or_ocr(pages: DataFrame, ocr: DataFrame, doc: str, page_no: str, text:
     return rows.join(ocr.select(doc, "ocr_text"), doc, "left").select(doc, F.when(F.col("layer"), joined).otherwise(F.coalesce("ocr_text", F.lit(""))).alias("text"), F.when(F.col("layer"), "embedded").otherwise("ocr").alias("source"))
 
 
-def load_files(files: DataFrame, pages: DataFrame, doc: str) -> DataFrame:
+def load_files(files: DataFrame, pages: DataFrame, doc: str, at_least: int = fixed.PAGE_TEXT) -> DataFrame:
     """(doc, kind, text, n_pages, source, ocr_used, needs_password, ok) of files of any kind; nothing raises.
 
-    files: (doc, path, locked). pages: (doc, page_no, text, ocr_text); an image has one page. A page with less than 15 visible
-    characters takes its recognised text. Locked files have no text; files without any text are not ok.
+    files: (doc, path, locked). pages: (doc, page_no, text, ocr_text); an image has one page. A page with less than
+    `at_least` visible characters takes its recognised text. Locked files have no text; files without any text are not ok.
     """
     image = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*fixed.IMAGE_EXTENSIONS)
     own, seen = F.coalesce("text", F.lit("")), F.coalesce("ocr_text", F.lit(""))
-    layer = (F.length(F.trim(own)) >= fixed.PAGE_TEXT) & ~F.col("image")
+    layer = (F.length(F.trim(own)) >= at_least) & ~F.col("image")
     typed = files.select(doc, image.alias("image"), F.coalesce("locked", F.lit(False)).alias("locked")).join(pages, doc, "left")
     page = F.when(F.col("page_no").isNotNull() & ~F.col("locked"), F.struct(F.col("page_no").alias("n"), F.when(layer, own).otherwise(seen).alias("t"), layer.alias("layer")))
     rows = typed.groupBy(doc).agg(F.first("image").alias("image"), F.first("locked").alias("locked"), F.array_sort(F.collect_list(page)).alias("p"))
