@@ -225,3 +225,7 @@ def verified(docs):
     """The verification block of every packet; scans of one line that are still pending are not ok."""
     e = lending.entities(docs).withColumns({"ok": (F.col("n_lines") > 1) | (F.col("status") != "P"), "slot": F.when(F.col("doc_type") == "identity", "pan").otherwise(F.col("doc_type")), "aadhaar_valid": F.lit(None).cast("boolean")})
     return packets.verification(lending.applications(docs), e, "salaried_loan")
+
+
+VERIFIED = """ver AS (SELECT packet_id, round(least(25.0, 6.0 * len(missing) + CASE WHEN identity THEN 0 ELSE 18 END + CASE WHEN address THEN 0 ELSE 6 END + CASE WHEN agree THEN 0 ELSE 18 END + slip_points + gross_points), 1) AS penalty FROM e),
+folded AS (SELECT t.packet_id, penalty, has_critical, has_evidence, CASE WHEN has_critical THEN least(greatest(0.0, round((trust - penalty)::DOUBLE::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE), 25.0) ELSE greatest(0.0, round((trust - penalty)::DOUBLE::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE) END AS final FROM trusted t JOIN ver USING (packet_id))"""

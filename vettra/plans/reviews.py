@@ -437,12 +437,7 @@ def roc_report(spark, sf):
     return evaluation.roc_report(j, "score", "truth", 0.05)
 
 
-_VERIFIED = packets._FIRST + """,
-ver AS (SELECT packet_id, round(least(25.0, 6.0 * len(missing) + CASE WHEN identity THEN 0 ELSE 18 END + CASE WHEN address THEN 0 ELSE 6 END + CASE WHEN agree THEN 0 ELSE 18 END + slip_points + gross_points), 1) AS penalty FROM e),
-folded AS (SELECT t.packet_id, penalty, has_critical, has_evidence, CASE WHEN has_critical THEN least(greatest(0.0, round((trust - penalty)::DOUBLE::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE), 25.0) ELSE greatest(0.0, round((trust - penalty)::DOUBLE::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE) END AS final FROM trusted t JOIN ver USING (packet_id))"""
-
-
-@query(packets.sql(*packets.DECIDED) + f""", {_VERIFIED} SELECT packet_id, 'case_' || left(sha256('packet' || chr(1) || packet_id), 12) AS case_id, penalty, final AS final_trust,
+@query(packets.sql(*packets.DECIDED) + f""", {packets._FIRST}, {packets.VERIFIED} SELECT packet_id, 'case_' || left(sha256('packet' || chr(1) || packet_id), 12) AS case_id, penalty, final AS final_trust,
   CASE WHEN final >= 70 THEN 'approve' WHEN final < 40 AND (has_evidence OR has_critical OR penalty > 0) THEN 'freeze' ELSE 'manual_review' END AS final_action FROM folded""")
 def case_submissions(spark, sf):
     """Every packet as a submitted case: scored, verified, and the verification folded into the decision."""

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths given out inside `scratch` blocks, the innermost last.
+_OWNED: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owns the intermediate tables of the queries in its block and deletes them at its end: read or write results inside."""
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNED.pop():
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
@@ -39,6 +59,10 @@ def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Deletes what `written` wrote for df, once nothing reads it any more."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df.written_to)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
