@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vettra.operators import documents as docs_ops
+from vettra.operators import documents as docs_ops, isolation
 from vettra.operators import evaluation, grids, linkage, ordered, underwriting
 from vettra.operators import evidence as ev
 from vettra.sources import tables
@@ -108,7 +108,7 @@ def test_constant_columns_stay_unscaled(spark):
 
 def test_isolation_ranks_the_outlier_first(spark):
     df = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(200)] + [(999, 100.0, -80.0)], "k long, a double, b double")
-    assert evaluation.isolation(df, "k", ["a", "b"]).orderBy(F.desc("score")).first().k == 999
+    assert isolation.isolation(df, "k", ["a", "b"]).orderBy(F.desc("score")).first().k == 999
 
 
 def test_sources_round_trip(spark, tmp_path):

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vettra.functions import scalars
-from vettra.operators import documents, evaluation, faces, forensics, grids, packets, review
-from vettra.sources import tables
+from vettra.operators import documents, evaluation, faces, forensics, grids, isolation, packets, review
+from vettra.sources import models, tables
 
 
 def value(spark, column, **literals):
@@ -104,13 +104,65 @@ def test_labels_against_a_search():
             assert cells[root[i]] == min(group)
 
 
+def plain_path(nodes, row):
+    """The path of a row through a tree's node rows, by hand."""
+    at = nodes[0]
+    while at.path is None:
+        at = nodes[at.below if row[at.feature] < at["at"] else at.above]
+    return at.path
+
+
 def test_isolation_against_plain_trees(spark):
     rng = np.random.default_rng(5)
-    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 1, (50, 2)))]
-    out = {r.k: (r.score, r.anomaly) for r in evaluation.isolation(spark.createDataFrame([*rows, (99, 30.0, 30.0)], "k int, a double, b double"), "k", ["a", "b"], trees=40, fit_on=F.col("k") < 50).collect()}
-    assert max(out, key=lambda k: out[k][0]) == 99 and all(0 < s < 1 and 0 <= a <= 1 for s, a in out.values())
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 1, (50, 2)))] + [(99, 30.0, 30.0), (100, None, 1.0)]
+    df = spark.createDataFrame(rows, "k int, a double, b double")
+    nodes = isolation.fitted(df.where("k < 50"), "k", ["a", "b"], trees=20, sample=32).collect()
+    trees = [sorted((n for n in nodes if n.tree == t), key=lambda n: n.node) for t in range(20)]
+    assert all(2 * sum(n.path is not None for n in t) == len(t) + 1 and len(t) <= 63 for t in trees)
+    found = {r.k: r.score for r in isolation.scored(df, "k", ["a", "b"], spark.createDataFrame(nodes, isolation.NODES), 32).collect()}
+    for k, a, b in rows[:-1]:
+        assert found[k] == pytest.approx(2 ** -(np.mean([plain_path(t, (a, b)) for t in trees]) / isolation.mean_path(32)))
+    assert found[100] is None
+    out = {r.k: (r.score, r.anomaly) for r in isolation.isolation(df, "k", ["a", "b"], trees=40, fit_on=F.col("k") < 50).collect()}
+    assert max((k for k in out if out[k][0] is not None), key=lambda k: out[k][0]) == 99 and out[99][1] > 0.5
     # the share of fitted rows above one half is the contamination
     assert sum(out[i][1] > 0.5 for i in range(50)) == math.floor(50 * 0.05) + (50 * 0.05 % 1 > 0)
+    assert isolation.isolation(df.limit(0), "k", ["a", "b"], trees=3).count() == 0
+
+
+def test_subsamples_are_bounded_and_differ(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    counts = {r.tree: r["count"] for r in isolation.subsamples(df, "k", 10, 64, 1).groupBy("tree").count().collect()}
+    assert len(counts) == 10 and all(64 <= n <= 300 for n in counts.values())
+    chosen = isolation.subsamples(df, "k", 2, 64, 1).collect()
+    assert {r.k for r in chosen if r.tree == 0} != {r.k for r in chosen if r.tree == 1}
+
+
+def test_stored_models(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(x), float(rng.uniform()), 7.0, int(x > 0)) for i, x in enumerate(rng.normal(0, 1, 200))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, y int")
+    root = str(tmp_path)
+    assert models.resolve(spark, root, "risk", "1") is None
+    model = models.fit(df, "k", ["a", "b", "c"], "y", F.col("y") == 0, root, "risk", "1", trees=5, forest=10)
+    again = models.fit(df.limit(1), "k", ["a"], "y", F.col("y") == 0, root, "risk", "1")
+    assert again == model and model.features == ["a", "b", "c"]
+    got = {r.k: r for r in models.scores(df, "k", models.resolve(spark, root, "risk", "1")).collect()}
+    assert np.mean([(got[k].probability > 0.5) == (y == 1) for k, _, _, _, y in rows]) > 0.95 and all(0 <= r.anomaly <= 1 for r in got.values())
+    assert max(models.importances(spark, model), key=models.importances(spark, model).get) == "a"
+    models.registry(spark, root).replace(spark.createDataFrame([("risk", "1", "withdrawn", model.folder, ["a"], 1, 0.5)], models.SCHEMA), "withdraw")
+    assert models.resolve(spark, root, "risk", "1") is None
+
+
+def test_fold_report_against_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i % 3), float(np.round(rng.uniform(), 1)), int(rng.uniform() < 0.4)) for i in range(300)]
+    got = {r.fold: r for r in evaluation.fold_report(spark.createDataFrame(rows, "fold int, probability double, y int"), "y").collect()}
+    assert set(got) == {0, 1, 2, None}
+    for fold, r in got.items():
+        s, t = (np.array(x) for x in zip(*((s, y == 1) for f, s, y in rows if fold is None or f == fold)))
+        assert r.auc == pytest.approx(np.mean([1.0 if p > q else 0.5 if p == q else 0.0 for p in s[t] for q in s[~t]]), abs=1e-6)
+        assert r.n == len(s) and r.accuracy == pytest.approx(np.mean(t == (s >= 0.5)), abs=1e-6) and r.recall_0 == pytest.approx(np.mean(s[~t] < 0.5), abs=1e-6) and r.prec_1 == pytest.approx(np.mean(t[s >= 0.5]), abs=1e-6)
 
 
 def test_font_findings(spark):

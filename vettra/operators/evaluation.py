@@ -1,17 +1,11 @@
-"""Evaluation and models: confusion, grouped rates, calibration, scaling, isolation forest, boosted trees."""
+"""Evaluation and models: confusion, grouped rates, calibration, scaling, boosted trees."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ISOLATION_SAMPLE = 256
-ISOLATION_TREES = 200
+from vettra.sources.shared import written
 
 
 def confusion(df: DataFrame, truth: str, flagged: str) -> DataFrame:
@@ -73,52 +67,6 @@ def box_iou(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return areas.select(key, F.round(F.coalesce(F.try_divide(F.col("p") + F.col("q") - F.col("u"), "u"), F.lit(0.0)), 6).alias("iou"))
 
 
-def isolation(df: DataFrame, key: str, columns: list[str], trees: int = ISOLATION_TREES, seed: int = 42, fit_on: Column | None = None, sample_rows: int = 8 * ISOLATION_SAMPLE, contamination: float = 0.05) -> DataFrame:
-    """(key, score, anomaly): isolation forest fitted on `sample_rows` rows at most, those that `fit_on` holds for and whose hash is least.
-
-    score is from 0 to 1; anomaly is 0.5 plus the score above that of the `contamination` most isolated fitted rows, clipped to 0 to 1.
-    """
-    fitted = df if fit_on is None else df.where(fit_on)
-    rows = fitted.select(*columns).dropna().orderBy(F.xxhash64(*columns), *columns).limit(sample_rows).toPandas().to_numpy(float)
-    rng = np.random.default_rng(seed)
-    size = max(1, min(ISOLATION_SAMPLE, len(rows)))
-    depth = math.ceil(math.log2(max(2, size)))
-    mean_path = lambda n: 0.0 if n <= 1 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
-
-    def grow(x: np.ndarray, d: int):
-        if d >= depth or len(x) <= 1 or (x.min(axis=0) == x.max(axis=0)).all():
-            return d + mean_path(len(x))
-        c = int(rng.choice(np.flatnonzero(x.min(axis=0) < x.max(axis=0))))
-        at = rng.uniform(x[:, c].min(), x[:, c].max())
-        return c, at, grow(x[x[:, c] < at], d + 1), grow(x[x[:, c] >= at], d + 1)
-
-    forest = [grow(rows[rng.permutation(len(rows))[:size]], 0) for _ in range(trees)] if len(rows) else []
-    normal = mean_path(size) or 1.0
-
-    def walk(tree, x: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
-        if not isinstance(tree, tuple):
-            out[at] += tree
-            return
-        left = x[at, tree[0]] < tree[1]
-        walk(tree[2], x, at[left], out)
-        walk(tree[3], x, at[~left], out)
-
-    def scores(x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
-        for tree in forest:
-            walk(tree, x, np.arange(len(x)), out)
-        return 2.0 ** (-out / max(1, len(forest)) / normal)
-
-    offset = float(np.quantile(scores(rows), 1 - contamination)) if len(rows) else 0.5
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            found = scores(part[columns].to_numpy(float))
-            yield pd.DataFrame({key: part[key], "score": found, "anomaly": np.clip(0.5 + found - offset, 0, 1)})
-
-    return df.select(key, *columns).mapInPandas(score, f"{key} {dict(df.dtypes)[key]}, score double, anomaly double")
-
-
 def boosted(df: DataFrame, key: str, columns: list[str], label: str) -> DataFrame:
     """Gradient-boosted trees (100 trees of depth 3, rate 0.1, subsample 0.8): probability, and each feature's share of importance times |z|."""
     from pyspark.ml.classification import GBTClassifier
@@ -134,11 +82,6 @@ def boosted(df: DataFrame, key: str, columns: list[str], label: str) -> DataFram
     return model.transform(rows).select(key, vector_to_array("probability")[1].alias("probability"), shares.alias("attributions"))
 
 
-def folds(key: Column, n: int = 5) -> Column:
-    """A fold from 0 to n - 1 by a hash of the key."""
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-
 def roc_report(df: DataFrame, score: str, truth: str, threshold: float = 0.5) -> DataFrame:
     """(auc, accuracy, and each class's precision and recall): the area by ranks, ties at their mean.
 
@@ -153,13 +96,45 @@ def roc_report(df: DataFrame, score: str, truth: str, threshold: float = 0.5) ->
 
 
 def cross_validated(df: DataFrame, key: str, columns: list[str], label: str, n: int = 5, trees: int = 100) -> DataFrame:
-    """(key, label, fold, probability): boosted trees fitted on the other folds."""
+    """(key, label, fold, probability): boosted trees fitted on the other folds; each class is dealt to the folds on its own.
+
+    The rows are written once, as each of the n fits reads them, and so are the predictions, which several reports read.
+    """
     from functools import reduce
 
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(df.withColumns({label: F.col(label).cast("double"), "fold": folds(F.col(key), n)}))
+    place = F.row_number().over(Window.partitionBy(label, F.pmod(F.xxhash64(key), F.lit(64))).orderBy(F.xxhash64(F.lit(7), key), key)) + F.pmod(F.xxhash64(key), F.lit(64))
+    dealt = written(df.select(key, F.col(label).cast("double").alias(label), *columns, F.pmod(place, F.lit(n)).cast("int").alias("fold")), "folds")
+    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(dealt)
     fit = lambda i: GBTClassifier(labelCol=label, maxIter=trees, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=42).fit(rows.where(F.col("fold") != i)).transform(rows.where(F.col("fold") == i))
-    return reduce(DataFrame.unionByName, (fit(i).select(key, label, "fold", F.round(vector_to_array("probability")[1], 4).alias("probability")) for i in range(n)))
+    return written(reduce(DataFrame.unionByName, (fit(i).select(key, label, "fold", F.round(vector_to_array("probability")[1], 4).alias("probability")) for i in range(n))), "predictions")
+
+
+def fold_report(predictions: DataFrame, label: str, threshold: float = 0.5) -> DataFrame:
+    """(fold, n, auc, accuracy, and precision, recall and F1 of each class) of each fold, and of all together (fold null), in one pass.
+
+    predictions: (label 0 or 1, fold, probability). Probabilities count to four places; the area is by ranks, ties at their mean.
+    """
+    both = predictions.select(F.explode(F.array(F.col("fold"), F.lit(None).cast("int"))).alias("fold"), (F.col(label) == 1).alias("t"), F.round("probability", 4).alias("s"))
+    flag = F.col("s") >= threshold
+    cells = {"p": F.col("t"), "n": ~F.col("t"), "tp": F.col("t") & flag, "fp": ~F.col("t") & flag}
+    each = both.groupBy("fold", "s").agg(*(F.count_if(c).alias(k) for k, c in cells.items()))  # a fold has 10,001 scores at most
+    below = Window.partitionBy("fold").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = each.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    sums = ranked.groupBy("fold").agg(F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)).alias("area"), *(F.sum(k).alias(k) for k in cells))
+    p, n, tp, fp = (F.col(c) for c in cells)
+    fn, tn = p - tp, n - fp
+    ratio = lambda a, b: F.round(F.try_divide(a, b), 6)
+    return sums.select(
+        "fold", (p + n).alias("n"), ratio(F.col("area"), p * n).alias("auc"), ratio(tp + tn, p + n).alias("accuracy"), ratio(tp, tp + fp).alias("prec_1"), ratio(tp, p).alias("recall_1"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1_1"),
+        ratio(tn, tn + fn).alias("prec_0"), ratio(tn, n).alias("recall_0"), ratio(2 * tn, 2 * tn + fp + fn).alias("f1_0"),
+    )
+
+
+def separation(scores: DataFrame, score: str, label: str) -> DataFrame:
+    """One row: how far the scores of clean rows (label 0) and the others lie apart."""
+    of = lambda f, v: f(F.when(F.col(label) == v, F.col(score)))
+    return scores.agg(of(F.avg, 0).alias("mean_clean"), of(F.max, 0).alias("max_clean"), of(F.avg, 1).alias("mean_fraud"), of(F.min, 1).alias("min_fraud"))

@@ -216,6 +216,12 @@ def graph(stored: DataFrame) -> DataFrame:
     return linkage.evidence(stored)
 
 
+def truth(docs: DataFrame) -> DataFrame:
+    """(packet_id, label): 1 for packets with two documents or more that were made to depart from the rest."""
+    departs = ((F.col("status") == "P") & (F.col("n_lines") <= 2)) | ((F.col("status") == "F") & (F.col("n_lines") == 1)) | (F.col("n_lines") >= 7)
+    return docs.groupBy("packet_id").agg((F.count_if(departs) >= 2).cast("int").alias("label"))
+
+
 def stored_documents(spark, sf) -> DataFrame:
     """documents, written once for the queries that read them several times."""
     return written(documents(spark, sf), "documents")
