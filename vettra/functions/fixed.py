@@ -16,6 +16,11 @@ PAN_HOLDERS = {
 VERHOEFF_STEP = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
 # fixed values: producers that no document-issuing system uses
 SUSPICIOUS_PRODUCERS = ("photoshop", "ilovepdf", "pdfescape", "foxit", "inkscape", "gimp", "affinity", "scribus", "pixelmator")
+# fixed values: image editors that no scan of a document names
+EDITOR_SOFTWARE = (
+    "photoshop", "gimp", "paint.net", "ms paint", "snapseed", "lightroom", "pixelmator", "affinity", "canva", "inkscape", "imagemagick", "picsart", "photopea", "acdsee", "corel",
+    "skitch", "photoscape", "fotor", "luminar", "facetune",
+)
 # fixed values: honorifics before names
 HONORIFICS = r"(?i)\b(mr|mrs|ms|smt|shri|sri|dr|kum|m/s)\.?\b"
 # fixed values: classifier keywords with weights; classes in order of precedence

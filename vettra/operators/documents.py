@@ -97,17 +97,14 @@ def verdict(regions: DataFrame, key: str) -> DataFrame:
 
 
 def near_names(rows: DataFrame, group: str, key: str, name: str) -> DataFrame:
-    """(a, b): keys a < b of one group whose names are within one edit.
+    """(group, a, b, n_a, n_b): names of one group within one edit of each other, each by its least key and with its number of rows; a name with itself once it has two.
 
-    Distinct names meet on themselves and on what is left after deleting any one character:
-    names within one edit share such a variant, so that no group is compared all with all.
+    Distinct names meet on themselves and on what is left after deleting any one character: names within one edit share such a
+    variant, so that no group is compared all with all, and rows of one name aren't paired.
     """
-    names = rows.where(F.col(name).isNotNull()).select(F.col(group).alias("g"), F.col(name).alias("name")).distinct()
+    names = rows.where(F.col(name).isNotNull()).groupBy(F.col(group).alias("g"), F.col(name).alias("name")).agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n"))
     cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.concat(F.substring("name", F.lit(1), i - 1), F.substring("name", i + 1, F.length("name"))))
     variants = names.withColumn("v", F.explode(F.array_distinct(F.array_append(cut, F.col("name")))))
-    left, right = (variants.select("g", "v", F.col("name").alias(f"name_{k}")) for k in ("a", "b"))
-    near = left.join(right, ["g", "v"]).where(F.col("name_a") <= F.col("name_b")).select("g", "name_a", "name_b").distinct().where(scalars.edit_within_one(F.col("name_a"), F.col("name_b")))
-    a, b = (rows.select(F.col(group).alias("g"), F.col(name).alias(f"name_{k}"), F.col(key).alias(k)) for k in ("a", "b"))
-    pairs = a.join(near, ["g", "name_a"]).join(b, ["g", "name_b"]).where(F.col("a") != F.col("b"))
-    # equal names give each pair twice, others once in either order
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = (variants.select("g", "v", F.col("name").alias(f"name_{k}"), F.col("least").alias(k), F.col("n").alias(f"n_{k}")) for k in ("a", "b"))
+    met = left.join(right, ["g", "v"]).where((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("n_a") > 1))).drop("v").distinct()
+    return met.where(scalars.edit_within_one(F.col("name_a"), F.col("name_b"))).select(F.col("g").alias(group), "a", "b", "n_a", "n_b")

@@ -180,6 +180,34 @@ def merged_findings(structural: DataFrame, raster: DataFrame, pages: DataFrame,
     return structural.select(key, "severity").unionByName(raster.join(scanned, [key, "page"], "left_semi").select(key, "severity"))
 
 
+def deep_scan(regions: DataFrame, pages: DataFrame, least: int = 40) -> DataFrame:
+    """(doc, page, severity, title, confidence, n, x0, y0, x1, y1): raster findings of pages without a text layer, one a page.
+
+    regions: (doc, page, detector, region, strength, x0, y0, x1, y1) in pixels. pages: (doc, page, chars, width, height). Regions
+    back each other up as those of one image do; the box around what is left is in shares of the page. This is evidence and no
+    feature: pristine text pages would fire, so pages with `least` characters of text are skipped.
+    """
+    scanned = pages.where(F.col("chars") < least).select("doc", "page", "width", "height")
+    shown = regions.join(scanned, ["doc", "page"], "left_semi").withColumn("image", F.struct("doc", "page"))
+    sure = corroborated(shown, "image")
+    best = sure.groupBy("image").agg(F.max_by("severity", scalars.by_severity(F.col("severity"), 0)).alias("severity"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).cast("int").alias("n"))
+    box = shown.join(sure.select("image", "detector", "region"), ["image", "detector", "region"], "left_semi").groupBy("image").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    out = best.join(box, "image").select("image.doc", "image.page", "severity", "confidence", "n", "x0", "y0", "x1", "y1").join(scanned, ["doc", "page"])
+    share = lambda c, of: F.when(F.col(of) > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / F.col(of))), 6)).alias(c)
+    return out.select("doc", "page", "severity", F.lit("Tampered region on a scanned page").alias("title"), "confidence", "n", share("x0", "width"), share("y0", "height"), share("x1", "width"), share("y1", "height"))
+
+
+def template_fingerprint(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, fingerprint): documents of one template agree in producer, pages, and each page's fonts, images and drawings.
+
+    pages: (doc, page, fonts, images, drawings). docs: (doc, producer).
+    """
+    line = F.concat_ws(",", "page", "fonts", "images", "drawings")
+    per = pages.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", line.alias("l")))), lambda x: x["l"]), ";").alias("layout"))  # a document's pages
+    text = F.concat_ws("|", F.coalesce("producer", F.lit("")), F.coalesce("n", F.lit(0)).cast("string"), F.coalesce("layout", F.lit("")))
+    return docs.join(per, "doc", "left").select("doc", F.left(F.sha2(text.cast("binary"), 256), F.lit(32)).alias("fingerprint"))
+
+
 def heat(blocks: DataFrame, key: str) -> DataFrame:
     """Block values as 8-bit shares of their image's largest."""
     top = F.max("v").over(Window.partitionBy(key))

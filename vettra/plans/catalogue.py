@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vettra.plans import documents, learning, packets, rasters, reviews, scoring, sinks
+from vettra.plans import documents, intake, learning, packets, rasters, reviews, scoring, sinks
 
-PARTS = (scoring, documents, packets, reviews, rasters, sinks, learning)
+PARTS = (scoring, documents, packets, reviews, rasters, sinks, learning, intake)
 QUERIES: dict = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -191,12 +191,13 @@ def evidence_rows(spark, sf, docs, found, marks):
     return one(marks, "forensic").unionByName(one(found, "semantic")).unionByName(one(links, "graph"))
 
 
-def decisions(spark, sf, docs=None, scored=scores):
-    """Decisions of all packets, from their texts on; scored: features -> (packet_id, probability, anomaly)."""
+def decisions(spark, sf, docs=None, scored=scores, more=None):
+    """Decisions of all packets, from their texts on; scored: features -> (packet_id, probability, anomaly). `more` evidence sets no feature."""
     docs = lending.stored_documents(spark, sf) if docs is None else docs
     found, marks = written(semantic(spark, sf, docs), "rules"), written(lending.forensic(spark, sf, docs), "findings")  # each feeds features and evidence
     vector = written(packets.feature_vector(docs, marks, found, underwriting.behaviour(docs)), "features")
-    return packets.packet_decision(docs, evidence_rows(spark, sf, docs, found, marks), scored(vector))
+    rows = evidence_rows(spark, sf, docs, found, marks)
+    return packets.packet_decision(docs, rows if more is None else rows.unionByName(more), scored(vector))
 
 
 _FIRST = """ok AS (SELECT *, CASE doc_type WHEN 'identity' THEN 'pan' ELSE doc_type END AS slot FROM entities WHERE n_lines > 1 OR status <> 'P'),

@@ -171,8 +171,8 @@ def registry_lookups(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("packet_id"), "c_nationkey").crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("m")))).withColumn("sk", F.col("packet_id") % F.col("m"))
     registries = {
         "ais": table(spark, sf, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("pan"), (F.col("n_regionkey") * 100000.0).alias("reported_income")),
-        "cersai": table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("pan"), F.struct("l_partkey", "l_orderkey").alias("c")).groupBy("pan").agg(F.collect_list("c").alias("charges")),
-        "digilocker": table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("pan")).agg(F.collect_set("o_orderpriority").alias("documents")),
+        "cersai": table(spark, sf, "lineitem").where("l_quantity >= 49").groupBy(F.col("l_suppkey").alias("pan")).agg(F.count(F.lit(1)).alias("charges")),
+        "digilocker": table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("pan")).agg(F.count_distinct("o_orderpriority").alias("documents")),
         "gstin": s.where("s_acctbal > 0").select(F.col("s_suppkey").alias("gstin"), F.col("s_name").alias("legal_name")),
         "mca21": s.where("s_nationkey < 20").select(F.col("s_suppkey").alias("cin"), F.when(F.col("s_acctbal") > 5000, "Active").otherwise("Struck off").alias("status")),
         "property_registry": table(spark, sf, "part").where("p_size > 10").select(F.col("p_partkey").alias("property_id"), F.col("p_retailprice").alias("registered_market_value")),
@@ -184,7 +184,7 @@ def registry_lookups(spark, sf):
     out = t.look_up(out, "sk", registries["gstin"], "gstin", "legal_name")
     out = t.look_up(out, "sk", registries["mca21"], "mca21", "is_active")
     out = t.look_up(out, "packet_id", registries["property_registry"], "property_registry", "market_value")
-    return out.select("packet_id", "income_of_record", F.size("charges").cast("long").alias("n_charges"), F.size("documents").cast("long").alias("n_documents"), "legal_name", "is_active", "market_value")
+    return out.select("packet_id", "income_of_record", F.coalesce("charges", F.lit(0)).cast("long").alias("n_charges"), F.coalesce("documents", F.lit(0)).cast("long").alias("n_documents"), "legal_name", "is_active", "market_value")
 
 
 # ---- scans, point reads and sinks

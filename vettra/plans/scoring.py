@@ -8,7 +8,7 @@ from vettra.functions import fixed, scalars
 from vettra.operators import evidence as ev
 from vettra.operators import linkage, ordered, underwriting
 from vettra.plans import view
-from vettra.sources.tables import table, verify
+from vettra.sources.tables import charges_on, table, verify
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -97,11 +97,11 @@ def registry_left_join(spark, sf):
 
 @query("""SELECT l_suppkey AS pan, l_orderkey AS charge_doc, l_extendedprice AS amount FROM lineitem WHERE l_partkey = 7""")
 def unnest_charges(spark, sf):
-    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("pan"), F.struct(F.col("l_partkey").alias("property_id"), F.col("l_orderkey").alias("charge_doc"), F.col("l_extendedprice").alias("amount")).alias("c"), F.col("l_orderkey"))
-    # one array of charges for each supplier and order
-    registry = lines.groupBy("pan", "l_orderkey").agg(F.collect_list("c").alias("charges"))
-    from vettra.sources.tables import charges_on
-
+    """Charges on one property: suppliers' charges come as arrays, one for each supplier and order, and are filtered before they are unnested."""
+    charge = F.struct(F.col("l_partkey").alias("property_id"), F.col("l_orderkey").alias("charge_doc"), F.col("l_extendedprice").alias("amount"))
+    lines = table(spark, sf, "lineitem")
+    wanted = lines.where("l_partkey = 7").select("l_suppkey", "l_orderkey").distinct()  # the registry is asked for the records that hold the property
+    registry = lines.join(wanted, ["l_suppkey", "l_orderkey"], "left_semi").groupBy(F.col("l_suppkey").alias("pan"), "l_orderkey").agg(F.collect_list(charge).alias("charges"))
     return charges_on(registry, "pan", "charges", F.lit(7)).select("pan", "charge_doc", "amount")
 
 

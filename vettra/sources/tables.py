@@ -15,9 +15,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def packets(spark: SparkSession, path: str) -> DataFrame:
-    """(packet_id, created_at, submitted_at, ordinal, document) of manifests, one JSON object a file."""
-    raw = spark.read.option("multiLine", True).json(path)
+def packets(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(packet_id, created_at, submitted_at, ordinal, document) of manifests, one JSON object a file (or a line)."""
+    raw = spark.read.option("multiLine", not lines).json(path)
     head = [F.col(c) for c in ("id", "created_at", "submitted_at") if c in raw.columns]
     return raw.select(*head, F.posexplode("documents").alias("ordinal", "document"))
 
@@ -27,10 +27,10 @@ def existing_documents(documents: DataFrame, files: DataFrame, path: str = "path
     return documents.join(files.select(F.col("path").alias(path)).distinct(), path, "left_semi")
 
 
-def labels(spark: SparkSession, path: str) -> DataFrame:
-    """(packet_id, label struct) of one JSON object keyed by packet id."""
+def labels(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(packet_id, label struct) of one JSON object keyed by packet id (or of one a line)."""
     value = "map<string, struct<label: string, fraud_types: array<string>, reasons: array<string>, affected_docs: array<string>>>"
-    return spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", value)).alias("packet_id", "label"))
+    return spark.read.option("wholetext", not lines).text(path).select(F.explode(F.from_json("value", value)).alias("packet_id", "label"))
 
 
 def verify(keys: DataFrame, registry: DataFrame, key: str, status: str = "status") -> DataFrame:
