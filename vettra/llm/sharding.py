@@ -26,6 +26,8 @@ from vettra.llm.common import table, written
 
 #: Leading hex digits of a row's order key that name its slot bucket (16**4 buckets).
 BUCKET_DIGITS = 4
+#: Shards of the regular tree that growth starts from.
+BASE_SHARDS = 16
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,17 @@ def grown_tree(tree: list[Shard], weight: float = 1.0) -> list[Shard]:
     return [*tree, Shard(f"grown{n}", "k0", n, weight)]
 
 
+def sized_tree(shards: int) -> list[Shard]:
+    """The one tree for a number of shards: regular up to BASE_SHARDS, and each further shard a region of its own.
+
+    So the key and the number decide alone, and from BASE_SHARDS on each step to one more shard moves rows into that shard only.
+    """
+    tree = regular_tree(min(shards, BASE_SHARDS))
+    while len(tree) < shards:
+        tree = grown_tree(tree)
+    return tree
+
+
 def levels(tree: list[Shard]) -> list[list[tuple[str, str, float]]]:
     """(parent's path, path, weight) of the nodes of each level; a node weighs what its shards weigh together."""
     out = []
@@ -110,8 +123,7 @@ def assign_shards(rows: DataFrame, key: str, text: str, tree: list[Shard], grown
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 16 shards by the law `key`."""
-    tree = regular_tree(16)
-    out = assign_shards(table(spark, sf_dir, "documents"), "doc_id", "text", tree, grown_tree(tree))
+    out = assign_shards(table(spark, sf_dir, "documents"), "doc_id", "text", sized_tree(16), sized_tree(17))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
@@ -125,7 +137,6 @@ def _sql_descend(tree: list[Shard]) -> str:
     return f"regexp_extract({at}, '/s([0-9]+)$', 1)::INTEGER"
 
 
-_TREE = regular_tree(16)
 ORACLE_SQL = f"""
 WITH bits AS (
   SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]),
@@ -136,7 +147,7 @@ base AS (
   SELECT doc_id, coalesce(text, '') AS t, coalesce(doc_id::VARCHAR, 'null') AS k FROM documents),
 placed AS (
   SELECT doc_id, (strlen(t) + 1)::BIGINT AS size, t, k, md5(k || ':' || t) AS o,
-         {_sql_descend(_TREE)} AS shard, {_sql_descend(grown_tree(_TREE))} AS grown_shard
+         {_sql_descend(sized_tree(16))} AS shard, {_sql_descend(sized_tree(17))} AS grown_shard
   FROM base)
 SELECT doc_id, size,
        xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, strlen(t) + 1),
