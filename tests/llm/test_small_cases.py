@@ -92,6 +92,35 @@ def test_sharding(spark, docs):
     assert sharding.assign_shards(docs.limit(0), "doc_id", "text", tree, sharding.grown_tree(tree)).count() == 0
 
 
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    keys = spark.range(3000).selectExpr("cast(id AS string) AS k")
+    for n in (16, 17, 18, 21):
+        moved = sharding.descend(sharding.descend(keys, "k", sharding.sized_tree(n), "a"), "k", sharding.sized_tree(n + 1), "b")
+        steps = moved.where("a <> b").groupBy("b").count().collect()
+        assert [r.b for r in steps] == [n] and steps[0]["count"] > 3000 / (n + 1) / 2
+    assert sharding.sized_tree(17) == sharding.grown_tree(sharding.regular_tree(16)) and sharding.sized_tree(3) == sharding.regular_tree(3)
+
+
+def test_blocks_out_of_reach_are_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 200)
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in 20 * np.eye(40)[i // 50] + rng.normal(0, 0.1, 40)]) for i in range(2000)] + [(7, [0.5] * 40), (7, [0.5] * 40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id % 50 = 0 AND vec_id < 500")
+    counted, reach = [], topk_search.in_reach
+    monkeypatch.setattr(topk_search, "in_reach", lambda asked, blocks, n: counted.append((blocks.count() * asked.select("group").distinct().count(), reach(asked, blocks, n).count())) or reach(asked, blocks, n))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.search(vectors, asked, 5).collect()}
+    v = np.floor(256 * np.array([x for _, x in rows])).astype(np.int64)
+    ids = np.array([i for i, _ in rows])
+    for q in range(0, 500, 50):
+        score = v @ v[q]
+        best = sorted((-int(s), int(i)) for s, i in zip(score, ids) if i != q)[:5]
+        assert [got[q, r + 1] for r in range(5)] == [(i, -s) for s, i in best]
+    ((blocks, sent),) = counted
+    assert 0 < 2 * sent < blocks  # pairs of groups and blocks beyond the first round
+
+
 @pytest.mark.parametrize("shard_rows", [16_384, 40])
 def test_topk(spark, monkeypatch, shard_rows):
     monkeypatch.setattr(topk_search, "SHARD_ROWS", shard_rows)

@@ -5,9 +5,11 @@ integer vectors) and each dimension's largest and smallest value. A block's boun
 query is the sum over dimensions of the larger of query value times maximum or minimum.
 A task holds one bounded group of queries and one bounded shard of blocks; each query
 visits the blocks from the highest bound down and stops when a bound falls below its
-k-th score. With several shards, a first round over one of them gives every query a k-th
-score to start from in all of them. The shards' lists are then merged. Every query meets every row unless a
-bound excludes the row's block, so results are exact.
+k-th score. With several shards the blocks' largest and smallest values alone, a hundredth
+of their bytes, meet all queries first. Queries whose highest bound is that of one block are
+grouped, and that block gives each a k-th score to start from; then a block is sent only to
+the groups in which some query's bound for it reaches that query's score. The shards' lists are then merged. Every query
+meets every row unless a bound excludes the row's block, so results are exact.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows
 without id, take no part; shorter vectors count as padded with zeros; a query never finds
@@ -17,7 +19,7 @@ ties go to the smaller id; fewer than k candidates are all returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,9 @@ from vettra.llm.common import table, written
 
 BLOCK_ROWS = 1024
 SHARD_ROWS = 16_384
-QUERY_GROUP = 4096
+QUERY_GROUP = 1024
+#: Shards whose blocks' outlines meet a group of queries in one task.
+SUMMARY_SHARDS = 256
 NONE = np.iinfo(np.int64).min
 
 
@@ -50,12 +54,34 @@ def matrix(rows: list, width: int = 0) -> np.ndarray:
     return out
 
 
-def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of at most BLOCK_ROWS consecutive ids with their forward index."""
-    for part in batches:
-        for a in range(0, len(part), BLOCK_ROWS):
-            ids, m = part["id"].to_numpy(np.int64)[a : a + BLOCK_ROWS], matrix(list(part["v"].iloc[a : a + BLOCK_ROWS]))
-            yield pd.DataFrame({"first": [int(ids[0])], "ids": [ids.tobytes()], "width": [m.shape[1]], "forward": [m.tobytes()]})
+def packed(m: np.ndarray) -> tuple[bytes, int]:
+    """A matrix of whole numbers in the fewest bytes a number that hold it, and that number of bytes."""
+    top = int(np.abs(m).max(initial=0))
+    kind = np.int16 if top < 2**15 else np.int32 if top < 2**31 else np.int64
+    return m.astype(kind).tobytes(), np.dtype(kind).itemsize
+
+
+def unpacked(raw: bytes, width: int, size: int) -> np.ndarray:
+    return np.frombuffer(raw, f"i{size}").reshape(-1, width).astype(np.int64)
+
+
+def blocks_of(most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Makes blocks of at most so many consecutive ids with their forward index, and the largest and smallest value of each dimension."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for a in range(0, len(part), most):
+                ids, m = part["id"].to_numpy(np.int64)[a : a + most], matrix(list(part["v"].iloc[a : a + most]), 1)
+                forward, size = packed(m)
+                ends = np.stack([m.max(axis=0), m.min(axis=0)]).tobytes()
+                yield pd.DataFrame({"first": [int(ids[0])], "ids": [ids.tobytes()], "width": [m.shape[1]], "size": [size], "forward": [forward], "ends": [ends]})
+
+    return cut
+
+
+def bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The highest score that each query can have with a row between the smallest and largest values of each block."""
+    return np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
 
 
 def top_k(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +94,7 @@ def top_k(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndar
     q = queries.astype(kind)
     forward = [m.astype(kind) for _, m in blocks]
     most, least = (np.stack([f(m, axis=0) for m in forward]) for f in (np.max, np.min))
-    bound = np.maximum(q, 0) @ most.T + np.minimum(q, 0) @ least.T
+    bound = bounds(q, most, least)
     order = np.argsort(-bound, axis=1, kind="stable")
     low = kind(-np.inf) if kind is np.float64 else NONE
     kth = np.full(len(q), low) if floors is None else np.where(floors == NONE, low, floors.astype(kind))
@@ -99,36 +125,93 @@ def top_k(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndar
     return best
 
 
+def all_of(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
+def outline_bounds(qs: pd.DataFrame, bs: pd.DataFrame) -> np.ndarray:
+    """The bound of each block, from its outline, for each query."""
+    width = max(int(bs["width"].max()), *(len(v) for v in qs["v"]))
+    ends = np.zeros((2, len(bs), width), np.int64)
+    for i, (raw, w) in enumerate(zip(bs["ends"], bs["width"], strict=True)):
+        ends[:, i, :w] = np.frombuffer(raw, np.int64).reshape(2, w)
+    q = matrix(list(qs["v"]), width)
+    if float(np.abs(ends).max(initial=0)) * float(np.abs(q).max(initial=0)) * width >= 2**62:
+        q, ends = q.astype(object), ends.astype(object)  # whole numbers of any size
+    return bounds(q, *ends)
+
+
+def meeting(asked: DataFrame, blocks: DataFrame, shards: int, met, schema: str) -> DataFrame:
+    """met(queries, outlines) for each group of queries and each part of the blocks' outlines."""
+    parts = -(-shards // SUMMARY_SHARDS)
+    groups = asked.groupBy(F.col("group").alias("to")).agg(F.count(F.lit(1)))  # a row a group
+    outlines = blocks.select("block", "width", "ends", F.pmod("block", F.lit(parts)).cast("long").alias("part")).crossJoin(groups.select(F.col("to").alias("group")))
+    both = asked.select("*", all_of(parts).alias("part")).groupBy("group", "part").cogroup(outlines.groupBy("group", "part"))
+    return both.applyInPandas(lambda qs, bs: met(qs, bs) if len(qs) and len(bs) else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")}), schema)
+
+
+def regrouped(asked: DataFrame, blocks: DataFrame, groups: int, shards: int) -> DataFrame:
+    """asked with the block of each query's highest bound (near), and groups of queries that share it, so that a group needs few blocks; large groups are split."""
+
+    def highest(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
+        b = outline_bounds(qs, bs)
+        at = b.argmax(axis=1)
+        return pd.DataFrame({"qk": qs["qk"], "bound": b[np.arange(len(qs)), at].astype(float), "block": bs["block"].to_numpy()[at]})
+
+    best = meeting(asked, blocks, shards, highest, "qk long, bound double, block long")
+    near = best.groupBy("qk").agg(F.max_by("block", F.struct("bound", "block")).alias("near"))
+    placed = written(asked.join(near, "qk", "left").withColumn("place", F.pmod(F.xxhash64("near"), F.lit(4 * groups)).cast("long")), "search-places")
+    sizes = placed.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / QUERY_GROUP).alias("n"))  # four rows a group
+    split = F.pmod(F.xxhash64(F.lit(3), "qk"), F.col("n"))
+    return placed.join(sizes, "place").select((F.col("place") * 1_000_000 + split).alias("group"), "id", "v", "qk", "floor", "near")
+
+
+def in_reach(asked: DataFrame, blocks: DataFrame, shards: int) -> DataFrame:
+    """(group, block): the blocks whose bound reaches the floor of some query of a group, from their outlines alone."""
+
+    def reached(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
+        hit = (outline_bounds(qs, bs) >= qs["floor"].to_numpy(np.int64)[:, None]).any(axis=0)
+        return pd.DataFrame({"group": int(qs["group"].iloc[0]), "block": bs["block"][hit]})
+
+    return meeting(asked, blocks, shards, reached, "group long, block long").distinct()  # equal blocks have one number
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of `vectors` for each row of `queries`."""
     rows = usable(vectors, id_col, vector)
     asked = usable(queries, id_col, vector).distinct()
     groups = max(1, -(-asked.count() // QUERY_GROUP))
     shards = max(1, -(-rows.count() // SHARD_ROWS))
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    blocks = rows.repartitionByRange("id", F.xxhash64("v")).sortWithinPartitions("id").mapInPandas(blocks_of, "first long, ids binary, width int, forward binary")
-    dealt = blocks.select(F.pmod(F.xxhash64("first", "ids"), F.lit(shards)).cast("int").alias("shard"), all_of(groups).alias("group"), "ids", "width", "forward")
-    asked = asked.select(F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int").alias("group"), "id", "v", F.xxhash64("id", "v").alias("qk"))
+    made = rows.repartitionByRange("id", F.xxhash64("v")).sortWithinPartitions("id").mapInPandas(blocks_of(BLOCK_ROWS), "first long, ids binary, width int, size int, forward binary, ends binary")
+    blocks = made.withColumns({"block": F.xxhash64("first", "ids", "forward"), "shard": F.pmod(F.xxhash64("first", "ids"), F.lit(shards)).cast("long")})
+    asked = asked.select(F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("long").alias("group"), "id", "v", F.xxhash64("id", "v").alias("qk"))
 
     def task(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(bs):
             return pd.DataFrame({"query_id": [], "qk": [], "vec_id": [], "score": []})
-        at = [(np.frombuffer(i, np.int64), np.frombuffer(m, np.int64).reshape(-1, w) if w else np.zeros((len(i) // 8, 0), np.int64)) for i, m, w in zip(bs["ids"], bs["forward"], bs["width"], strict=True)]
+        at = [(np.frombuffer(i, np.int64), unpacked(m, w, z)) for i, m, w, z in zip(bs["ids"], bs["forward"], bs["width"], bs["size"], strict=True)]
         n, ids, score = top_k(qs["id"].to_numpy(np.int64), matrix(list(qs["v"])), at, k, qs["floor"].to_numpy(np.int64))
         return pd.DataFrame({"query_id": qs["id"].to_numpy()[n], "qk": qs["qk"].to_numpy()[n], "vec_id": ids, "score": score.astype(np.int64)})
 
     def lists(asked: DataFrame, blocks: DataFrame) -> DataFrame:
-        return asked.groupBy("group", "shard").cogroup(blocks.groupBy("group", "shard")).applyInPandas(task, "query_id long, qk long, vec_id long, score long")
+        sent = blocks.select("group", "shard", "ids", "width", "size", "forward")
+        return asked.groupBy("group", "shard").cogroup(sent.groupBy("group", "shard")).applyInPandas(task, "query_id long, qk long, vec_id long, score long")
 
     best = Window.partitionBy("query_id", "qk").orderBy(F.desc("score"), "vec_id")
     asked = asked.withColumn("floor", F.lit(NONE))
     if shards > 1:
-        # a first round over one shard gives each query a k-th score, below which the other shards' lists end
-        dealt = written(dealt, "search-blocks")
-        seeds = lists(asked.withColumn("shard", F.lit(0)), dealt.where("shard = 0"))
-        seeds = written(seeds.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", "qk", F.col("score").alias("seed")), "search-floors")
+        # a first round over the block with its highest bound gives each query a k-th score, which the bounds of others must reach
+        blocks = written(blocks, "search-blocks")
+        asked = written(regrouped(asked, blocks, groups, shards), "search-groups")
+        near = asked.groupBy(F.col("group").alias("to"), F.col("near").alias("block")).agg(F.count(F.lit(1))).select(F.col("to").alias("group"), "block")
+        zero = F.lit(0).cast("long")
+        first = lists(asked.withColumn("shard", zero), blocks.join(near, "block").withColumn("shard", zero)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        seeds = first.groupBy("query_id", "qk").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("seed")).where(F.col("n") == k)
         asked = asked.join(seeds, (F.col("id") == F.col("query_id")) & asked.qk.eqNullSafe(seeds.qk), "left").select("group", "id", "v", asked.qk, F.coalesce("seed", "floor").alias("floor"))
-    found = lists(asked.withColumn("shard", all_of(shards)), dealt)
+        asked = written(asked, "search-queries")
+        found = lists(asked.withColumn("shard", all_of(shards)), blocks.join(in_reach(asked, blocks, shards), "block"))
+    else:
+        found = lists(asked.withColumn("shard", F.lit(0).cast("long")), blocks.withColumn("group", all_of(groups)))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
