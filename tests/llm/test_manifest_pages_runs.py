@@ -245,3 +245,24 @@ def test_runs_of_odd_rows(spark, monkeypatch):
 def test_equals_sql(spark, name):
     compare(spark, SF, queries.QUERIES[name], queries.ORACLE_SQL[name])
     compare(spark, LARGER, queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
+def test_very_long_texts(spark):
+    """One text of some megabytes among short ones, through the operators on texts: taken whole by each."""
+    from vettra.llm import decontamination, language_id, license_scan, line_dedup, sentencepiece_codec
+
+    words = " ".join(f"word{i % 5003}" for i in range(150_000))
+    lines = "\n".join(f"line {i} of a long text" for i in range(60_000))
+    docs = spark.createDataFrame([(1, words, "en"), (2, lines, "en"), (3, "short text", "en"), (4, "line 59999 of a long text", "en")], "doc_id long, text string, lang string")
+    dropped = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs, min_docs=2).select("row.doc_id", "n_lines", "n_dropped").collect()}
+    assert dropped == {1: (1, 0), 2: (60_000, 1), 3: (1, 0), 4: (1, 1)}
+    tail = " ".join(words.split()[-13:])
+    bench = spark.createDataFrame([(9, tail)], "item_id long, text string")
+    hits = {r.id: r.n_hit for r in decontamination.contamination(docs, bench).select("id", "n_hit").collect()}
+    assert hits[1] >= 13 and hits[3] == 0
+    import public_tokenizers
+
+    ids = sentencepiece_codec.digests(sentencepiece_codec.encode_documents(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))).collect()
+    assert all(r.round_trip for r in ids) and max(r.n_ids for r in ids) > 150_000
+    assert {r.n_paragraphs for r in license_scan.scan(docs.where("doc_id = 1")).collect()} == {1}
+    assert language_id.lettered(docs).count() == 4

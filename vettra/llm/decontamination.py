@@ -12,7 +12,8 @@ counts if it is at least a window long.
 
 Defined results: null or wordless documents have no words and are clean; items without
 words or without id take no part; items that share an id count as one; repeated documents
-repeat their result; an empty benchmark leaves all clean; other columns are ignored (op2)
+repeat their result; an empty benchmark leaves all clean, an empty table of documents gives an
+empty result; texts of any length are taken whole; ties do not arise; other columns are ignored (op2)
 or kept (decontaminate).
 """
 

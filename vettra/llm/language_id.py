@@ -12,7 +12,7 @@ the driver. Prediction covers whole texts on the executors.
 
 Defined results: null text or text without any letter is ``und`` with score 0; with no
 labelled row, everything is ``und``; of equal probabilities the language first in order
-wins; null ids count as not held out and their text may train; rows are independent, so repeated rows repeat their result; other columns are kept
+wins; long texts are windowed whole; an empty table gives an empty result; null ids count as not held out and their text may train; rows are independent, so repeated rows repeat their result; other columns are kept
 by ``identify`` unless it is told to select.
 """
 

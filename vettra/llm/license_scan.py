@@ -18,7 +18,8 @@ and is ``unknown`` to the model; an array overlap tells such paragraphs apart fi
 
 Defined results: null or empty text has no paragraph and no licence; repeated rows repeat
 their result; null ids are kept; of equal probabilities the family first in order wins; an
-empty table gives an empty result; other columns are ignored (op9) or kept (scan).
+empty table gives an empty result; texts of any length are scanned whole; other columns are
+ignored (op9) or kept (scan).
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ group has to fit in memory. Only the hashes of hot keys are broadcast.
 
 Defined results: null or empty text is one empty line; a key shorter than ``min_chars``
 code points never counts; each row is a document, repeated rows too; equal rows get equal
-results; null ids are kept; other columns are ignored (op1) or kept (dedup_lines).
+results; null ids are kept; ties do not arise; texts of any length are split and hashed whole;
+an empty table gives an empty result; other columns are ignored (op1) or kept (dedup_lines).
 """
 
 from __future__ import annotations

@@ -20,8 +20,10 @@ piece become byte pieces. Decoding reverses this exactly, except that U+2581 its
 back as a blank.
 
 Defined results: null text encodes to no ids and decodes to an empty text; empty text has
-no ids; ids are null only for null text in `encode`; rows are independent; other columns
-are kept.
+no ids; ids are null only for null text in `encode`; long texts are encoded whole, unit by
+unit; of equal sums (unigram models) the longest piece stays, a merge result has no ties;
+repeated rows repeat their result; an empty table gives an empty result; other columns are
+kept.
 """
 
 from __future__ import annotations

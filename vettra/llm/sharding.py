@@ -10,7 +10,8 @@ Only built-in functions are used. No row is gathered in one task: slots are row
 in small hash buckets plus the counts of the buckets before.
 
 Defined results: a null key draws as the text ``null``; a null text has size 1 and CRC
-zero; an empty table gives an empty result; repeated rows each get a slot of their own;
+zero; long texts are read whole; an empty table gives an empty result; repeated rows each get
+a slot of their own; of equal draws the path first in order wins;
 other columns of the input (also ones named like the results) are ignored.
 """
 

@@ -11,7 +11,7 @@ pairs of nodes are compared bit by bit. Each task returns a spanning forest of i
 never all pairs, and the components of all links are found in joins.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero, linked
-like any other; repeated rows share their component; null ids take part in links, but are
+like any other; long texts are hashed whole; repeated rows share their component; null ids take part in links, but are
 never a component's id (null if there is no other); ties do not arise; an empty table gives
 an empty result; other columns are ignored.
 """

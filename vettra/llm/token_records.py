@@ -20,7 +20,7 @@ doesn't hold.
 
 Defined results: a null text is empty and has only the end id; ids that are null come
 first; repeated ids keep one record each, ordered by a hash of the text; an empty table
-gives an empty manifest; other columns are ignored.
+gives an empty manifest; texts of any length make one record each; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ meets every row unless a bound excludes the row's block, so results are exact.
 Defined results: vectors that are null or hold null or non-finite components, and rows
 without id, take no part; shorter vectors count as padded with zeros; a query never finds
 rows of its own id; equal queries repeated count once; repeated candidate rows count each;
-ties go to the smaller id; fewer than k candidates are all returned.
+ties go to the smaller id; fewer than k candidates are all returned; an empty table, or one
+without queries, gives an empty result; vectors may have any length; other columns are ignored.
 """
 
 from __future__ import annotations

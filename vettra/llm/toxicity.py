@@ -22,7 +22,9 @@ training document. Scoring covers whole texts; a bounded cache keeps words' diff
 
 Defined results: null text scores as empty text; without both classes among the training
 rows every score is 0; conflicting labels of one id count as toxic; null labels are
-ignored; rows are independent; other columns are ignored (op7) or kept (classify).
+ignored; texts of any length are scored whole; scores have no ties to break; rows are
+independent, so repeated rows repeat their result; an empty table gives an empty result;
+other columns are ignored (op7) or kept (classify).
 """
 
 from __future__ import annotations
