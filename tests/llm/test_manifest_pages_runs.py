@@ -70,26 +70,26 @@ def brute_manifest(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("chunk_levels", [1, 5])
+@pytest.mark.parametrize("chunk_levels", [1, 2, 5])
 def test_manifest(spark, monkeypatch, chunk_levels):
     monkeypatch.setattr(merkle_manifest, "ROWS_PER_TASK", 20)
     docs = table(spark, DOCS).repartition(5)
-    rows, found = merkle_manifest.manifest(docs, claimed=merkle_manifest.tampered(docs), chunk_levels=chunk_levels)
-    assert sorted(map(tuple, merkle_manifest.proofs(rows, found, "claimed", chunk_levels).collect()), key=str) == brute_manifest(DOCS)
+    rows, nodes, found = merkle_manifest.manifest(docs, claimed=merkle_manifest.tampered(docs), chunk_levels=chunk_levels)
+    assert sorted(map(tuple, merkle_manifest.proofs(rows, nodes, found, "claimed", chunk_levels).collect()), key=str) == brute_manifest(DOCS)
     published = merkle_manifest.subroots(rows, found).collect()
     assert sum(r.leaves for r in published) == len(DOCS) and {r.root for r in published} == {found.root.decode()}
 
 
 def test_manifest_of_nothing_one_and_many_groups(spark):
     none = table(spark, DOCS[:0])
-    rows, found = merkle_manifest.manifest(none)
-    assert merkle_manifest.proofs(rows, found, "claimed").count() == 0
+    rows, nodes, found = merkle_manifest.manifest(none)
+    assert merkle_manifest.proofs(rows, nodes, found, "claimed").count() == 0
     one = DOCS[4:5]
     many = [(i, "t", "s", f"g{i % 70:03}", 1) for i in range(200)]
     for part in (one, many):
         docs = table(spark, part)
-        rows, found = merkle_manifest.manifest(docs, claimed=merkle_manifest.tampered(docs))
-        assert sorted(map(tuple, merkle_manifest.proofs(rows, found, "claimed").collect()), key=str) == brute_manifest(part)
+        rows, nodes, found = merkle_manifest.manifest(docs, claimed=merkle_manifest.tampered(docs))
+        assert sorted(map(tuple, merkle_manifest.proofs(rows, nodes, found, "claimed").collect()), key=str) == brute_manifest(part)
 
 
 def test_forest_is_a_commutative_monoid():

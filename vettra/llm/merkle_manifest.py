@@ -9,15 +9,18 @@ How rows get their places: the leaves, without texts, are range-partitioned and
 the counts of the partitions before, which is one small row for each (partition, group).
 
 How trees are built: 8**CHUNK_LEVELS consecutive leaves of a group are a chunk and are
-hashed in one task, which emits one node. Nodes are the elements of a sparse forest, a
-commutative monoid (`Forest`): a fragment holds nodes by (tree, level, index), and whenever
-all siblings of a run are there, whose number follows from the tree's size, the run becomes
-its parent. Partitions fold their nodes to fragments, and treeReduce merges these to the
-root. Fragments may meet in any order, so lost and repeated tasks change nothing.
-
-What the driver and the broadcast hold: the runs above chunks, so one node for each 32,768
-leaves, one for each group, and an eighth more; rows never. Groups are meant to be few
-(languages, sources); a large group is spread over its chunks.
+hashed in one task, which emits one node; so many consecutive nodes of these again. What is
+left are the elements of a sparse forest, a commutative monoid (`Forest`): a fragment holds
+nodes by (tree, level, index), and whenever all siblings of a run are there, whose number
+follows from the tree's size, the run becomes its parent. Partitions fold their nodes to
+fragments, and treeReduce merges these to the root. Fragments may meet in any order, so lost
+and repeated tasks change nothing. Proofs go down the same way: each node learns the runs
+above it, from the forest and then from its own chunk, and each chunk of leaves meets the
+one row of its node.
+
+What the driver and the broadcast hold: a node for each 16,777,216 leaves, one for each
+group, and an eighth more; rows never. Groups are meant to be few (languages, sources); a
+large group is spread over its chunks.
 
 Defined results: null fields hash as ``-``. A null key sorts first and a null group comes
 first. Rows with the same key follow their leaves; equal rows have equal leaves, and each
@@ -40,8 +43,8 @@ from pyspark.sql import functions as F
 from vettra.llm.common import ascii_lower, table, written
 
 ARITY = 8
-#: Levels of a tree that one task hashes at once: 8**5 = 32,768 leaves.
-CHUNK_LEVELS = 5
+#: Levels of a tree that one task hashes at once: 8**4 = 4,096 nodes.
+CHUNK_LEVELS = 4
 #: Leaves that a range partition is meant to hold, and the most partitions.
 ROWS_PER_TASK, MOST_TASKS = 65_536, 20_000
 #: The tree over the subroots.
@@ -159,64 +162,94 @@ def placed(leaves: DataFrame) -> DataFrame:
     return both.select(*leaves.columns, F.col("tree").cast("long").alias("tree"), (F.col("at") - F.col("first") + F.col("before")).alias("i"), "n")
 
 
-def hashed(leaves: list[bytes], n: int, most: int) -> list[list[bytes]]:
-    """The levels of a chunk, `most` above its leaves, up to its one node."""
-    levels = [leaves]
-    for _ in range(min(most, height(n))):
+def climbed(nodes: list[bytes], n: int, level: int, most: int) -> list[list[bytes]]:
+    """The levels of a chunk, from its nodes on a level of a tree with n leaves, `most` levels up or to the tree's top."""
+    levels = [nodes]
+    for _ in range(min(most, height(n) - level)):
         below = levels[-1]
         levels.append([digest(below[j : j + ARITY]) for j in range(0, len(below), ARITY)])
     return levels
 
 
-def in_order(chunk: pa.Table) -> pa.Table:
-    return chunk.sort_by("i")
-
-
 def as_bytes(column: pa.ChunkedArray) -> list[bytes]:
-    return [x.encode() for x in column.to_pylist()]
+    return [x if isinstance(x, bytes) else x.encode() for x in column.to_pylist()]
 
 
 def chunk_of(i: str, levels: int) -> Column:
     return F.floor(F.col(i) / ARITY**levels).cast("long").alias("chunk")
 
 
-def forest(rows: DataFrame, chunk_levels: int = CHUNK_LEVELS) -> Forest:
-    """The merged forest of placed leaves: one root, the subroots and the runs above chunks."""
+NODES = "tree long, n long, level long, i long, node binary"
+
+
+def summits(rows: DataFrame, chunk_levels: int) -> DataFrame:
+    """The node over each chunk of nodes (tree, n, level, i, node); finished trees keep theirs."""
+
+    def top(key: tuple, chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("i")
+        (tree, index), n, level = (k.as_py() for k in key), chunk["n"][0].as_py(), chunk["level"][0].as_py()
+        levels = climbed(as_bytes(chunk["node"]), n, level, chunk_levels)
+        return pa.table({"tree": [tree], "n": [n], "level": [level + len(levels) - 1], "i": [index], "node": [levels[-1][0]]})
+
+    return rows.select("tree", chunk_of("i", chunk_levels), "n", "level", "i", "node").groupBy("tree", "chunk").applyInArrow(top, NODES)
 
-    def node(key: tuple, chunk: pa.Table) -> pa.Table:
-        tree, index = (k.as_py() for k in key)
-        n = chunk["n"][0].as_py()
-        levels = hashed(as_bytes(in_order(chunk)["leaf"]), n, chunk_levels)
-        return pa.table({"tree": [tree], "n": [n], "level": [len(levels) - 1], "index": [index], "node": [levels[-1][0]]})
 
-    nodes = rows.select("tree", chunk_of("i", chunk_levels), "n", "i", "leaf").groupBy("tree", "chunk").applyInArrow(node, "tree long, n long, level long, index long, node binary")
-    groups = rows.agg(F.coalesce(F.max("tree") + 1, F.lit(0))).first()[0]
+def as_nodes(rows: DataFrame) -> DataFrame:
+    return rows.select("tree", "n", F.lit(0).cast("long").alias("level"), "i", F.col("leaf").cast("binary").alias("node"))
+
+
+def forest(rows: DataFrame, chunk_levels: int = CHUNK_LEVELS) -> tuple[DataFrame, Forest]:
+    """(nodes over chunks of placed leaves, the merged forest above chunks of these)."""
+    nodes = written(summits(as_nodes(rows), chunk_levels), "manifest-nodes")
+    groups = nodes.agg(F.coalesce(F.max("tree") + 1, F.lit(0))).first()[0]
 
     def fragment(part: Iterator) -> Iterator[Forest]:
         found = Forest(groups)
         for x in part:
-            found.add(x["tree"], x["n"], x["level"], x["index"], bytes(x["node"]))
+            found.add(x["tree"], x["n"], x["level"], x["i"], bytes(x["node"]))
         yield found
 
     if not groups:
-        return Forest(0)
-    return nodes.rdd.mapPartitions(fragment).treeReduce(Forest.merge, depth=3)
+        return nodes, Forest(0)
+    return nodes, summits(nodes, chunk_levels).rdd.mapPartitions(fragment).treeReduce(Forest.merge, depth=3)
+
+
+def ways(nodes: DataFrame, found: Forest, chunk_levels: int) -> DataFrame:
+    """Of each node over a chunk of leaves, the siblings before and after it in every run up to the root."""
+    shared = nodes.sparkSession.sparkContext.broadcast(found)  # see the module's bound
+
+    def lead(key: tuple, chunk: pa.Table) -> pa.Table:
+        (tree, index), whole, chunk = (k.as_py() for k in key), shared.value, chunk.sort_by("i")
+        level = chunk["level"][0].as_py()
+        levels = climbed(as_bytes(chunk["node"]), chunk["n"][0].as_py(), level, chunk_levels)
+        above = [(b"".join(run[:own]), b"".join(run[own + 1 :])) for run, own in whole.above(tree, level + len(levels) - 1, index)]
+        before, after = [], []
+        for j in range(len(levels[0])):
+            way = []
+            for nodes_ in levels[:-1]:
+                first = j - j % ARITY
+                way.append((b"".join(nodes_[first:j]), b"".join(nodes_[j + 1 : first + ARITY])))
+                j //= ARITY
+            before.append([b for b, _ in way + above])
+            after.append([a for _, a in way + above])
+        kind = pa.list_(pa.binary())
+        return pa.table({"tree": chunk["tree"], "chunk": chunk["i"], "before": pa.array(before, kind), "after": pa.array(after, kind), "subroot": [whole.subroots[tree].decode()] * len(before), "root": [whole.root.decode()] * len(before)})
+
+    schema = "tree long, chunk long, before array<binary>, after array<binary>, subroot string, root string"
+    return nodes.select("tree", chunk_of("i", chunk_levels), "n", "level", "i", "node").groupBy("tree", "chunk").applyInArrow(lead, schema)
 
 
 PROOFS = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
-def proofs(rows: DataFrame, found: Forest, claimed: str, chunk_levels: int = CHUNK_LEVELS) -> DataFrame:
+def proofs(rows: DataFrame, nodes: DataFrame, found: Forest, claimed: str, chunk_levels: int = CHUNK_LEVELS) -> DataFrame:
     """Of every placed leaf its roots, the hash of its siblings up to the root, and the root that its claimed leaf folds to with them."""
-    shared = rows.sparkSession.sparkContext.broadcast(found)  # runs above chunks only, see the module's bound
-
-    def prove(key: tuple, chunk: pa.Table) -> pa.Table:
-        (tree, index), whole = (k.as_py() for k in key), shared.value
-        chunk = in_order(chunk)
-        levels = hashed(as_bytes(chunk["leaf"]), chunk["n"][0].as_py(), chunk_levels)
-        way = list(whole.above(tree, len(levels) - 1, index))
-        upper = b"".join(c for run, own in way for k, c in enumerate(run) if k != own)
-        rest = [upper]  # the siblings above each node of a level
+
+    def prove(chunk: pa.Table, way: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("i")
+        levels = climbed(as_bytes(chunk["leaf"]), chunk["n"][0].as_py(), 0, chunk_levels)
+        upper = list(zip(way["before"][0].as_py(), way["after"][0].as_py(), strict=True))
+        rest = [b"".join(x for run in upper for x in run)]  # the siblings above each node of a level
         for level in reversed(levels[:-1]):
             rest = [b"".join((*level[j - j % ARITY : j], *level[j + 1 : j - j % ARITY + ARITY], rest[j // ARITY])) for j in range(len(level))]
         folded = []
@@ -225,26 +258,25 @@ def proofs(rows: DataFrame, found: Forest, claimed: str, chunk_levels: int = CHU
                 first = j - j % ARITY
                 node = digest((*level[first:j], node, *level[j + 1 : first + ARITY]))
                 j //= ARITY
-            for run, own in way:
-                node = digest((*run[:own], node, *run[own + 1 :]))
-            folded.append(node)
-        root, n = whole.root, len(folded)
-        text = lambda values: pa.array([v.decode() for v in values], pa.string())
-        proof = [hashlib.sha256(r).hexdigest() for r in rest]
+            for before, after in upper:
+                node = digest((before, node, after))
+            folded.append(node.decode())
+        n, root = len(folded), way["root"][0].as_py()
         return pa.table({
-            "doc_id": chunk["key"], "leaf": chunk["leaf"], "subroot": text([whole.subroots[tree]] * n), "root": text([root] * n),
-            "proof_sha256": pa.array(proof, pa.string()), "folded_root": text(folded), "verified": pa.array([f == root for f in folded], pa.bool_()),
+            "doc_id": chunk["key"], "leaf": chunk["leaf"], "subroot": [way["subroot"][0].as_py()] * n, "root": [root] * n,
+            "proof_sha256": [hashlib.sha256(r).hexdigest() for r in rest], "folded_root": folded, "verified": [f == root for f in folded],
         })
 
-    return rows.select("tree", chunk_of("i", chunk_levels), "n", "i", "key", "leaf", F.col(claimed).alias("claimed")).groupBy("tree", "chunk").applyInArrow(prove, PROOFS)
+    leaves = rows.select("tree", chunk_of("i", chunk_levels), "n", "i", "key", "leaf", F.col(claimed).alias("claimed"))
+    return leaves.groupBy("tree", "chunk").cogroup(ways(nodes, found, chunk_levels).groupBy("tree", "chunk")).applyInArrow(prove, PROOFS)
 
 
-def manifest(docs: DataFrame, key: str = "doc_id", group: str = "lang", fields: Iterable[str] = FIELDS, claimed: Column | None = None, chunk_levels: int = CHUNK_LEVELS) -> tuple[DataFrame, Forest]:
-    """(placed leaves, forest) of a table: the leaves are written with key, group, leaf and the claimed leaf (by default the leaf itself)."""
+def manifest(docs: DataFrame, key: str = "doc_id", group: str = "lang", fields: Iterable[str] = FIELDS, claimed: Column | None = None, chunk_levels: int = CHUNK_LEVELS) -> tuple[DataFrame, DataFrame, Forest]:
+    """(placed leaves, nodes over their chunks, forest) of a table: the leaves are written with key, group, leaf and the claimed leaf (by default the leaf itself)."""
     own = leaf(docs, fields)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{group}`").alias("grp"), own.alias("leaf"), (own if claimed is None else claimed).alias("claimed"))
     rows = placed(rows)
-    return rows, forest(rows, chunk_levels)
+    return rows, *forest(rows, chunk_levels)
 
 
 def subroots(rows: DataFrame, found: Forest) -> DataFrame:
@@ -262,8 +294,8 @@ def tampered(docs: DataFrame) -> Column:
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and whether its text, tampered with in a third of them, still folds to the root."""
     docs = table(spark, sf_dir, "documents")
-    rows, found = manifest(docs, claimed=tampered(docs))
-    return proofs(rows, found, "claimed")
+    rows, nodes, found = manifest(docs, claimed=tampered(docs))
+    return proofs(rows, nodes, found, "claimed")
 
 
 #: Levels of a tree that the SQL unrolls: up to 8**8 documents a language and languages.
