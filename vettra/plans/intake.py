@@ -134,6 +134,17 @@ def face_mismatches(spark, sf):
     return faces.face_findings(shown.join(e, "vec_id"), 0.015, 400.0)
 
 
+# ---- values that a text layer must not hide
+@query(queries.sql("docs", "entities") + """ SELECT doc_id, CASE doc_type WHEN 'form16' THEN concat_ws(',', gross_income::BIGINT, tax_paid::BIGINT) WHEN 'salary_slip' THEN net_monthly::BIGINT::VARCHAR WHEN 'sale_deed' THEN consideration::BIGINT::VARCHAR ELSE valuation_amount::BIGINT::VARCHAR END AS money, coalesce(pan, '') AS pans
+FROM entities WHERE doc_type IN ('form16', 'salary_slip', 'sale_deed', 'property_valuation')""")
+def sensitive_tokens(spark, sf):
+    """Amounts of four digits or more and account numbers in the texts of documents that hold money, without the comma that may follow."""
+    texts = lending.texts(lending.documents(spark, sf)).where("doc_type IN ('form16', 'salary_slip', 'sale_deed', 'property_valuation')")
+    text = F.concat(F.regexp_replace("text", r"(Rs\. [\d,]+)", "$1, "), F.lit("\nfee Rs. 12"))
+    money = F.map_keys(forensics.sensitive_money(text))
+    return texts.select("doc_id", F.array_join(money, ",").alias("money"), F.array_join(forensics.sensitive_pans(F.col("text")), ",").alias("pans"))
+
+
 # ---- templates
 @query(queries.sql("docs") + f""", pagesof AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS page, count(DISTINCT l_returnflag) AS fonts, count(DISTINCT l_discount) AS images, count(*) FILTER ({lending.WHITE}) AS drawings FROM lineitem GROUP BY ALL),
 marks AS (SELECT left(sha256(producer || '|' || count(*) || '|' || string_agg(page || ',' || fonts || ',' || images || ',' || drawings, ';' ORDER BY page)), 32) AS fingerprint FROM docs JOIN pagesof USING (doc_id) GROUP BY doc_id, producer)

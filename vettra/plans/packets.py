@@ -61,7 +61,8 @@ RULES = (*ENTITIES, "last", "registries", "wide", "semantic")
 
 # ---- the Spark side, from the written documents of all packets
 def semantic(spark, sf, docs):
-    one = rules.by_packet(ordered.last_per_type(lending.entities(docs))).join(lending.applications(docs), "packet_id")
+    placed = lending.entities(docs).repartition("packet_id")  # the window, the grouping and the join after it need no other exchange
+    one = rules.by_packet(ordered.last_per_type(placed)).join(lending.applications(docs), "packet_id")
     return rules.findings(rules.with_registries(one, *lending.registries(spark, sf, docs)))
 
 

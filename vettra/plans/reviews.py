@@ -220,11 +220,12 @@ def scalar_misc(spark, sf):
     )
 
 
-@query("SELECT c_custkey AS k, true AS valid FROM customer")
+@query("SELECT c_custkey AS k, c_nationkey <> 3 AS valid FROM customer")
 def check_digits(spark, sf):
-    """Every number with its generated check digit validates."""
+    """Every number with its generated check digit validates; those of one nation have the next digit and don't."""
     n = F.concat(F.lit("2"), F.lpad(F.col("c_custkey").cast("string"), 10, "0"))
-    valid = scalars.verhoeff_valid(F.concat(n, scalars.verhoeff_digit(n).cast("string")))
+    digit = scalars.verhoeff_digit(n)
+    valid = scalars.verhoeff_valid(F.concat(n, F.when(F.col("c_nationkey") == 3, (digit + 1) % 10).otherwise(digit).cast("string")))
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), valid.alias("valid"))
 
 

@@ -105,12 +105,12 @@ def unnest_charges(spark, sf):
     return charges_on(registry, "pan", "charges", F.lit(7)).select("pan", "charge_doc", "amount")
 
 
-REQUIRED = """kinds AS (SELECT DISTINCT event_type FROM events), have AS (SELECT DISTINCT user_id, event_type FROM events),
+REQUIRED = """kinds AS (SELECT DISTINCT event_type FROM events), have AS (SELECT DISTINCT user_id, event_type FROM events WHERE value >= 60),
 wanted AS (SELECT DISTINCT user_id, k.event_type FROM events, kinds k)"""
 
 
 def _slots(spark, sf):
-    have = table(spark, sf, "events").select("user_id", "event_type").distinct()
+    have = table(spark, sf, "events").where("value >= 60").select("user_id", "event_type").distinct()  # documents that are ok
     kinds = table(spark, sf, "events").agg(F.array_sort(F.collect_set("event_type")).alias("kinds"))  # a handful of slots
     users = table(spark, sf, "events").select("user_id").distinct()
     return users.withColumn("event_type", F.explode(kinds.scalar())), have

@@ -73,11 +73,12 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{p['path']}" for p in parts))
 
-    def _written(self, df: DataFrame, only: list[int] | None = None) -> list[dict]:
-        """df's rows as parts, one for each bucket that has some (or is named)."""
+    def _written(self, df: DataFrame) -> list[dict]:
+        """df's rows as parts, one for each bucket that has some."""
         folder = f"data/{uuid.uuid4().hex}"
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        df.withColumn("__bucket", bucket).repartition(self.buckets, "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+        # by range, so that a task has one bucket or two and a large bucket has many tasks
+        df.withColumn("__bucket", bucket).repartitionByRange("__bucket", F.xxhash64(*self.keys)).write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
         fs, path = self._fs()
         found = [s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/{folder}"))]
         schema = json.loads(df.schema.json())
