@@ -167,6 +167,9 @@ def test_pages_without_marks_or_whole_markup():
     assert blocks("<article>a<p>b <b unclosed='") == ["a", "b"]
     assert blocks("plain &amp;amp; text") == ["plain &amp; text"]
     assert blocks('<div class="no-sidebar content"><p>x</p></div><div class="comments">y</div>') == ["x"]
+    assert blocks('<article><header><h1>T</h1><span>by A</span></header><div class="post-header"><div><h2>S</h2></div><p>posted today</p></div><p>x</p><header>late</header></article>') == ["T", "S", "x"]
+    assert blocks('<article><p>x</p><ol class="commentlist"><li>y</li></ol><section class="commentary"><p>z</p></section><div id="cookieBar">c</div></article>') == ["x", "z"]
+    assert blocks('<body><div class="page-header">h</div><article><p>x</p></article></body>') == ["x"]
     assert blocks("<article><script>unclosed <p>x</p>") == [] and blocks("") == [] and blocks(None) == []
     assert blocks('<main><div class="notice"><p>All there is</p></div></main>') == ["All there is"]
 

@@ -19,7 +19,8 @@ On unmarked pages lines that are mostly links, as of menus, count nothing either
 The distribution of a batch of pages is computed at once, as arrays, with blank lines
 between the pages.
 
-Known by element, role or by a word of class or id; FIXED values below. Names of the form
+Known by element, role or by a word of class or id; FIXED values below. An article's own
+header keeps its headings. Names of the form
 has-…, with-… and no-… say nothing about the element itself. A page of which nothing is
 left is read again without the words of class and id.
 
@@ -59,6 +60,8 @@ SKIPPED_NAMES = frozenset(
     "notice notices notification notifications outbrain pager pagination paywall popup promo promoted promotion recommendations recommended related replies reply respond sharing share shares sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar trending widget".split()
 )
 CONTENT_NAMES = frozenset("article articlebody articlecontent articletext content entry entrycontent maincontent maintext postbody postcontent posttext story storybody".split())
+STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "masthead", "navbar", "newsletter", "sidebar", "sponsor", "subscri")
+WRITING = frozenset("commentary commentaries".split())
 PREFIXES = frozenset("has with no without is show".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
@@ -92,7 +95,16 @@ def skipped(name: str, attrs: dict[str, str], by_names: bool) -> bool:
         return True
     if not by_names or name in HEADINGS or name in ("html", "body", "main"):
         return False
-    return any(words and words[0] not in PREFIXES and not SKIPPED_NAMES.isdisjoint(words) for words in names_of(attrs))
+    return any(words and words[0] not in PREFIXES and any(out_of_text(w) for w in words) for words in names_of(attrs))
+
+
+def out_of_text(word: str) -> bool:
+    return word in SKIPPED_NAMES or (word.startswith(STEMS) and word not in WRITING)
+
+
+def heads(name: str, attrs: dict[str, str]) -> bool:
+    """Whether an element is a header, by itself or by its name alone."""
+    return name == "header" or (name in CONTAINER and name not in SKIPPED and {w for words in names_of(attrs) for w in words if out_of_text(w)} == {"header"})
 
 
 def mark_of(name: str, attrs: dict[str, str]) -> int:
@@ -107,7 +119,7 @@ def mark_of(name: str, attrs: dict[str, str]) -> int:
 def lines_of(page: str, by_names: bool = True) -> list[tuple[str, int, bool]]:
     """The page's lines, blank ones included: (text, highest mark around it, whether most of it are links)."""
     lines: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, int, int]] = []  # (element, skipped elements around it, mark around it)
+    stack: list[tuple[str, int, int, bool]] = []  # (element, skipped elements around it, mark around it, whether it is an article's own header)
     pending: list[str] = []
     out = mark = linked = 0
 
@@ -128,7 +140,7 @@ def lines_of(page: str, by_names: bool = True) -> list[tuple[str, int, bool]]:
         m = TOKEN.match(page, at, whole)
         at = m.end()
         if m["text"] is not None:
-            if not out:
+            if not out and not (stack and stack[-1][3]):
                 pending.append(m["text"])
                 linked += len(m["text"]) if opened["a"] else 0
             continue
@@ -152,8 +164,8 @@ def lines_of(page: str, by_names: bool = True) -> list[tuple[str, int, bool]]:
             hid = out > stack[depth][1]
             if name not in INLINE or hid:
                 end_line(WINDOW if hid and not stack[depth][1] else name in CONTAINER)
-            _, out, mark = stack[depth]
-            opened.subtract(x for x, _, _ in stack[depth:])
+            _, out, mark, _ = stack[depth]
+            opened.subtract(x[0] for x in stack[depth:])
             del stack[depth:]
             continue
         if name in RAW:  # its content is no markup
@@ -164,12 +176,14 @@ def lines_of(page: str, by_names: bool = True) -> list[tuple[str, int, bool]]:
                 pending.append(" ")
         elif name not in VOID:
             attrs = attributes(m["attrs"])
-            hide = skipped(name, attrs, by_names) and not (name == "header" and mark == 3)
-            if mark == 3 and stack and stack[-1][0] == "header" and name not in HEADINGS:
-                hide = True  # of an article's own header only headings are text
+            hide = skipped(name, attrs, by_names)
+            own_header = hide and mark == 3 and heads(name, attrs)
+            hide = hide and not own_header
+            if mark == 3 and stack and stack[-1][3] and name not in HEADINGS:
+                hide, own_header = not (own_header or name == "div"), True  # of an article's own header only headings are text
             if name not in INLINE or hide:
                 end_line(WINDOW if hide and not out else name in CONTAINER)
-            stack.append((name, out, mark))
+            stack.append((name, out, mark, own_header))
             opened[name] += 1
             out += hide
             mark = mark if out else max(mark, mark_of(name, attrs))
