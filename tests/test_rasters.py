@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vettra.operators import clones, linkage, masks, pixels
+from vettra.operators import clones, grids, linkage, masks, pixels
 
 
 def points(spark, *images):
@@ -148,3 +148,15 @@ def test_error_levels_and_ghosts(spark):
     curves = [(1, q, y, x, abs(q - (55 if y == 3 and x < 4 else 85)) / 10) for q in (55, 65, 75, 85, 95) for y in range(6) for x in range(6)] + [(2, q, 0, 0, 1.0) for q in (55, 65)]
     got = pixels.ghost_regions(spark.createDataFrame(curves, "k int, quality int, gy int, gx int, difference double"), "k").collect()
     assert [(r.k, r.n, r.y0, r.x0, r.y1, r.x1, r.quality, r.strength) for r in got] == [(1, 4, 3, 0, 3, 3, 55, 0.4)]
+
+
+def test_peaks_against_a_search(spark):
+    a = np.random.default_rng(6).integers(0, 6, (12, 15)).astype(float)
+    cells = points(spark, a).select("k", F.col("y").alias("gy"), F.col("x").alias("gx"), "v")
+    want = []
+    for y, x in np.ndindex(a.shape):
+        near = [(a[i, j], -i, -j) for i in range(max(0, y - 2), min(12, y + 3)) for j in range(max(0, x - 2), min(15, x + 3))]
+        if a[y, x] >= 3 and max(near) == (a[y, x], -y, -x):
+            want.append((-a[y, x], y, x))
+    got = grids.peaks(cells, "k", 2, 3.0).orderBy("place").collect()
+    assert [(-r.v, r.gy, r.gx) for r in got] == sorted(want) and [r.place for r in got] == list(range(1, len(want) + 1))

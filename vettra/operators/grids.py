@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,6 +75,20 @@ def components(marked: DataFrame, key: str) -> DataFrame:
     return labelled(marked, key).groupBy(key, "root_y", "root_x").agg(F.count(F.lit(1)).cast("int").alias("n"), *box())
 
 
+def peaks(cells: DataFrame, key: str, reach: int, least: float) -> DataFrame:
+    """(key, place, gy, gx, v): cells of at least `least` that no cell within `reach` rows and columns exceeds, numbered from the highest.
+
+    Of equal neighbours the first by (gy, gx) stands. cells: (key, gy, gx, v); missing cells hide nothing.
+    """
+    rank = F.struct("v", (-F.col("gy")).alias("y"), (-F.col("gx")).alias("x"))
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    around = cells.select(key, "gy", "gx", rank.alias("r"), F.explode(steps).alias("dy")).select(key, "gy", "gx", "r", "dy", F.explode(steps).alias("dx"))
+    seen = around.groupBy(key, (F.col("gy") + F.col("dy")).alias("gy"), (F.col("gx") + F.col("dx")).alias("gx")).agg(F.max("r").alias("top"))
+    top = cells.join(seen, [key, "gy", "gx"]).where((rank == F.col("top")) & (F.col("v") >= least))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("v"), "gy", "gx"))
+    return top.select(key, place.alias("place"), "gy", "gx", "v")
+
+
 def spectrum_peaks(signals: DataFrame, key: str, values: str, limit: int = 28, window: int = 2) -> DataFrame:
     """(key, place, bin, level): peaks of a windowed log spectrum, each hiding its neighbours."""
 

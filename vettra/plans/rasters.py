@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vettra.operators import clones, masks, pixels
+from vettra.operators import clones, grids, masks, pixels
 from vettra.sources.shared import written
 from vettra.sources.tables import table
 
@@ -49,6 +49,15 @@ def copied_regions(spark, sf):
     return clones.copied_regions(points, "image", block=8, reach=4)
 
 
+@query(f"""WITH {CTE['mosaic']}, b AS (SELECT image, y // 4 AS gy, x // 4 AS gx, round(avg(v), 4) AS v FROM mosaic GROUP BY ALL HAVING count(*) = 16),
+top AS (SELECT * FROM b a WHERE v >= 140 AND NOT EXISTS (SELECT 1 FROM b o WHERE o.image = a.image AND abs(o.gy - a.gy) <= 2 AND abs(o.gx - a.gx) <= 2 AND (o.v > a.v OR (o.v = a.v AND (o.gy < a.gy OR (o.gy = a.gy AND o.gx < a.gx))))))
+SELECT image, row_number() OVER (PARTITION BY image ORDER BY v DESC, gy, gx) AS place, gy, gx, v FROM top""")
+def grid_peaks(spark, sf):
+    """Blocks that are brighter than all within two rows and columns."""
+    blocks = pixels.whole_blocks(mosaic(spark, sf).drop("label"), "image", 4).groupBy("image", "gy", "gx").agg(F.round(F.avg("v"), 4).alias("v"))
+    return grids.peaks(blocks, "image", 2, 140.0)
+
+
 _TILES = masks.tile_starts(64, 16)
 
 
