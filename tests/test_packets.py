@@ -108,3 +108,18 @@ def test_ocr_findings_are_no_features(spark):
     got = {r.packet_id: r for r in packets.feature_vector(p, f, s, b).collect()}
     assert (got[1].n_forensic_total, got[1].has_font_inconsistency, got[1].has_whitebox_edit, got[1].doc_count) == (1.0, 1.0, 0.0, 4.0)
     assert sum(got[2][1:]) == 0
+
+
+def test_packets_of_every_kind(spark):
+    """The driver tables' packets exercise the decision: every action, rule and finding, graph risk, and no constant feature."""
+    from vettra.functions import fixed
+    from vettra.plans import catalogue
+
+    sf = "/root/testdata/sf0.01"
+    found = catalogue.QUERIES["score_driver"](spark, sf).groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.max("graph_risk").alias("g")).collect()
+    total = sum(r.n for r in found)
+    assert {r.action for r in found} == {"approve", "manual_review", "freeze"} and all(r.n >= 0.05 * total for r in found) and max(r.g for r in found) > 0
+    values = catalogue.QUERIES["feature_vector"](spark, sf).agg(*(F.count_distinct(n).alias(n) for n in fixed.FEATURES)).first().asDict()
+    assert all(n > 1 for n in values.values()), values
+    assert {r.rule for r in catalogue.QUERIES["packet_rules_all"](spark, sf).select("rule").distinct().collect()} == set(fixed.RULES)
+    assert catalogue.QUERIES["packet_document_findings"](spark, sf).select("title").distinct().count() == 9

@@ -60,8 +60,9 @@ RULES = (*ENTITIES, "last", "registries", "wide", "semantic")
 
 
 # ---- the Spark side, from the written documents of all packets
-def semantic(spark, sf, docs):
-    placed = lending.entities(docs).repartition("packet_id")  # the window, the grouping and the join after it need no other exchange
+def semantic(spark, sf, docs, found=None):
+    """What the rules find; found: the documents' entities where they are written already."""
+    placed = (lending.entities(docs) if found is None else found).repartition("packet_id")  # the window, the grouping and the join after it need no other exchange
     one = rules.by_packet(ordered.last_per_type(placed)).join(lending.applications(docs), "packet_id")
     return rules.findings(rules.with_registries(one, *lending.registries(spark, sf, docs)))
 
@@ -192,10 +193,10 @@ def evidence_rows(spark, sf, docs, found, marks):
     return one(marks, "forensic").unionByName(one(found, "semantic")).unionByName(one(links, "graph"))
 
 
-def decisions(spark, sf, docs=None, scored=scores, more=None):
+def decisions(spark, sf, docs=None, scored=scores, more=None, entities=None):
     """Decisions of all packets, from their texts on; scored: features -> (packet_id, probability, anomaly). `more` evidence sets no feature."""
     docs = lending.stored_documents(spark, sf) if docs is None else docs
-    found, marks = written(semantic(spark, sf, docs), "rules"), written(lending.forensic(spark, sf, docs), "findings")  # each feeds features and evidence
+    found, marks = written(semantic(spark, sf, docs, entities), "rules"), written(lending.forensic(spark, sf, docs), "findings")  # each feeds features and evidence
     vector = written(packets.feature_vector(docs, marks, found, underwriting.behaviour(docs)), "features")
     rows = evidence_rows(spark, sf, docs, found, marks)
     return packets.packet_decision(docs, rows if more is None else rows.unionByName(more), scored(vector))
@@ -223,9 +224,9 @@ def verification_driver(spark, sf):
     return out.select("packet_id", "complete", F.array_join("missing", ",").alias("missing"), "kyc", "reconciled", "penalty", "eligibility", "foir", "ltv")
 
 
-def verified(docs):
+def verified(docs, entities=None):
     """The verification block of every packet; scans of one line that are still pending are not ok."""
-    e = lending.entities(docs).withColumns({"ok": (F.col("n_lines") > 1) | (F.col("status") != "P"), "slot": F.when(F.col("doc_type") == "identity", "pan").otherwise(F.col("doc_type")), "aadhaar_valid": F.lit(None).cast("boolean")})
+    e = (lending.entities(docs) if entities is None else entities).withColumns({"ok": (F.col("n_lines") > 1) | (F.col("status") != "P"), "slot": F.when(F.col("doc_type") == "identity", "pan").otherwise(F.col("doc_type")), "aadhaar_valid": F.lit(None).cast("boolean")})
     return packets.verification(lending.applications(docs), e, "salaried_loan")
 
 

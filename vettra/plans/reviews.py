@@ -10,6 +10,7 @@ from vettra.operators import evaluation, forensics, grids, linkage, pixels, revi
 from vettra.operators import evidence as ev
 from vettra.plans import lending, packets, view
 from vettra.plans.documents import _BOX_SQL, _boxes, lit
+from vettra.sources.shared import written
 from vettra.sources.tables import load_files, table, text_or_ocr
 
 QUERIES: dict = {}
@@ -443,8 +444,9 @@ def roc_report(spark, sf):
 def case_submissions(spark, sf):
     """Every packet as a submitted case: scored, verified, and the verification folded into the decision."""
     docs = lending.stored_documents(spark, sf)
-    block = packets.verified(docs).select("packet_id", F.col("penalty").alias("points"))
-    decided = ev.checked_decisions(packets.decisions(spark, sf, docs)).join(block, "packet_id")
+    e = written(lending.entities(docs), "entities")  # rules and verification each read them
+    block = packets.verified(docs, e).select("packet_id", F.col("penalty").alias("points"))
+    decided = ev.checked_decisions(packets.decisions(spark, sf, docs, entities=e)).join(block, "packet_id")
     out = ev.folded(decided, F.col("points"))
     return out.select("packet_id", ev.row_id("case", F.lit("packet"), "packet_id").alias("case_id"), "penalty", "final_trust", "final_action")
 

@@ -71,14 +71,14 @@ def case_store(spark, sf):
     """Every packet submitted as a case with its documents, submitted again, and read back from the store."""
     docs = lending.stored_documents(spark, sf)
     folder = fresh_path(spark, "store")
-    block = packets.verified(docs).select("packet_id", F.col("penalty").alias("points"))
-    decided = ev.folded(ev.checked_decisions(packets.decisions(spark, sf, docs)).join(block, "packet_id"), F.col("points"))
+    e = written(lending.entities(docs), "entities")  # rules, verification and the stored fields each read them
+    block = packets.verified(docs, e).select("packet_id", F.col("penalty").alias("points"))
+    decided = ev.folded(ev.checked_decisions(packets.decisions(spark, sf, docs, entities=e)).join(block, "packet_id"), F.col("points"))
     decision = F.to_json(F.struct("packet_id", "final_action", "chain"))
     rows = decided.join(lending.applications(docs), "packet_id").select(
         "packet_id", ev.row_id("usr", "applicant_pan").alias("user_id"), F.lit("salaried_loan").alias("purpose"), F.col("final_trust").alias("trust_score"), F.col("final_action").alias("action"),
         decision.alias("decision"), F.to_json(F.struct("penalty")).alias("verification"), "loan_amount", F.lit(fixed.TENURE_MONTHS).alias("tenure_months"),
     )
-    e = lending.entities(docs)
     files = e.select("packet_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), "doc_type", F.to_json(F.struct("name", "pan", "property_id")).alias("fields"))
     rows, files = written(rows, "rows"), written(files, "files")
     for token in ("monday", "monday", "tuesday"):

@@ -61,7 +61,12 @@ class Store:
         number = known[-1] if number is None and known else number or 0
         if not number:
             return Version()
-        return Version(**json.loads(self.spark.read.text(f"{self.path}/_versions/{number:08}.json", wholetext=True).first()[0]))
+        fs, path = self._fs()
+        source = fs.open(path(f"{self.path}/_versions/{number:08}.json"))
+        try:
+            return Version(**json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")))
+        finally:
+            source.close()
 
     def read(self, number: int | None = None, empty: T.StructType | None = None) -> DataFrame:
         """The rows of a version. A table that was never written has the schema `empty`, or no columns."""
