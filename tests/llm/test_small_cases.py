@@ -245,6 +245,19 @@ def test_token_ids_of_odd_texts():
         assert np.frombuffer(encoder.encode(t.encode()), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_other_tokenizers_are_asked_for_whole_texts():
+    """A tokenizer that keeps case and white space: its ids don't come from pieces."""
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_records.PieceEncoder(path)
+    assert encoder.whole and not token_records.PieceEncoder(public_tokenizers.path("word_bpe_49k.json")).whole
+    for text in ("", "  Two  Words\n", "don't STOP", "é ü 中文 \x01", LONG):
+        assert array(encoder.kind, encoder.encode(text.encode())).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_damaged_records_are_found():
     data = bytearray(b"".join(token_records.frame(b"abcd")))
     assert token_records.unframe(bytes(data), 0) == b"abcd"

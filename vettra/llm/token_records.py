@@ -25,6 +25,7 @@ gives an empty manifest; texts of any length make one record each; other columns
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -88,17 +89,36 @@ class Known(dict):
         return found
 
 
+# What a tokenizer's file says if texts may be cut into pieces, and the special tokens begin with MARK
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+MARK = "<|"
+
+
+def cuts_in_pieces(config: dict) -> bool:
+    """Whether a tokenizer is a byte-level BPE that lower-cases, drops white space and marks the ends of words."""
+    before, model = config.get("pre_tokenizer") or {}, config.get("model") or {}
+    steps = before.get("pretokenizers") or [{}, {}]
+    split = steps[0].get("pattern", {}).get("Regex") == PRE_TOKEN and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
+    byte_level = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex", True)
+    bpe = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not (model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges"))
+    special = all(t["content"].startswith(MARK) for t in config.get("added_tokens") or ())
+    return (config.get("normalizer") or {}).get("normalizers") == NORMALIZERS and split and byte_level and bpe and special
+
+
 class PieceEncoder:
     """Ids of whole texts as packed integers, through a bounded cache of pieces of texts.
 
     For byte-level BPE tokenizers that lower-case, drop white space and mark the ends of
     words. Words of letters are one pre-token each, so that only the model is asked for them.
+    Of any other tokenizer the library encodes each text whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.whole = not cuts_in_pieces(json.loads(self.tokenizer.to_str()))
         self.merge = self.tokenizer.model.tokenize
         self.width = 2 if max(self.tokenizer.get_vocab().values()) < 65_536 else 4
         self.kind = "H" if self.width == 2 else "I"
@@ -109,6 +129,8 @@ class PieceEncoder:
         self.older: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
+        if self.whole:
+            return array(self.kind, self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
         if len(self.known) > CACHE_PIECES:
             self.older, self.known = self.known, Known(self.learn)
         # "<|" may begin a special token, whose case counts
