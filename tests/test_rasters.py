@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vettra.operators import clones, grids, linkage, masks, pixels
+from vettra.operators import boxes, clones, grids, linkage, masks, pixels
+from vettra.plans import catalogue
 
 
 def points(spark, *images):
@@ -160,3 +161,29 @@ def test_peaks_against_a_search(spark):
             want.append((-a[y, x], y, x))
     got = grids.peaks(cells, "k", 2, 3.0).orderBy("place").collect()
     assert [(-r.v, r.gy, r.gx) for r in got] == sorted(want) and [r.place for r in got] == list(range(1, len(want) + 1))
+
+
+def test_boxes_in_few_held_cells():
+    """Areas and cells of boxes, held whole or a few at a time, far apart or not, are those of sets of cells; work is cut inside a group as well."""
+    rng = np.random.default_rng(11)
+    for far in (1, 4000):
+        row = np.sort(rng.integers(0, 7, 60))
+        low = rng.integers(0, 12, (60, 2)) * far
+        box = np.column_stack([low, low + rng.integers(0, 7, (60, 2))]).astype(float)
+        kept = (box[:, 0] < box[:, 2]) & (box[:, 1] < box[:, 3])
+        row, box, side = row[kept], box[kept], rng.integers(0, 2, 60)[kept]
+        sets = [[{(x, y) for k, (x0, y0, x1, y1) in zip(row, box) if k == i for x in range(int(x0), int(x1)) for y in range(int(y0), int(y1))} for i in range(8)], *(
+            [{(x, y) for k, c, (x0, y0, x1, y1) in zip(row, side, box) if k == i and c == s for x in range(int(x0), int(x1)) for y in range(int(y0), int(y1))} for i in range(8)] for s in (0, 1))]
+        for held in (1, 10, 10_000_000):
+            assert boxes.union_areas(row, box, 8, held).tolist() == [len(s) for s in sets[0]]
+            got = list(boxes.shared_cells(*((row[side == s], box[side == s]) for s in (0, 1)), 8, held))
+            assert [lo for lo, *_ in got] == [0, *(hi for _, hi, *_ in got[:-1])] and got[-1][1] == 8
+            assert np.concatenate([b for _, _, b, _ in got]).tolist() == [len(a & b) for a, b in zip(*sets[1:])]
+            assert np.concatenate([e for *_, e in got]).tolist() == [len(a | b) for a, b in zip(*sets[1:])]
+
+
+def test_masks_meet_in_one_exchange(spark):
+    """Boxes are sent, not the cells under them: a page's masks are made where its boxes meet."""
+    for name in ("mask_cells_iou", "mask_cells_iou_all"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan

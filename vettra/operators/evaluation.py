@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vettra.operators import boxes
 from vettra.sources.shared import written
 
 
@@ -46,24 +51,30 @@ def iou(a: DataFrame, b: DataFrame, group: list[str], cell: list[str]) -> DataFr
     return both.groupBy(*group).agg(F.round(F.count_if(F.col("in_a").isNotNull() & F.col("in_b").isNotNull()) / F.count(F.lit(1)), 6).alias("iou"))
 
 
-def box_area(boxes: Column) -> Column:
-    """The area that (x0, y0, x1, y1) boxes cover together: slabs between their x edges, each with the union of its y intervals."""
-    edges = F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b["x0"].cast("double")), F.transform(boxes, lambda b: b["x1"].cast("double")))))
-    zero = F.lit(0.0)
+def cell_iou(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Intersection over union of the sets of cells under two arrays of boxes with whole corners; keys without any cell have no row."""
 
-    def height(x: Column) -> Column:
-        spans = F.array_sort(F.transform(F.filter(boxes, lambda b: (b["x0"] <= x) & (x < b["x1"]) & (b["y0"] < b["y1"])), lambda b: F.struct(b["y0"].cast("double").alias("lo"), b["y1"].cast("double").alias("hi"))))
-        start = F.struct(zero.alias("n"), F.lit(float("-inf")).alias("end"))
-        return F.aggregate(spans, start, lambda s, y: F.struct((s["n"] + F.greatest(zero, y["hi"] - F.greatest(y["lo"], s["end"]))).alias("n"), F.greatest(s["end"], y["hi"]).alias("end")))["n"]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(shared, every) for _, _, shared, every in boxes.shared_cells(boxes.flat(batch[a]), boxes.flat(batch[b]), batch.num_rows)] or [(np.zeros(0, np.int64),) * 2]
+            shared, every = (pa.array(np.concatenate(c)) for c in zip(*found))
+            yield pa.RecordBatch.from_arrays([batch[key], shared, every], [key, "shared", "every"])
 
-    slabs = F.zip_with(F.slice(edges, 1, F.greatest(F.size(edges) - 1, F.lit(0))), F.slice(edges, 2, F.greatest(F.size(edges) - 1, F.lit(0))), lambda a, b: (b - a) * height(a))
-    return F.aggregate(F.coalesce(slabs, F.array().cast("array<double>")), zero, lambda s, v: s + v)
+    counts = rows.select(key, a, b).mapInArrow(count, f"{key} {dict(rows.dtypes)[key]}, shared long, every long")
+    return counts.where("every > 0").select(key, F.round(F.col("shared") / F.col("every"), 6).alias("iou"))
 
 
 def box_iou(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Intersection over union of the masks of two arrays of boxes; missing arrays are empty, and 0 without any area."""
-    none = lambda c: F.coalesce(F.col(c), F.slice(F.coalesce(a, b), 1, 0))
-    areas = rows.select(key, box_area(none(a)).alias("p"), box_area(none(b)).alias("q"), box_area(F.concat(none(a), none(b))).alias("u"))
+    """Intersection over union of the masks of two arrays of boxes, by the areas that they cover; missing arrays are empty, and 0 without any area."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other, n = boxes.flat(batch[a]), boxes.flat(batch[b]), batch.num_rows
+            both = tuple(np.concatenate(c) for c in zip(one, other, strict=True))
+            areas = [pa.array(boxes.union_areas(*side, n)) for side in (one, other, both)]
+            yield pa.RecordBatch.from_arrays([batch[key], *areas], [key, "p", "q", "u"])
+
+    areas = rows.select(key, a, b).mapInArrow(measure, f"{key} {dict(rows.dtypes)[key]}, p double, q double, u double")
     return areas.select(key, F.round(F.coalesce(F.try_divide(F.col("p") + F.col("q") - F.col("u"), "u"), F.lit(0.0)), 6).alias("iou"))
 
 
