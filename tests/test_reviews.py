@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from vettra.functions import scalars
 from vettra.operators import documents, evaluation, faces, forensics, grids, isolation, packets, review
+from vettra.operators import evidence as ev
 from vettra.sources import models, tables
 
 
@@ -303,3 +304,14 @@ def test_one_finding_for_each_packet(spark):
     df = spark.createDataFrame(rows, "packet_id int, doc_id int, sharpness double, x0 double, y0 double, x1 double, y1 double, place int, embedding array<double>")
     got = faces.face_findings(df, 1.0, 400.0).collect()
     assert [(r.packet_id, r.n_faces, r.n_pairs, r.distance, r.doc_a, r.doc_b) for r in got] == [(1, 3, 2, 1.0, 1, 2)]
+
+
+def test_tenths_as_sql_rounds_them(spark):
+    """Scores next to a half, over all risks of four places, round as the SQL's doubles do."""
+    import duckdb
+
+    got = spark.range(10_001).select(ev.by_tenfold(100 * (1 - F.col("id") / 10_000)).alias("t"), ev.by_tenfold(F.col("id") / 100 - 18.0).alias("u")).collect()
+    want = duckdb.sql("SELECT round(100 * (1 - id / 10000::DOUBLE), 1), round(id / 100::DOUBLE - 18::DOUBLE, 1) FROM range(10001) t(id) ORDER BY id").fetchall()
+    assert [tuple(r) for r in got] == want
+    rows = spark.createDataFrame([(0.6995, False)], "risk double, critical boolean")
+    assert rows.select(ev.trust(F.col("risk"), F.col("critical"), ev.by_tenfold).alias("t")).first().t == 30.1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,28 +78,38 @@ def channels(evidence: DataFrame) -> DataFrame:
     )
 
 
-def trust(risk: Column, critical: Column) -> Column:
+def by_digits(x: Column) -> Column:
+    """x to one place, halves up by its decimal digits."""
+    return F.round(x, 1)
+
+
+def by_tenfold(x: Column) -> Column:
+    """x to one place by its tenfold, as SQL rounds doubles: 30.049999999999997 is 30.1, as ten times it is 300.5."""
+    return F.round(x * 10) / 10
+
+
+def trust(risk: Column, critical: Column, rounded: Callable[[Column], Column] = by_digits) -> Column:
     t = F.when(critical, F.least(100 * (1 - risk), F.lit(fixed.CRITICAL_CEILING))).otherwise(100 * (1 - risk))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(t, 1)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), rounded(t)))
 
 
 def recommend(score: Column, evidence: Column, critical: Column) -> Column:
     return F.when(score >= fixed.APPROVE_AT, "approve").when((score < fixed.FREEZE_BELOW) & (evidence | critical), "freeze").otherwise("manual_review")
 
 
-def decided(scored: DataFrame, model: Column, anomaly: Column) -> DataFrame:
+def decided(scored: DataFrame, model: Column, anomaly: Column, rounded: Callable[[Column], Column] = by_digits) -> DataFrame:
     """Blend of channels, graph overlay, ceiling and recommended action of each row of `channels`."""
     w = fixed.WEIGHTS
     blend = w["model"] * model + w["forensic"] * F.col("forensic_risk") + w["semantic"] * F.col("semantic_risk") + w["anomaly"] * anomaly
     out = scored.withColumn("risk", F.least(F.lit(1.0), blend + fixed.GRAPH_OVERLAY * F.col("graph_risk")))
-    out = out.withColumn("trust", trust(F.col("risk"), F.col("has_critical")))
+    out = out.withColumn("trust", trust(F.col("risk"), F.col("has_critical"), rounded))
     return out.withColumn("action", recommend(F.col("trust"), F.col("has_evidence"), F.col("has_critical")))
 
 
-def folded(decisions: DataFrame, penalty: Column) -> DataFrame:
+def folded(decisions: DataFrame, penalty: Column, rounded: Callable[[Column], Column] = by_digits) -> DataFrame:
     """Verification penalties, capped, taken off the trust score; the action is derived again."""
     out = decisions.withColumn("penalty", F.round(F.least(F.lit(fixed.VERIFICATION_CAP), penalty), 1))
-    t = F.greatest(F.lit(0.0), F.round(F.col("trust") - F.col("penalty"), 1))
+    t = F.greatest(F.lit(0.0), rounded(F.col("trust") - F.col("penalty")))
     out = out.withColumn("final_trust", F.when(F.col("has_critical"), F.least(t, F.lit(fixed.CRITICAL_CEILING))).otherwise(t))
     return out.withColumn("final_action", recommend(F.col("final_trust"), F.col("has_evidence") | (F.col("penalty") > 0), F.col("has_critical")))
 

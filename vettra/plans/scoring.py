@@ -33,7 +33,7 @@ SELECT packet_id, n_findings, risk, trust, CASE WHEN trust >= 70 THEN 'approve'
 def income_mismatch_action(spark, sf):
     f = view.facts(spark, sf)
     found = ev.channels(ev.income_mismatch(f, F.col("declared"), F.col("implied")))
-    out = ev.decided(found, F.lit(0.0), F.lit(0.0))
+    out = ev.decided(found, F.lit(0.0), F.lit(0.0), ev.by_tenfold)
     return out.select("packet_id", "n_findings", F.round("risk", 6).alias("risk"), "trust", "action")
 
 
@@ -181,7 +181,7 @@ decided AS (SELECT *, {ACTION.format(t='trust', e='has_evidence OR has_critical'
 
 def _decided(spark, sf):
     model = (F.col("packet_id") % 10) / F.lit(10.0)
-    return ev.decided(ev.channels(view.evidence(spark, sf)), model, F.lit(0.5))
+    return ev.decided(ev.channels(view.evidence(spark, sf)), model, F.lit(0.5), ev.by_tenfold)
 
 
 @query(view.sql(*view.EVIDENCE, "ranked", "channels") + f", {BLENDED} SELECT packet_id, round(risk, 6) AS risk, trust, action FROM decided")
@@ -194,7 +194,7 @@ folded AS (SELECT *, round(least(25.0, 6.0 * (packet_id % 6)), 1) AS penalty FRO
 final AS (SELECT *, CASE WHEN has_critical THEN least(greatest(0.0, round(trust - penalty, 1)), 25.0) ELSE greatest(0.0, round(trust - penalty, 1)) END AS final_trust FROM folded)
 SELECT packet_id, penalty, final_trust, {ACTION.format(t='final_trust', e='has_evidence OR has_critical OR penalty > 0')} AS final_action FROM final""")
 def fold_verification(spark, sf):
-    return ev.folded(_decided(spark, sf), 6.0 * (F.col("packet_id") % 6)).select("packet_id", "penalty", "final_trust", "final_action")
+    return ev.folded(_decided(spark, sf), 6.0 * (F.col("packet_id") % 6), ev.by_tenfold).select("packet_id", "penalty", "final_trust", "final_action")
 
 
 @query(view.sql("edges", "degrees") + " SELECT kind, value, n_apps, is_hub FROM degrees")
