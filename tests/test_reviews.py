@@ -306,6 +306,15 @@ def test_one_finding_for_each_packet(spark):
     assert [(r.packet_id, r.n_faces, r.n_pairs, r.distance, r.doc_a, r.doc_b) for r in got] == [(1, 3, 2, 1.0, 1, 2)]
 
 
+def test_every_event_fills_its_slot(spark, tmp_path):
+    """A slot is there by any event of its type, whatever its value."""
+    from vettra.plans import scoring
+
+    spark.createDataFrame([(1, "a", 10.0), (1, "b", 90.0), (2, "a", 59.0)], "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(map(tuple, scoring.completeness_semi(spark, str(tmp_path)).collect())) == [(1, "a"), (1, "b"), (2, "a")]
+    assert sorted(map(tuple, scoring.completeness_anti(spark, str(tmp_path)).collect())) == [(1, "a"), (2, "a"), (2, "b")]
+
+
 def test_tenths_as_sql_rounds_them(spark):
     """Scores next to a half, over all risks of four places, round as the SQL's doubles do."""
     import duckdb

@@ -107,10 +107,12 @@ def unnest_charges(spark, sf):
 
 REQUIRED = """kinds AS (SELECT DISTINCT event_type FROM events), have AS (SELECT DISTINCT user_id, event_type FROM events WHERE value >= 60),
 wanted AS (SELECT DISTINCT user_id, k.event_type FROM events, kinds k)"""
+#: Every event counts for what is there, and those that are ok for what is missing.
+PRESENT = REQUIRED.replace(" WHERE value >= 60", "")
 
 
-def _slots(spark, sf):
-    have = table(spark, sf, "events").where("value >= 60").select("user_id", "event_type").distinct()  # documents that are ok
+def _slots(spark, sf, ok="value >= 60"):
+    have = table(spark, sf, "events").where(ok).select("user_id", "event_type").distinct()
     kinds = table(spark, sf, "events").agg(F.array_sort(F.collect_set("event_type")).alias("kinds"))  # a handful of slots
     users = table(spark, sf, "events").select("user_id").distinct()
     return users.withColumn("event_type", F.explode(kinds.scalar())), have
@@ -122,9 +124,9 @@ def completeness_anti(spark, sf):
     return wanted.join(have, ["user_id", "event_type"], "left_anti")
 
 
-@query(f"WITH {REQUIRED} SELECT w.user_id, w.event_type FROM wanted w SEMI JOIN have h ON h.user_id = w.user_id AND h.event_type = w.event_type")
+@query(f"WITH {PRESENT} SELECT w.user_id, w.event_type FROM wanted w SEMI JOIN have h ON h.user_id = w.user_id AND h.event_type = w.event_type")
 def completeness_semi(spark, sf):
-    wanted, have = _slots(spark, sf)
+    wanted, have = _slots(spark, sf, "true")
     return wanted.join(have, ["user_id", "event_type"], "left_semi")
 
 
