@@ -306,6 +306,13 @@ def test_one_finding_for_each_packet(spark):
     assert [(r.packet_id, r.n_faces, r.n_pairs, r.distance, r.doc_a, r.doc_b) for r in got] == [(1, 3, 2, 1.0, 1, 2)]
 
 
+def test_every_pair_of_near_rows(spark):
+    """Rows of equal names are paired as well as those of near ones, each pair once; null names and other groups have none."""
+    rows = [(1, 0, "ab"), (2, 0, "ab"), (3, 0, "ab"), (9, 0, "abc"), (4, 0, "abc"), (5, 1, "ab"), (6, 0, None), (7, 0, None), (8, 0, "zzz")]
+    got = documents.near_rows(spark.createDataFrame(rows, "k int, g int, n string"), "g", "k", "n").collect()
+    assert sorted((r.a, r.b) for r in got) == [(1, 2), (1, 3), (1, 4), (1, 9), (2, 3), (2, 4), (2, 9), (3, 4), (3, 9), (4, 9)]
+
+
 def test_every_event_fills_its_slot(spark, tmp_path):
     """A slot is there by any event of its type, whatever its value."""
     from vettra.plans import scoring

@@ -108,3 +108,13 @@ def near_names(rows: DataFrame, group: str, key: str, name: str) -> DataFrame:
     left, right = (variants.select("g", "v", F.col("name").alias(f"name_{k}"), F.col("least").alias(k), F.col("n").alias(f"n_{k}")) for k in ("a", "b"))
     met = left.join(right, ["g", "v"]).where((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("n_a") > 1))).drop("v").distinct()
     return met.where(scalars.edit_within_one(F.col("name_a"), F.col("name_b"))).select(F.col("g").alias(group), "a", "b", "n_a", "n_b")
+
+
+def near_rows(rows: DataFrame, group: str, key: str, name: str) -> DataFrame:
+    """(a, b): all pairs a < b of rows of one group whose names are equal or one edit apart, from the pairs of names and the rows of each."""
+    names = near_names(rows, group, key, name).select(F.col(group).alias("g"), F.col("a").alias("p"), F.col("b").alias("q"))
+    own = rows.where(F.col(name).isNotNull()).select(F.col(group).alias("g"), F.col(name).alias("name"), F.col(key).alias("k"))
+    members = own.join(own.groupBy("g", "name").agg(F.min("k").alias("least")), ["g", "name"]).select("g", "least", "k")
+    one, other = members.select("g", F.col("least").alias("p"), F.col("k").alias("x")), members.select("g", F.col("least").alias("q"), F.col("k").alias("y"))
+    pairs = names.join(one, ["g", "p"]).join(other, ["g", "q"]).where((F.col("p") != F.col("q")) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
