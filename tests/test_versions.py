@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vettra.sources import cases, shared
@@ -82,3 +83,17 @@ def test_scratch_deletes_what_queries_left(spark):
         a = shared.written(spark.range(5), "kept")
         assert a.count() == 5
     assert not os.path.exists(a.written_to.removeprefix("file:"))
+
+
+def test_graph_plans(spark):
+    """Clusters count without multiplying rows, the latest edges need one exchange, and replays read edges that are written."""
+    from vettra.operators import linkage
+    from vettra.plans import scoring
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    e = spark.createDataFrame([(1, "property", "p"), (2, "property", "p"), (3, "property", "q"), (1, "pan", "a"), (2, "pan", "b"), (3, "pan", "a")], "app_id long, kind string, value string")
+    found = linkage.clusters(e, "property")
+    assert "Expand" not in plan(found) and [tuple(r) for r in found.collect()] == [("p", 2, 2)]
+    latest = linkage.latest_edges(e.withColumn("version", F.lit(1)).unionByName(e.where("app_id = 1 AND kind = 'pan'").withColumn("version", F.lit(2))))
+    assert plan(latest).count("Exchange hashpartitioning") == 1 and sorted((r.app_id, r.kind) for r in latest.collect()) == [(1, "pan"), (2, "pan"), (2, "property"), (3, "pan"), (3, "property")]
+    assert "lineitem" not in plan(scoring.graph_upsert_idempotent(spark, "/root/testdata/sf0.001"))

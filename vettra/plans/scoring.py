@@ -256,7 +256,7 @@ def subgraph_edges(spark, sf):
 
 @query(view.sql("edges") + " SELECT kind, count(*) AS n_edges, count(DISTINCT app_id) AS n_apps FROM edges GROUP BY kind")
 def graph_upsert_idempotent(spark, sf):
-    e = view.edges(spark, sf)
+    e = view.stored_edges(spark, sf)  # each replay reads them
     replayed = e.withColumn("version", F.lit(1)).unionByName(e.withColumn("version", F.lit(2))).unionByName(e.where("app_id % 2 = 0").withColumn("version", F.lit(2)))
     return linkage.latest_edges(replayed).groupBy("kind").agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("app_id").alias("n_apps"))
 

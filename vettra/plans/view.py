@@ -5,12 +5,14 @@ Each function has its SQL twin in CTE.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vettra.operators import evidence as ev
 from vettra.operators import linkage
-from vettra.sources.shared import written
+from vettra.sources.shared import written, written_parts
 from vettra.sources.tables import table
 
 AS_OF = "2001-01-01"
@@ -107,16 +109,21 @@ def case_edges(spark: SparkSession, sf: str) -> DataFrame:
     return full.select(F.col("packet_id").alias("app_id"), F.explode(F.create_map(*(x for k, v in kinds.items() for x in (F.lit(k), v)))).alias("kind", "value"))
 
 
+def _edges(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """(app_id, value) of each kind: numbers are made distinct before they become text."""
+    orders = table(spark, sf, "orders")
+    lines = orders.join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edge = lambda df, app, value: df.select(F.col(app).alias("app_id"), value.alias("value")).distinct().withColumn("value", F.col("value").cast("string"))
+    return {
+        "property": edge(lines, "o_custkey", F.col("l_partkey")), "employer": edge(lines, "o_custkey", F.col("l_suppkey")),
+        "template": edge(orders, "o_custkey", F.col("o_orderpriority")), "pan": edge(table(spark, sf, "customer"), "c_custkey", F.concat_ws("-", "c_nationkey", "c_mktsegment")),
+    }
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    edge = lambda df, app, kind, value: df.select(F.col(app).alias("app_id"), F.lit(kind).alias("kind"), value.cast("string").alias("value"))
-    parts = [
-        edge(lines, "o_custkey", "property", F.col("l_partkey")), edge(lines, "o_custkey", "employer", F.col("l_suppkey")),
-        edge(table(spark, sf, "orders"), "o_custkey", "template", F.col("o_orderpriority")), edge(table(spark, sf, "customer"), "c_custkey", "pan", F.concat_ws("-", "c_nationkey", "c_mktsegment")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct()
+    return reduce(DataFrame.unionByName, (df.select("app_id", F.lit(kind).alias("kind"), "value") for kind, df in _edges(spark, sf).items()))
 
 
 def stored_edges(spark: SparkSession, sf: str) -> DataFrame:
     """edges, written once: hubs, clusters and templates each read them, some kinds only."""
-    return written(edges(spark, sf), "edges", "kind")
+    return written_parts(_edges(spark, sf), "kind", "edges").select("app_id", "kind", "value")

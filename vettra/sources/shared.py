@@ -57,6 +57,17 @@ def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     return found
 
 
+def written_parts(parts: dict[str, DataFrame], column: str, name: str) -> DataFrame:
+    """The parts' rows with their names as a column, each written on its own under its name: nothing is sorted for the writing, and readers of some parts skip the others."""
+    first = next(iter(parts.values()))
+    path = fresh_path(first.sparkSession, name)
+    for part, df in parts.items():
+        df.write.parquet(f"{path}/{column}={part}")
+    found = first.sparkSession.read.schema(type(first.schema)([*first.schema, *type(first.schema)().add(column, "string")])).parquet(path)
+    found.written_to = path
+    return found
+
+
 def drop(df: DataFrame) -> None:
     """Deletes what `written` wrote for df, once nothing reads it any more."""
     delete(df.sparkSession, df.written_to)
