@@ -298,6 +298,26 @@ def test_distant_pairs_in_blocks(spark):
     assert faces.distant_pairs(df.limit(0), "g", "k", "v").count() == 0
 
 
+def test_distant_pairs_deal_a_group_to_several_tasks(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(0, 1, (300, 3))
+    df = spark.createDataFrame([(1, i, [float(x) for x in v[i]]) for i in range(300)], "g int, k long, v array<float>")
+    joins, adaptive = (spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"))
+    try:  # a join by exchange, as large tables have it
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = faces.distant_pairs(df, "g", "k", "v", block=50).withColumn("task", F.spark_partition_id())
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    w = v.astype(np.float32).astype(float)
+    size = np.sqrt((w * w).sum(axis=1))
+    far = np.triu(1 - w @ w.T / (np.outer(size, size) + 1e-9) > 0.62, 1)
+    assert {(r.a, r.b) for r in rows} == set(zip(*map(list, np.nonzero(far)))) and len(rows) == far.sum()
+    assert len({r.task for r in rows}) > 1
+
+
 def test_one_finding_for_each_packet(spark):
     row = lambda p, d, sharp, side, place, v: (p, d, sharp, 0.0, 0.0, side, side, place, v)
     rows = [row(1, 1, 9.0, 50.0, 1, [1.0, 0.0]), row(1, 1, 9.0, 60.0, 2, [0.0, 1.0]), row(1, 2, 9.0, 50.0, 1, [1.0, 0.0]), row(1, 3, 9.0, 50.0, 1, [0.1, 1.0]), row(1, 4, 0.5, 90.0, 1, [-1.0, 0.0]), row(2, 5, 9.0, 50.0, 1, [1.0, 0.0]), row(3, 6, 9.0, 50.0, 1, [1.0, 0.0]), row(3, 7, 9.0, 10.0, 1, [0.0, 1.0])]
