@@ -123,3 +123,31 @@ def test_packets_of_every_kind(spark):
     assert all(n > 1 for n in values.values()), values
     assert {r.rule for r in catalogue.QUERIES["packet_rules_all"](spark, sf).select("rule").distinct().collect()} == set(fixed.RULES)
     assert catalogue.QUERIES["packet_document_findings"](spark, sf).select("title").distinct().count() == 9
+
+
+def test_every_pattern_of_a_text_is_searched_once(spark):
+    df = spark.createDataFrame([(1, "form16", "Employer: Acme Ltd")], "packet_id long, doc_type string, text string")
+    plan = extract.entities(df, "packet_id").select("employer", "pan")._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in ("Employer:", "Name and address of the Employer", "SALARY SLIP"):
+        assert plan.count(pattern) == 1, pattern
+
+
+def test_detectors_read_the_stored_documents_only(spark):
+    """Lines reach the detectors with their documents, and only where a detector may find something."""
+    from vettra.plans import lending
+
+    docs = lending.stored_documents(spark, "/root/testdata/sf0.001")
+    plan = lending.forensic(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan and "l_orderkey" not in plan
+    n, marked = docs.count(), docs.where("marked IS NOT NULL").count()
+    assert 0 < marked < n / 2
+    whole = docs.where("marked IS NOT NULL AND size(marked) <> n_lines").count()
+    assert whole == 0
+
+
+def test_minutes_of_a_packet(spark):
+    from vettra.operators import underwriting
+
+    rows = [(1, "2024-01-01 10:00:01"), (1, "2024-01-01 10:00:59"), (2, "2024-01-01 10:00:59"), (2, "2024-01-01 10:01:00"), (3, "2024-01-01 10:00:00"), (3, None), (4, None)]
+    df = spark.createDataFrame(rows, "packet_id long, at string").select("packet_id", F.to_timestamp("at").alias("created"), F.to_timestamp(F.lit("2024-02-01")).alias("submitted"))
+    assert {r.packet_id: r.same_minute for r in underwriting.behaviour(df).collect()} == {1: True, 2: False, 3: False, 4: False}

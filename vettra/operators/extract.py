@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vettra.functions import fixed, scalars
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that f names several times: the value, a pattern over a whole text, is found once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
     """Group 1 of the first pattern that matches, trimmed; null without a match."""
-    return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(text, "(?d)" + p, 1)), F.lit("")) for p in patterns))
+    return F.coalesce(*(once(F.trim(F.regexp_extract(text, "(?d)" + p, 1)), lambda x: F.nullif(x, F.lit(""))) for p in patterns))
 
 
 def money(value: Column) -> Column:
@@ -20,9 +27,13 @@ def money(value: Column) -> Column:
 def all_money(text: Column, patterns: tuple[str, ...]) -> Column:
     """The amounts of every match of the first pattern that matches at all."""
     found = [F.filter(F.transform(F.regexp_extract_all(text, F.lit(p), 1), money), lambda x: x.isNotNull()) for p in patterns]
+
+    def either(f: Column, other: Column) -> Column:
+        return once(f, lambda x: F.when(F.size(x) > 0, x).otherwise(other))
+
     out = found[-1]
     for f in found[-2::-1]:
-        out = F.when(F.size(f) > 0, f).otherwise(out)
+        out = either(f, out)
     return out
 
 
@@ -44,7 +55,7 @@ def field(text: Column, kind: str, patterns: tuple[str, ...]) -> Column:
             return F.coalesce(text.rlike(patterns[0]), F.lit(False))
         case "last":  # the label's value, else the last match anywhere
             anywhere = F.regexp_extract_all(text, F.lit(f"({patterns[-1]})"), 1)
-            return F.coalesce(first_match(text, patterns[:-1]), F.when(F.size(anywhere) > 0, F.element_at(anywhere, -1)))
+            return F.coalesce(first_match(text, patterns[:-1]), F.try_element_at(anywhere, F.lit(-1)))
     raise ValueError(kind)
 
 
@@ -53,9 +64,9 @@ def fields_of(text: Column, doc_type: str) -> dict[str, Column]:
     out = {name: field(text, kind, patterns) for name, (kind, patterns) in fixed.FIELDS.get(doc_type, {}).items()}
     if "salary_credits" in out:
         credits = out["salary_credits"]
-        total = F.aggregate(credits, F.lit(0.0), lambda a, x: a + x)
-        out["monthly_credit"] = F.when(F.size(credits) > 0, credits[0])
-        out["implied_annual"] = F.when(F.size(credits) > 0, total / F.size(credits) * 12)
+        total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+        out["monthly_credit"] = F.try_element_at(credits, F.lit(1))
+        out["implied_annual"] = once(credits, lambda c: F.when(F.size(c) > 0, total(c) / F.size(c) * 12))
     if doc_type == "encumbrance_certificate":
         out["charges"] = charges(text)
     if "address" in out:

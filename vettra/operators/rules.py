@@ -19,7 +19,7 @@ def by_packet(entities: DataFrame) -> DataFrame:
     A packet has a document of each type at most, so the arrays are bounded.
     """
     of = lambda t, c: F.first(F.when(F.col("doc_type") == t, F.col(c)), ignorenulls=True)
-    carried = lambda place, c: F.array_sort(F.collect_list(F.when(F.nullif(F.trim(c), F.lit("")).isNotNull(), F.struct(place.alias("place"), "doc_type", F.trim(c).alias("value")))))
+    carried = lambda place, c: F.sort_array(F.collect_list(F.when(F.nullif(F.trim(c), F.lit("")).isNotNull(), F.struct(place.alias("place"), "doc_type", F.trim(c).alias("value")))))
     order = F.array_position(F.array(*map(F.lit, PROPERTY_TYPES)), F.col("doc_type")).cast("int")
     return entities.groupBy("packet_id").agg(
         carried(F.col("position"), F.col("name")).alias("names"), carried(F.col("position"), F.col("pan")).alias("pans"),

@@ -15,7 +15,7 @@ def behaviour(docs: DataFrame) -> DataFrame:
     return docs.groupBy("packet_id").agg(
         F.coalesce(F.greatest(F.lit(0.0), hours), F.lit(0.0)).alias("velocity_hours"),
         F.when(two, scalars.floor_days(F.max("created"), F.min("created"))).otherwise(0).cast("long").alias("gap_days"),
-        (two & (F.count_distinct(F.date_trunc("minute", "created")) == 1)).alias("same_minute"),
+        (two & (F.date_trunc("minute", F.min("created")) == F.date_trunc("minute", F.max("created")))).alias("same_minute"),
         F.coalesce(F.bool_and(F.col("created") <= F.col("submitted")), F.lit(True)).alias("all_before"),
         F.count(F.lit(1)).alias("doc_count"),
     )

@@ -62,15 +62,16 @@ RULES = (*ENTITIES, "last", "registries", "wide", "semantic")
 # ---- the Spark side, from the written documents of all packets
 def semantic(spark, sf, docs, found=None):
     """What the rules find; found: the documents' entities where they are written already."""
-    placed = (lending.entities(docs) if found is None else found).repartition("packet_id")  # the window, the grouping and the join after it need no other exchange
-    one = rules.by_packet(ordered.last_per_type(placed)).join(lending.applications(docs), "packet_id")
+    # the window, the grouping and the join after it need no other exchange; only texts that the rules see are read
+    last = ordered.last_per_type((docs if found is None else found).repartition("packet_id"))
+    one = rules.by_packet(lending.entities(last, "position") if found is None else last).join(lending.applications(docs), "packet_id")
     return rules.findings(rules.with_registries(one, *lending.registries(spark, sf, docs)))
 
 
 def features(spark, sf, docs=None):
     """A row a packet, written once: scaling, attributions and scores each read it."""
     docs = lending.stored_documents(spark, sf) if docs is None else docs
-    return written(packets.feature_vector(docs, lending.forensic(spark, sf, docs), semantic(spark, sf, docs), underwriting.behaviour(docs)), "features")
+    return written(packets.feature_vector(docs, lending.forensic(docs), semantic(spark, sf, docs), underwriting.behaviour(docs)), "features")
 
 
 def scores(found):
@@ -99,7 +100,7 @@ def packet_rules_all(spark, sf):
 @query(sql("docs", "forensic") + " SELECT packet_id, doc_id, page, severity, title, confidence, checked_by, seq FROM forensic")
 def packet_document_findings(spark, sf):
     """All detectors over the documents of all packets, from metadata to recognition."""
-    out = lending.forensic(spark, sf, lending.stored_documents(spark, sf))
+    out = lending.forensic(lending.stored_documents(spark, sf))
     return out.select("packet_id", "doc_id", "page", "severity", "title", "confidence", F.col("check").alias("checked_by"), "seq")
 
 
@@ -196,7 +197,7 @@ def evidence_rows(spark, sf, docs, found, marks):
 def decisions(spark, sf, docs=None, scored=scores, more=None, entities=None):
     """Decisions of all packets, from their texts on; scored: features -> (packet_id, probability, anomaly). `more` evidence sets no feature."""
     docs = lending.stored_documents(spark, sf) if docs is None else docs
-    found, marks = written(semantic(spark, sf, docs, entities), "rules"), written(lending.forensic(spark, sf, docs), "findings")  # each feeds features and evidence
+    found, marks = written(semantic(spark, sf, docs, entities), "rules"), written(lending.forensic(docs), "findings")  # each feeds features and evidence
     vector = written(packets.feature_vector(docs, marks, found, underwriting.behaviour(docs)), "features")
     rows = evidence_rows(spark, sf, docs, found, marks)
     return packets.packet_decision(docs, rows if more is None else rows.unionByName(more), scored(vector))
