@@ -371,3 +371,20 @@ def test_faces_are_chosen_before_their_embeddings(spark, tmp_path):
     away = pc.if_else(pc.equal(pc.bit_wise_and(e["vec_id"], 1), 0), pc.add(e["vec_id"], 1_000_000), e["vec_id"])
     pq.write_table(e.set_column(e.schema.get_field_index("vec_id"), "vec_id", pc.cast(away, pa.int64())), tmp_path / "embeddings.parquet")
     compare(spark, str(tmp_path), intake.QUERIES["face_mismatches"], intake.ORACLE_SQL["face_mismatches"])
+
+
+def test_folds_are_fitted_side_by_side(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml.classification import GBTClassifier
+
+    met, fit = threading.Barrier(2), GBTClassifier.fit
+
+    def waiting(self, *args):
+        met.wait(60)  # breaks where one fit waits for the end of another
+        return fit(self, *args)
+
+    monkeypatch.setattr(GBTClassifier, "fit", waiting)
+    df = spark.createDataFrame([(i, i % 2, float(i % 7), float(i % 2)) for i in range(40)], "k long, label int, a double, b double")
+    got = evaluation.cross_validated(df, "k", ["a", "b"], "label", n=2, trees=1).collect()
+    assert sorted(r.k for r in got) == list(range(40)) and {r.fold for r in got} == {0, 1}
