@@ -97,3 +97,16 @@ def test_graph_plans(spark):
     latest = linkage.latest_edges(e.withColumn("version", F.lit(1)).unionByName(e.where("app_id = 1 AND kind = 'pan'").withColumn("version", F.lit(2))))
     assert plan(latest).count("Exchange hashpartitioning") == 1 and sorted((r.app_id, r.kind) for r in latest.collect()) == [(1, "pan"), (2, "pan"), (2, "property"), (3, "pan"), (3, "property")]
     assert "lineitem" not in plan(scoring.graph_upsert_idempotent(spark, "/root/testdata/sf0.001"))
+
+
+def test_rows_are_made_once_for_a_commit(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    store = Store(spark, str(tmp_path / "t"), ("k",))
+    store.append(spark.range(100).withColumnRenamed("id", "k").mapInPandas(counted, "k long"), "one")
+    assert made.value == 100 and store.read().count() == 100

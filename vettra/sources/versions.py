@@ -82,8 +82,9 @@ class Store:
         """df's rows as parts, one for each bucket that has some."""
         folder = f"data/{uuid.uuid4().hex}"
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        # by range, so that a task has one bucket or two and a large bucket has many tasks
-        df.withColumn("__bucket", bucket).repartitionByRange("__bucket", F.xxhash64(*self.keys)).write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+        # a bucket goes to several tasks, a key to one of them; ranges would make the rows once more, to sample them
+        slices = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        df.withColumn("__bucket", bucket).repartition("__bucket", F.pmod(F.xxhash64(F.lit(1), *self.keys), F.lit(slices))).write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
         fs, path = self._fs()
         found = [s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/{folder}"))]
         schema = json.loads(df.schema.json())
