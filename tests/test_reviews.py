@@ -318,6 +318,47 @@ def test_distant_pairs_deal_a_group_to_several_tasks(spark):
     assert len({r.task for r in rows}) > 1
 
 
+def test_distant_pairs_come_once_where_blocks_stay_empty(spark):
+    rng = np.random.default_rng(10)
+    v = rng.normal(0, 1, (9, 3)).round(3)
+    df = spark.createDataFrame([(1, i, [float(x) for x in v[i]]) for i in range(9)] + [(1, None, [1.0, 0.0, 0.0])], "g int, k long, v array<double>")
+    far = lambda i, j: 1 - v[i] @ v[j] / (np.linalg.norm(v[i]) * np.linalg.norm(v[j]) + 1e-9) > 0.62
+    want = sorted((i, j) for i in range(9) for j in range(i + 1, 9) if far(i, j))
+    for block in (1, 2, 3):  # as many blocks as rows: some are empty
+        assert sorted((r.a, r.b) for r in faces.distant_pairs(df, "g", "k", "v", block=block).collect()) == want
+
+
+def test_distant_pairs_in_runs_are_the_same_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    v = rng.normal(0, 1, (200, 4)).round(3)
+    df = spark.createDataFrame([(i // 150, 7 * i % 200, [float(x) for x in v[i]]) for i in range(200)], "g int, k long, v array<double>")
+    plain = {(r.g, r.a, r.b, round(r.distance, 6)) for r in faces.distant_pairs(df, "g", "k", "v").collect()}
+    for name, n in (("PAIRS", 500), ("RUN", 2000), ("SORTED", 1), ("OUT", 300)):
+        monkeypatch.setattr(faces, name, n)
+    for block in (40, 1024):
+        got = faces.distant_pairs(df, "g", "k", "v", block=block, digits=6, tasks=3).collect()
+        assert {tuple(r) for r in got} == plain and len(got) == len(plain)
+        assert sum(x.distance > y.distance for x, y in zip(got, got[1:])) < len(got) / 50  # the runs ascend
+    assert faces.distant_pairs(df.limit(0), "g", "k", "v", digits=6, tasks=faces.tasks_of(df.limit(0), "g")).count() == 0
+
+
+def test_written_pairs_take_little_room(spark, tmp_path):
+    import __spark_entry__
+
+    rng = np.random.default_rng(12)
+    v = rng.normal(0, 1, (2000, 16)).astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(x) for x in v[i]], 1) for i in range(2000)], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    __spark_entry__.queries()["embedding_mismatch"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    w = v.astype(float)
+    size = np.sqrt((w * w).sum(axis=1))
+    distance = 1 - w @ w.T / (np.outer(size, size) + 1e-9)
+    i, j = np.nonzero(np.triu(distance > 0.62, 1))
+    n, a, b, d = spark.read.parquet(f"{tmp_path}/out").agg(F.count(F.lit(1)), F.sum("a"), F.sum("b"), F.sum("distance")).first()
+    assert (n, a, b) == (len(i), i.sum(), j.sum()) and d == pytest.approx(distance[i, j].sum())
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 7 * n
+
+
 def test_one_finding_for_each_packet(spark):
     row = lambda p, d, sharp, side, place, v: (p, d, sharp, 0.0, 0.0, side, side, place, v)
     rows = [row(1, 1, 9.0, 50.0, 1, [1.0, 0.0]), row(1, 1, 9.0, 60.0, 2, [0.0, 1.0]), row(1, 2, 9.0, 50.0, 1, [1.0, 0.0]), row(1, 3, 9.0, 50.0, 1, [0.1, 1.0]), row(1, 4, 0.5, 90.0, 1, [-1.0, 0.0]), row(2, 5, 9.0, 50.0, 1, [1.0, 0.0]), row(3, 6, 9.0, 50.0, 1, [1.0, 0.0]), row(3, 7, 9.0, 10.0, 1, [0.0, 1.0])]
